@@ -129,7 +129,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     bits = sketch.merged(docs.select("text").mapInArrow(_anchor_sketch(window, anchor, width_bits), sketch.SCHEMA), DEPTH, width_bits, sketch.repeated_bits)
     shared = spark.sparkContext.broadcast([x.tobytes() for x in bits])
     hits = docs.where("isnotnull(doc_id)").select(F.col("doc_id").cast("long"), "text").mapInArrow(_repeated(window, anchor, width_bits, shared), HITS)
-    first = hits.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("h1", "h2", "first_id")
+    first = hits.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
     return hits.join(first, ["h1", "h2"]).where("doc_id > first_id").select("doc_id", "at")
 
 
