@@ -31,7 +31,7 @@ from .words import U, Words, chunks, grams, mix, signed
 
 N_WORDS = 3
 PERCENT = 90
-#: The sketch that tells frequent n-grams from rare ones has about a counter for four words, up to 2**MOST_BITS (128 MB).
+#: The sketch that tells frequent n-grams from rare ones has about a counter for 16 words, up to 2**MOST_BITS (128 MB).
 MOST_BITS = 27
 #: Sets above this size are never light: their subsets would be too many.
 MOST_LIGHT = 40
@@ -163,38 +163,41 @@ def _keys(n: int, percent: int, width_bits: int, light: int, frequent: int, shar
                         owner.append(np.full(len(keys[-1]), d))
                 if keys:
                     own = np.concatenate(owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(ids[own]), pa.array(size[own].astype(np.int32))], names=["key", "set_id", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(ids[own])], names=["key", "set_id"])
 
     return run
 
 
+def _pair_key(doc_ids: np.ndarray, set_ids: np.ndarray) -> np.ndarray:
+    return mix(set_ids.astype(np.int64).view(U) ^ mix(doc_ids.astype(np.int64).view(U)))
+
+
 def _bloom(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = sketch.Partial(2, bits)
         for batch in batches:
-            part.add(mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)))
+            docs, sets = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            part.add(mix(docs.astype(np.int64).view(U)))
+            part.add(_pair_key(docs, sets))
         yield from part.batches()
 
     return run
 
 
 def _wanted_sets(n: int, bits: int, shared):
-    """The sets that may be compared (those in the Bloom filter)."""
+    """The sets that may be compared: those whose first document is in the Bloom filter, and with it the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = [np.frombuffer(x, dtype=np.uint8) for x in shared.value]
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            hit = sketch.has_bits(bloom, mix(ids.astype(np.int64).view(U)), bits)
-            if not hit.any():
-                continue
-            some = pa.compute.filter(batch, pa.array(hit)) if not hit.all() else batch
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            some = batch.filter(pa.array(sketch.has_bits(bloom, mix(ids.view(U)), bits)))
             for i, j, data, at in chunks(some.column(1)):
                 sets, bounds = _doc_sets(data, at, n)
+                set_ids = _set_ids(sets, bounds)
+                hit = sketch.has_bits(bloom, _pair_key(some.column(0).slice(i, j - i).to_numpy(), set_ids), bits)
                 items = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(signed(sets)))
-                yield pa.RecordBatch.from_arrays([some.column(0).slice(i, j - i), items], names=["doc_id", "items"])
-
-    import pyarrow.compute  # noqa: F401
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids), items], names=["set_id", "items"]).filter(pa.array(hit))
 
     return run
 
@@ -202,19 +205,24 @@ def _wanted_sets(n: int, bits: int, shared):
 class _Checker:
     """Compares pairs of sets exactly."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, n: int, percent: int):
-        self.docs, self.reps, self.n, self.percent = docs, reps, n, percent
+    def __init__(self, docs: DataFrame, reps: DataFrame, sizes: DataFrame, n: int, percent: int):
+        self.docs, self.reps, self.sizes, self.n, self.percent = docs, reps, sizes, n, percent
+        self.fits = f"least(size, other_size) * 100 >= {percent} * greatest(size, other_size)"
+
+    def fitting(self, pairs: DataFrame) -> DataFrame:
+        """Distinct (a, b), a < b, of sizes that can link."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        sized = pairs.join(self.sizes.withColumnRenamed("set_id", "a"), "a").join(self.sizes.select(F.col("set_id").alias("b"), F.col("size").alias("other_size")), "b")
+        return sized.where(self.fits).select("a", "b")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """pairs: (a, b) of set ids. Those that link."""
+        """pairs: a written table (a, b) of set ids. Those that link."""
         spark = pairs.sparkSession
-        pairs = written(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(self.reps, "set_id")
-        ids = written(ids.select("set_id", "doc_id"), "wanted")
-        bloom = sketch.merged(ids.select("doc_id").mapInArrow(_bloom(BLOOM_BITS), sketch.SCHEMA), 2, BLOOM_BITS, sketch.any_bits)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(self.reps, "set_id").select("doc_id", "set_id")
+        bloom = sketch.merged(ids.mapInArrow(_bloom(BLOOM_BITS), sketch.SCHEMA), 2, BLOOM_BITS, sketch.any_bits)
         shared = spark.sparkContext.broadcast([x.tobytes() for x in bloom])
-        found = self.docs.mapInArrow(_wanted_sets(self.n, BLOOM_BITS, shared), "doc_id long, items array<long>")
-        sets = written(found.join(ids, "doc_id").dropDuplicates(["set_id"]).select("set_id", "items"), "sets")
+        found = self.docs.where("isnotnull(doc_id)").mapInArrow(_wanted_sets(self.n, BLOOM_BITS, shared), "set_id long, items array<long>")
+        sets = written(found, "sets")
         both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("items").alias("y")), "b")
         both = both.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("total"), F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
         return both.where(F.expr(f"100 * shared >= {self.percent} * (total - shared)")).select("a", "b")
@@ -231,10 +239,10 @@ def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    width_bits = width_bits or sketch.width_for(about_words(docs) / 4, 20, MOST_BITS)
+    width_bits = width_bits or sketch.width_for(about_words(docs) / 16, 20, MOST_BITS)
     first = written(docs.mapInArrow(_base(n, width_bits), BASE), "base")
     base = first.where("isnull(slice)").select("doc_id", "set_id", "n_shingles")
-    sizes = {r["n_shingles"]: r["n"] for r in base.where(f"n_shingles between 1 and {2 * MOST_LIGHT}").groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
+    few = {r["n_shingles"]: r["n"] for r in base.where(f"n_shingles between 1 and {2 * MOST_LIGHT}").groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
     rest = base.where(f"n_shingles > {2 * MOST_LIGHT}").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m")).first()
     counters = sketch.merged(first.where("isnotnull(slice)").select("slice", "dense", "counters"), 1, width_bits)[0]
     # What a counter holds by chance, and how long a list an n-gram meets on average beyond that.
@@ -245,28 +253,27 @@ def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_
     met = max(0.0, (f @ value**2) / max(1.0, f @ value) - mean)
     if rest["n"]:
         size = int(rest["m"] // rest["n"])
-        sizes[size] = sizes.get(size, 0) + rest["n"]
-    light = boundary(sizes, met, percent)
+        few[size] = few.get(size, 0) + rest["n"]
+    light = boundary(few, met, percent)
     reps = base.where("n_shingles > 0 and isnotnull(doc_id)").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
 
     shared = spark.sparkContext.broadcast(counters.tobytes())
-    keys = docs.select("text").mapInArrow(_keys(n, percent, width_bits, light, frequent, shared), "key long, set_id long, size int").groupBy("key", "set_id").agg(F.min("size").alias("size"))
-    lists = keys.groupBy("key").agg(F.min(F.struct("size", "set_id")).alias("centre"), F.count("*").alias("n")).where("n > 1")
-    active = written(keys.join(lists.select("key", "centre"), "key"), "lists")
-
-    fits = f"least(size, other_size) * 100 >= {percent} * greatest(size, other_size)"
-    star = active.select(F.col("set_id").alias("a"), "size", F.col("centre.set_id").alias("b"), F.col("centre.size").alias("other_size")).where(f"a <> b and {fits}")
-    check = _Checker(docs, reps, n, percent)
-    links = written(check.links(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links")
+    keys = docs.select("text").mapInArrow(_keys(n, percent, width_bits, light, frequent, shared), "key long, set_id long")
+    lists = keys.groupBy("key").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("last")).where("centre < last").select("key", "centre")
+    active = written(keys.join(lists, "key").distinct(), "lists")
+
+    sizes = base.groupBy("set_id").agg(F.min("n_shingles").alias("size"))
+    check = _Checker(docs, reps, sizes, n, percent)
+    star = written(check.fitting(active.where("set_id <> centre").select(F.col("set_id").alias("a"), F.col("centre").alias("b"))), "pairs")
+    links = written(check.links(star), "links")
     groups = written(components(links), "groups")
 
-    placed = active.select("key", "set_id", "size").join(groups.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    placed = active.select("key", "set_id").join(groups.withColumnRenamed("id", "set_id"), "set_id", "left").join(sizes, "set_id").withColumn("component", F.coalesce("component", "set_id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     open_lists = written(placed.join(mixed, "key"), "open")
     other = open_lists.select("key", F.col("set_id").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other"))
-    crossed = open_lists.select("key", F.col("set_id").alias("a"), "size", "component").join(other, "key").where(f"component < other and {fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = check.links(crossed.join(tested, ["a", "b"], "left_anti"))
+    crossed = open_lists.select("key", F.col("set_id").alias("a"), "size", "component").join(other, "key").where(f"component < other and {check.fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = check.links(written(crossed.join(star, ["a", "b"], "left_anti"), "pairs"))
     every = components(links.unionByName(more))
 
     by_doc = reps.join(every.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
