@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import digests
+from .fingerprint import compare_with_next
 from .ngram_join import ngram_join
 from .packing import pack
 from .quality import quality
@@ -18,6 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(_table(spark, sf_dir, "documents"))
+
+
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +53,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_join, op4_substring_dedup, op7_quality, op8_sstable, op9_toxicity, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_order_minhash, op3_ngram_join, op4_substring_dedup, op7_quality, op8_sstable, op9_toxicity, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
