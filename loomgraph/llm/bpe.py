@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .tokens import utf8
 
 #: White space as the tokenizer library has it; engines differ in what \s is.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 MOST_CHUNKS = 300_000
 MOST_WORDS = 300_000
 GROUP_BYTES = 1 << 21

@@ -6,11 +6,12 @@ fixed-size subsets: linked sets have an equal subset of the size that their over
 The size at which sets change from light to heavy is the one of least estimated cost; the sets
 just above it do both, so that light and heavy sets meet too.
 
-Equal sets are one set from the start. Candidates are checked exactly. Inside a list each set is
-first compared to the list's centre only; sets that the found links have already joined need no
-further comparison, and the remaining pairs of a list, of different components, are compared all.
-So a group of near copies costs links in proportion to its size and no link between two
-components is lost.
+Equal sets are one set from the start. A pair whose parity bitmaps differ in more bits than the
+sets may differ in n-grams cannot link and goes; the others are compared exactly. Inside a list each
+set first meets the list's centre only, and each set takes its likeliest such partner of another
+component, for a few rounds. Sets that the found links have joined need no further comparison, and
+the remaining pairs of a list, of different components, are then compared all. So a group of near
+copies costs links in proportion to its size and no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ MOST_BITS = 27
 #: Sets above this size are never light: their subsets would be too many.
 MOST_LIGHT = 40
 BLOOM_BITS = 26
+#: Rounds in which components meet the centres of their lists, before all remaining pairs are compared.
+ROUNDS = 3
 
 
 def least_overlap(s: int, percent: int) -> int:
@@ -104,12 +107,24 @@ def _set_ids(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return signed(mix((total[bounds[1:]] - total[bounds[:-1]]) ^ mix((other[bounds[1:]] - other[bounds[:-1]]) + size.astype(U))))
 
 
-BASE = "doc_id long, set_id long, n_shingles long, slice int, dense boolean, counters binary"
+BASE = "doc_id long, set_id long, n_shingles long, bits array<long>, slice int, dense boolean, counters binary"
+
+
+def _bitmaps(sets: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each set the parity, for each of about as many bits as it has n-grams, of those that hash there."""
+    size = np.diff(bounds)
+    words = np.minimum(1 << np.ceil(np.log2(np.maximum(size, 64) / 64)).astype(np.int64), 1 << 10)
+    first = np.concatenate(([0], np.cumsum(words)))
+    owner = np.repeat(np.arange(len(size)), size)
+    place = (sets >> U(6)) % (words[owner].astype(U) * U(64))
+    flat = np.zeros(first[-1], dtype=U)
+    np.bitwise_xor.at(flat, first[owner] + (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(signed(flat)))
 
 
 def _base(n: int, width_bits: int):
     """One pass: the set id and size of each document, and the partition's n-gram sketch."""
-    names = [x.split()[0] for x in BASE.split(", ")]
+    names = ["doc_id", "set_id", "n_shingles", "bits", "slice", "dense", "counters"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = sketch.Partial(1, width_bits)
@@ -120,11 +135,11 @@ def _base(n: int, width_bits: int):
                 part.add(sets)
                 rows = j - i
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, rows), pa.array(_set_ids(sets, bounds)), pa.array(np.diff(bounds)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.bool_()), pa.nulls(rows, pa.binary())],
+                    [ids.slice(i, rows), pa.array(_set_ids(sets, bounds)), pa.array(np.diff(bounds)), _bitmaps(sets, bounds), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.bool_()), pa.nulls(rows, pa.binary())],
                     names=names,
                 )
         for b in part.batches():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), b.column(0), b.column(1), b.column(2)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), b.column(0), b.column(1), b.column(2)], names=names)
 
     return run
 
@@ -205,15 +220,16 @@ def _wanted_sets(n: int, bits: int, shared):
 class _Checker:
     """Compares pairs of sets exactly."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, sizes: DataFrame, n: int, percent: int):
-        self.docs, self.reps, self.sizes, self.n, self.percent = docs, reps, sizes, n, percent
+    def __init__(self, docs: DataFrame, reps: DataFrame, marks: DataFrame, n: int, percent: int):
+        self.docs, self.reps, self.marks, self.n, self.percent = docs, reps, marks, n, percent
         self.fits = f"least(size, other_size) * 100 >= {percent} * greatest(size, other_size)"
 
     def fitting(self, pairs: DataFrame) -> DataFrame:
-        """Distinct (a, b), a < b, of sizes that can link."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sized = pairs.join(self.sizes.withColumnRenamed("set_id", "a"), "a").join(self.sizes.select(F.col("set_id").alias("b"), F.col("size").alias("other_size")), "b")
-        return sized.where(self.fits).select("a", "b")
+        """Those pairs (a, b, ...) whose sizes and bitmaps allow a link."""
+        sized = pairs.join(self.marks.withColumnRenamed("set_id", "a"), "a").join(self.marks.select(F.col("set_id").alias("b"), F.col("size").alias("other_size"), F.col("bits").alias("other_bits")), "b")
+        differ = "aggregate(zip_with(bits, other_bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+        near = f"size(bits) <> size(other_bits) or {differ} * {100 + self.percent} <= (size + other_size) * {100 - self.percent}"
+        return sized.where(self.fits).where(near).select(*pairs.columns)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """pairs: a written table (a, b) of set ids. Those that link."""
@@ -241,7 +257,7 @@ def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width_bits = width_bits or sketch.width_for(about_words(docs) / 16, 20, MOST_BITS)
     first = written(docs.mapInArrow(_base(n, width_bits), BASE), "base")
-    base = first.where("isnull(slice)").select("doc_id", "set_id", "n_shingles")
+    base = first.where("isnull(slice)").select("doc_id", "set_id", "n_shingles", "bits")
     few = {r["n_shingles"]: r["n"] for r in base.where(f"n_shingles between 1 and {2 * MOST_LIGHT}").groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
     rest = base.where(f"n_shingles > {2 * MOST_LIGHT}").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m")).first()
     counters = sketch.merged(first.where("isnotnull(slice)").select("slice", "dense", "counters"), 1, width_bits)[0]
@@ -260,24 +276,38 @@ def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_
     shared = spark.sparkContext.broadcast(counters.tobytes())
     keys = docs.select("text").mapInArrow(_keys(n, percent, width_bits, light, frequent, shared), "key long, set_id long")
     lists = keys.groupBy("key").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("last")).where("centre < last").select("key", "centre")
-    active = written(keys.join(lists, "key").distinct(), "lists")
-
-    sizes = base.groupBy("set_id").agg(F.min("n_shingles").alias("size"))
-    check = _Checker(docs, reps, sizes, n, percent)
-    star = written(check.fitting(active.where("set_id <> centre").select(F.col("set_id").alias("a"), F.col("centre").alias("b"))), "pairs")
-    links = written(check.links(star), "links")
-    groups = written(components(links), "groups")
-
-    placed = active.select("key", "set_id").join(groups.withColumnRenamed("id", "set_id"), "set_id", "left").join(sizes, "set_id").withColumn("component", F.coalesce("component", "set_id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_lists = written(placed.join(mixed, "key"), "open")
-    other = open_lists.select("key", F.col("set_id").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other"))
-    crossed = open_lists.select("key", F.col("set_id").alias("a"), "size", "component").join(other, "key").where(f"component < other and {check.fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = check.links(written(crossed.join(star, ["a", "b"], "left_anti"), "pairs"))
-    every = components(links.unionByName(more))
+    active = written(keys.join(lists.select("key"), "key").distinct(), "lists")
+
+    marks = written(base.where("n_shingles > 0").groupBy("set_id").agg(F.min("n_shingles").alias("size"), F.first("bits").alias("bits")), "marks")
+    check = _Checker(docs, reps, marks, n, percent)
+    placed = active.select("key", "set_id", F.col("set_id").alias("component"))
+    links = tested = None
+    for _ in range(ROUNDS):
+        centre = placed.groupBy("key").agg(F.min(F.struct("component", "set_id")).alias("c")).select("key", F.col("c.component").alias("other"), F.col("c.set_id").alias("b"))
+        star = placed.join(centre, "key").where("component <> other").select(F.col("set_id").alias("from"), F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b"))
+        star = star.groupBy("a", "b", "from").agg(F.count("*").alias("shared"))
+        star = written(check.fitting(star if tested is None else star.join(tested, ["a", "b"], "left_anti")), "star")
+        best = star.groupBy("from").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        best = written(best, "pairs")
+        if best.isEmpty():
+            break
+        found = written(check.links(best), "links")
+        links, tested = (found, best) if links is None else (links.unionByName(found), tested.unionByName(best))
+        groups = written(components(links), "groups")
+        placed = active.select("key", "set_id").join(groups.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        placed = written(placed.join(mixed, "key"), "open")
+    if links is None:
+        every = spark.createDataFrame([], "id long, component long")
+    else:
+        ours = placed.join(marks.select("set_id", "size"), "set_id")
+        other = ours.select("key", F.col("set_id").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other"))
+        crossed = ours.select("key", F.col("set_id").alias("a"), "size", "component").join(other, "key").where(f"component < other and {check.fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        crossed = written(check.fitting(crossed.join(tested, ["a", "b"], "left_anti")), "pairs")
+        every = groups if crossed.isEmpty() else components(links.unionByName(check.links(crossed)))
 
     by_doc = reps.join(every.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     lowest = by_doc.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_set = by_doc.join(lowest, "component").select("set_id", "component_id")
-    out = base.join(of_set, "set_id", "left")
+    out = base.drop("bits").join(of_set, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
