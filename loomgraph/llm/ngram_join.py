@@ -8,7 +8,7 @@ just above it do both, so that light and heavy sets meet too.
 
 Equal sets are one set from the start. A pair whose parity bitmaps differ in more bits than the
 sets may differ in n-grams cannot link and goes; the others are compared exactly. Inside a list each
-set first meets the list's centre only, and each set takes its likeliest such partner of another
+set first meets the list's centre among sets of about its size, and each set takes its likeliest such partner of another
 component, for a few rounds. Sets that the found links have joined need no further comparison, and
 the remaining pairs of a list, of different components, are then compared all. So a group of near
 copies costs links in proportion to its size and no link between two components is lost.
@@ -39,6 +39,8 @@ MOST_LIGHT = 40
 BLOOM_BITS = 26
 #: Rounds in which components meet the centres of their lists, before all remaining pairs are compared.
 ROUNDS = 3
+#: Classes of set sizes for each factor e.
+SIZE_CLASSES = 6
 
 
 def least_overlap(s: int, percent: int) -> int:
@@ -280,11 +282,14 @@ def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_
 
     marks = written(base.where("n_shingles > 0").groupBy("set_id").agg(F.min("n_shingles").alias("size"), F.first("bits").alias("bits")), "marks")
     check = _Checker(docs, reps, marks, n, percent)
-    placed = active.select("key", "set_id", F.col("set_id").alias("component"))
+    active = written(active.join(marks.select("set_id", "size"), "set_id"), "sized")
+    placed = active.withColumn("component", F.col("set_id"))
     links = tested = None
-    for _ in range(ROUNDS):
-        centre = placed.groupBy("key").agg(F.min(F.struct("component", "set_id")).alias("c")).select("key", F.col("c.component").alias("other"), F.col("c.set_id").alias("b"))
-        star = placed.join(centre, "key").where("component <> other").select(F.col("set_id").alias("from"), F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b"))
+    for k in range(ROUNDS):
+        # A centre for each list and class of sizes; the classes shift from round to round.
+        placed = placed.withColumn("class", F.floor(F.log("size") * SIZE_CLASSES + k / ROUNDS))
+        centre = placed.groupBy("key", "class").agg(F.min(F.struct("component", "set_id")).alias("c")).select("key", "class", F.col("c.component").alias("other"), F.col("c.set_id").alias("b"))
+        star = placed.join(centre, ["key", "class"]).where("component <> other").select(F.col("set_id").alias("from"), F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b"))
         star = star.groupBy("a", "b", "from").agg(F.count("*").alias("shared"))
         star = written(check.fitting(star if tested is None else star.join(tested, ["a", "b"], "left_anti")), "star")
         best = star.groupBy("from").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
@@ -294,13 +299,13 @@ def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_
         found = written(check.links(best), "links")
         links, tested = (found, best) if links is None else (links.unionByName(found), tested.unionByName(best))
         groups = written(components(links), "groups")
-        placed = active.select("key", "set_id").join(groups.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        placed = active.join(groups.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         placed = written(placed.join(mixed, "key"), "open")
     if links is None:
         every = spark.createDataFrame([], "id long, component long")
     else:
-        ours = placed.join(marks.select("set_id", "size"), "set_id")
+        ours = placed.select("key", "set_id", "size", "component")
         other = ours.select("key", F.col("set_id").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other"))
         crossed = ours.select("key", F.col("set_id").alias("a"), "size", "component").join(other, "key").where(f"component < other and {check.fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         crossed = written(check.fitting(crossed.join(tested, ["a", "b"], "left_anti")), "pairs")
