@@ -20,7 +20,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Up to this code point every character is in composed form and has a lower case of its own, but for U+0130.
 PLAIN = regex.compile("[\\x21-\\u012f\\u0131-\\u024f]+")
 MOST_CHUNKS = 400_000
-MOST_PIECES = 300_000
+MOST_PIECES = 700_000
 GROUP_BYTES = 1 << 21
 
 
@@ -30,6 +30,13 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte: itself if it is printable, else the next from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class WordEncoder:
     """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)`` does, special strings being plain text."""
 
@@ -41,6 +48,8 @@ class WordEncoder:
         self.library.encode_special_tokens = True
         self.library.no_padding()
         self.library.no_truncation()
+        self.model = self.library.model
+        self.letters = byte_letters()
         self.cut = regex.compile(PATTERN)
         self.chunks: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -48,6 +57,12 @@ class WordEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        """A lower-cased piece by the library's model alone: its normaliser and cutting have nothing left to do."""
+        if not (piece.isascii() and piece.isalnum()):
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
+
     def _learn(self, new: list[bytes]) -> None:
         if len(self.chunks) + len(new) > MOST_CHUNKS:
             self.chunks.clear()
@@ -64,8 +79,9 @@ class WordEncoder:
                 missing.update(found)
             else:
                 odd.append(chunk)
-        ask = [p for p in missing if p not in self.pieces]
-        self.pieces.update(zip(ask, self._library(ask)))
+        for p in missing:
+            if p not in self.pieces:
+                self.pieces[p] = self._piece(p)
         for chunk, found in parts.items():
             self.chunks[chunk] = b"".join([self.pieces[p] for p in found])
         self.chunks.update(zip(odd, self._library([c.decode() for c in odd])))
