@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import digests
+from .embedding_dedup import embedding_dedup
 from .fingerprint import compare_with_next
+from .line_dedup import line_dedup
 from .ngram_join import ngram_join
 from .packing import pack
 from .quality import quality
@@ -36,6 +38,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -53,7 +63,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_order_minhash, op3_ngram_join, op4_substring_dedup, op7_quality, op8_sstable, op9_toxicity, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_order_minhash, op3_ngram_join, op4_substring_dedup, op5_line_dedup, op6_embedding_dedup, op7_quality, op8_sstable, op9_toxicity, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -158,3 +158,11 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def sequence_ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each document's whole word sequence."""
+    up, down = _WORDS.get(len(h) + 1)
+    sums = np.zeros(len(h) + 1, dtype=U)
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    return mix((sums[first[1:]] - sums[first[:-1]]) * down[first[:-1]] + np.diff(first).astype(U))
