@@ -172,3 +172,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(_score(shared), "doc_id long, held_out boolean, score double").withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def _keep(shared, threshold: float):
+    cut = float(np.log(threshold / (1 - threshold)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: FactorizationMachine = shared.value
+        for batch in batches:
+            parts = [model.logits(data, at) for _, _, data, at in chunks(batch.column("text"))]
+            yield batch.filter(pa.array((np.concatenate(parts) if parts else np.zeros(0)) < cut))
+
+    return run
+
+
+def toxicity_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str = "toxic", folds: int = 5, held_out: int = 0) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below ``threshold``; null and empty texts stay if the score of no terms is."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, folds, held_out))
+    return docs.mapInArrow(_keep(shared, threshold), docs.schema)
