@@ -202,21 +202,26 @@ def _compare(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.expr("levenshtein(x, y) <= most")).select("a", "b")
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_lines, n_removed, kept, digests = [], [], [], []
-        for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            lines = (text or "").split("\n")
-            gone = set(drop or ())
-            out = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-            n_lines.append(len(lines))
-            n_removed.append(len(gone))
-            kept.append(out)
-            digests.append(hashlib.sha256(out.encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())],
-            names=["doc_id", "n_lines", "n_removed", "kept", "kept_sha256"],
-        )
+def _rebuild(names: list[str]):
+    """The last two columns are the text and the places to drop; those before pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_lines, n_removed, kept, digests = [], [], [], []
+            for text, drop in zip(*(c.to_pylist() for c in batch.columns[-2:])):
+                lines = (text or "").split("\n")
+                gone = {k for k in drop or () if k < len(lines)}
+                out = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+                n_lines.append(len(lines))
+                n_removed.append(len(gone))
+                kept.append(out)
+                digests.append(hashlib.sha256(out.encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-2], pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())],
+                names=[*names, "n_lines", "n_removed", "kept", "kept_sha256"],
+            )
+
+    return run
 
 
 def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
@@ -247,13 +252,14 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float
     return rows.join(first, "group").where("doc_id <> first_id or place <> first_place").select("doc_id", "place")
 
 
-def line_dedup(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_lines, n_removed, kept (text), kept_sha256.
+def line_dedup(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, the columns named in ``carry``, n_lines, n_removed, kept (text), kept_sha256.
 
     Lines are cut at \\n. Lines without words stay. Null and empty texts have one empty line. Rows with
-    equal doc_id count as one document, so a line of the same place and group stays in each; a null
-    doc_id is never cut and never first. An empty table gives an empty table. Other columns are ignored.
+    equal doc_id count as one document, so the lines at a place that goes go from each; a null doc_id
+    is never cut and never first. An empty table gives an empty table. Other columns are ignored.
     """
-    drop = repeated_lines(docs, distance, similarity).groupBy("doc_id").agg(F.collect_set("place").alias("drop"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(drop, "doc_id", "left")
-    return joined.mapInArrow(_rebuild, "doc_id long, n_lines long, n_removed long, kept string, kept_sha256 string")
+    drop = repeated_lines(docs, distance, similarity).groupBy("doc_id").agg(F.collect_set("place").alias("__drop"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
+    types = "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in carry)
+    return rows.join(drop, "doc_id", "left").mapInArrow(_rebuild(["doc_id", *carry]), f"doc_id long, {types}n_lines long, n_removed long, kept string, kept_sha256 string")

@@ -94,11 +94,13 @@ def _repeated(window: int, anchor: int, width_bits: int, shared):
     return run
 
 
-def _cut(window: int):
+def _cut(window: int, names: list[str]):
+    """The last two columns are the text and the marks; those before pass through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept, digests = [], [], [], []
-            for text, marks in zip(batch.column(1), batch.column(2)):
+            for text, marks in zip(*batch.columns[-2:]):
                 words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
                 n = len(words)
                 if marks.is_valid and n:
@@ -114,8 +116,8 @@ def _cut(window: int):
                 kept.append(out)
                 digests.append(hashlib.sha256(out).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digests, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
+                [*batch.columns[:-2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digests, pa.string())],
+                names=[*names, "n_words", "n_removed", "kept", "kept_sha256"],
             )
 
     return run
@@ -133,8 +135,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     return hits.join(first, ["h1", "h2"]).where("doc_id > first_id").select("doc_id", "at")
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, width_bits: int | None = None) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept, kept_sha256.
+def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, width_bits: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, the columns named in ``carry``, n_words, n_removed, kept, kept_sha256.
 
     Each word covered by a window whose word sequence also starts in a document with a smaller
     doc_id goes; the others stay, joined by one space. A word is a run of bytes other than space
@@ -143,6 +145,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     first nor cut. Windows within one document do not count against each other. An empty table
     gives an empty table. Other columns are ignored.
     """
-    marks = repeated_windows(docs, window, anchor, width_bits).groupBy("doc_id").agg(F.collect_set("at").alias("marks"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id", "left")
-    return joined.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    marks = repeated_windows(docs, window, anchor, width_bits).groupBy("doc_id").agg(F.collect_set("at").alias("__marks"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
+    types = "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in carry)
+    return rows.join(marks, "doc_id", "left").mapInArrow(_cut(window, ["doc_id", *carry]), f"doc_id long, {types}n_words long, n_removed long, kept string, kept_sha256 string")
