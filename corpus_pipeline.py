@@ -19,10 +19,9 @@ from loomgraph.llm.toxicity import toxicity_filter
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _with_text(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents with the texts in ``kept`` (doc_id, kept); n_chars follows the text. doc_id is the key."""
-    rest = docs.drop("text", "n_chars")
-    return kept.select("doc_id", F.col("kept").alias("text")).join(rest, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+def _with_text(kept: DataFrame) -> DataFrame:
+    """The documents with ``kept`` as their text; n_chars follows the text."""
+    return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,18 +31,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that repeat an earlier line of the corpus."""
-    return _with_text(docs, line_dedup(docs))
+    return _with_text(line_dedup(docs, carry=("lang", "source")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest doc_id, of each group that shingle links connect."""
-    kept = ngram_join(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    copies = ngram_join(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the passages of 50 words or more that an earlier document has."""
-    return _with_text(docs, substring_dedup(docs))
+    return _with_text(substring_dedup(docs, carry=("lang", "source")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
