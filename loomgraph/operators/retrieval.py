@@ -25,6 +25,10 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return flat.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
+def _equals(word: str):
+    return lambda x: x == word
+
+
 def bm25(docs: DataFrame, query: list[str], id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of documents with a query term; a repeated query term counts each time.
 
@@ -33,7 +37,7 @@ def bm25(docs: DataFrame, query: list[str], id_col: str = "doc_id", text_col: st
     """
     wanted = sorted(set(query))
     words = docs.select(F.col(id_col).alias("id"), search_tokens(F.col(text_col)).alias("t"))
-    counted = words.select("id", F.size("t").alias("len"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(wanted)])
+    counted = words.select("id", F.size("t").alias("len"), *[F.size(F.filter("t", _equals(w))).alias(f"tf{i}") for i, w in enumerate(wanted)])
     facts = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(wanted))])
     score = F.lit(0.0)
     for i, w in enumerate(wanted):
