@@ -2,48 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Where the session has none (tests), a temporary folder is made once and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+__all__ = ["about_words", "n_parts", "new_path", "shared_dir", "written"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    A written table survives lost executors and is smaller than a checkpoint of rows.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-def slots(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
 def about_words(docs: DataFrame) -> float:
     """A rough count of the words of all texts, to size sketches by."""
     return (docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) / 6.0
