@@ -38,7 +38,7 @@ MOST_BITS = 27
 MOST_LIGHT = 40
 BLOOM_BITS = 26
 #: Rounds in which components meet the centres of their lists, before all remaining pairs are compared.
-ROUNDS = 3
+ROUNDS = 4
 #: Classes of set sizes for each factor e.
 SIZE_CLASSES = 6
 
@@ -180,7 +180,7 @@ def _keys(n: int, percent: int, width_bits: int, light: int, frequent: int, shar
                         owner.append(np.full(len(keys[-1]), d))
                 if keys:
                     own = np.concatenate(owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(ids[own])], names=["key", "set_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(ids[own]), pa.array(size[own])], names=["key", "set_id", "size"])
 
     return run
 
@@ -227,11 +227,11 @@ class _Checker:
         self.fits = f"least(size, other_size) * 100 >= {percent} * greatest(size, other_size)"
 
     def fitting(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b, ...) whose sizes and bitmaps allow a link."""
-        sized = pairs.join(self.marks.withColumnRenamed("set_id", "a"), "a").join(self.marks.select(F.col("set_id").alias("b"), F.col("size").alias("other_size"), F.col("bits").alias("other_bits")), "b")
+        """Those pairs (a, b, size, other_size, ...) whose bitmaps allow a link."""
+        both = pairs.join(self.marks.select(F.col("set_id").alias("a"), "bits"), "a").join(self.marks.select(F.col("set_id").alias("b"), F.col("bits").alias("other_bits")), "b")
         differ = "aggregate(zip_with(bits, other_bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
         near = f"size(bits) <> size(other_bits) or {differ} * {100 + self.percent} <= (size + other_size) * {100 - self.percent}"
-        return sized.where(self.fits).where(near).select(*pairs.columns)
+        return both.where(near).select(*pairs.columns)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """pairs: a written table (a, b) of set ids. Those that link."""
@@ -276,21 +276,21 @@ def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_
     reps = base.where("n_shingles > 0 and isnotnull(doc_id)").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
 
     shared = spark.sparkContext.broadcast(counters.tobytes())
-    keys = docs.select("text").mapInArrow(_keys(n, percent, width_bits, light, frequent, shared), "key long, set_id long")
+    keys = docs.select("text").mapInArrow(_keys(n, percent, width_bits, light, frequent, shared), "key long, set_id long, size long")
     lists = keys.groupBy("key").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("last")).where("centre < last").select("key", "centre")
     active = written(keys.join(lists.select("key"), "key").distinct(), "lists")
 
-    marks = written(base.where("n_shingles > 0").groupBy("set_id").agg(F.min("n_shingles").alias("size"), F.first("bits").alias("bits")), "marks")
+    marks = written(base.where("n_shingles > 0").groupBy("set_id").agg(F.first("bits").alias("bits"), F.count("*").alias("copies")), "marks")
     check = _Checker(docs, reps, marks, n, percent)
-    active = written(active.join(marks.select("set_id", "size"), "set_id"), "sized")
-    placed = active.withColumn("component", F.col("set_id"))
+    placed = active.withColumn("component", F.col("set_id")).join(marks.select("set_id", F.col("copies").alias("weight")), "set_id")
     links = tested = None
     for k in range(ROUNDS):
-        # A centre for each list and class of sizes; the classes shift from round to round.
+        # For each list and class of sizes a centre: first the set with most copies, which its near copies are nearest to,
+        # then a set of the largest component, another in each round. The classes shift from round to round.
         placed = placed.withColumn("class", F.floor(F.log("size") * SIZE_CLASSES + k / ROUNDS))
-        centre = placed.groupBy("key", "class").agg(F.min(F.struct("component", "set_id")).alias("c")).select("key", "class", F.col("c.component").alias("other"), F.col("c.set_id").alias("b"))
-        star = placed.join(centre, ["key", "class"]).where("component <> other").select(F.col("set_id").alias("from"), F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b"))
-        star = star.groupBy("a", "b", "from").agg(F.count("*").alias("shared"))
+        centre = placed.groupBy("key", "class").agg(F.min(F.struct(-F.col("weight"), "component", F.xxhash64("set_id", F.lit(k)), "set_id", "size")).alias("c")).select("key", "class", F.col("c.component").alias("other"), F.col("c.set_id").alias("b"), F.col("c.size").alias("other_size"))
+        star = placed.join(centre, ["key", "class"]).where(f"component <> other and {check.fits}").select(F.col("set_id").alias("from"), "size", "other_size", F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b"))
+        star = star.groupBy("a", "b", "from").agg(F.count("*").alias("shared"), F.first("size").alias("size"), F.first("other_size").alias("other_size"))
         star = written(check.fitting(star if tested is None else star.join(tested, ["a", "b"], "left_anti")), "star")
         best = star.groupBy("from").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         best = written(best, "pairs")
@@ -299,7 +299,8 @@ def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_
         found = written(check.links(best), "links")
         links, tested = (found, best) if links is None else (links.unionByName(found), tested.unionByName(best))
         groups = written(components(links), "groups")
-        placed = active.join(groups.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        members = groups.groupBy("component").agg(F.count("*").alias("weight"))
+        placed = active.join(groups.withColumnRenamed("id", "set_id"), "set_id", "left").join(members, "component", "left").withColumn("component", F.coalesce("component", "set_id")).withColumn("weight", F.coalesce("weight", F.lit(1)))
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         placed = written(placed.join(mixed, "key"), "open")
     if links is None:
@@ -307,7 +308,7 @@ def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_
     else:
         ours = placed.select("key", "set_id", "size", "component")
         other = ours.select("key", F.col("set_id").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other"))
-        crossed = ours.select("key", F.col("set_id").alias("a"), "size", "component").join(other, "key").where(f"component < other and {check.fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        crossed = ours.select("key", F.col("set_id").alias("a"), "size", "component").join(other, "key").where(f"component < other and {check.fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "size", "other_size").distinct()
         crossed = written(check.fitting(crossed.join(tested, ["a", "b"], "left_anti")), "pairs")
         every = groups if crossed.isEmpty() else components(links.unionByName(check.links(crossed)))
 
