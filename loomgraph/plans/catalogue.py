@@ -148,7 +148,7 @@ def pattern_union(spark, sf):
     return Pattern(g).node("a", "Project").select("a.name as name").union(Pattern(g).node("a", "Package").select("a.name as name")).distinct()
 
 
-@query(SUPPLY + "select file_path as brand, count(*) as n, sum(complexity) as total, round(avg(complexity), 6) as mean, min(complexity) as low, max(complexity) as high from nodes where label = 'Function' group by file_path")
+@query(SUPPLY + "select file_path as brand, count(*) as n, cast(sum(complexity) as bigint) as total, round(avg(complexity), 6) as mean, min(complexity) as low, max(complexity) as high from nodes where label = 'Function' group by file_path")
 def pattern_agg(spark, sf):
     out = Pattern(D.supply(spark, sf)).node("a", "Function").select("a.file_path as brand", "count(a.id) as n", "sum(a.complexity) as total", "avg(a.complexity) as mean", "min(a.complexity) as low", "max(a.complexity) as high")
     return out.withColumn("mean", F.round("mean", 6))
