@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import dropped, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,8 +32,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        edges = written(small, "links")
+        last, edges = edges, written(small, "links")
         now = _state(edges)
+        dropped(last)
         if now == before:
             break
         before = now

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_recorders: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where the session has none (tests), a temporary folder is made once and set."""
@@ -19,6 +23,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/loomgraph-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(df.sparkSession)}/loomgraph-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out.__dict__["_folder"] = folder
+    for recorder in _recorders:
+        recorder.append(folder)
+    return out
+
+
+def delete(spark: SparkSession, folders: Iterable[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables that ``written`` made and that no later step reads."""
+    for t in tables:
+        folder = t.__dict__.pop("_folder", None) if t is not None else None
+        if folder:
+            delete(t.sparkSession, [folder])
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that ``written`` makes meanwhile."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
