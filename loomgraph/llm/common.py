@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, written
+from ..storage import dropped, shared_dir, written
 
-__all__ = ["about_words", "n_parts", "new_path", "shared_dir", "written"]
+__all__ = ["about_words", "dropped", "n_parts", "new_path", "shared_dir", "written"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

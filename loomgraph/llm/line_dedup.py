@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import n_parts, written
+from .common import dropped, n_parts, written
 from ..operators.components import components
 from .words import U, Words, chunks, mix, sequence_ids, signed
 
@@ -190,7 +190,7 @@ def _wanted_lines(shared):
 
 
 def _compare(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """pairs: a written table (a, b) of line ids. Those whose lines are similar enough."""
+    """pairs: a written table (a, b) of line ids. Those whose lines are similar enough, written."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
     bloom = sketch.merged(ids.mapInArrow(_bloom, sketch.SCHEMA), 2, BLOOM_BITS, sketch.any_bits)
     shared = docs.sparkSession.sparkContext.broadcast([x.tobytes() for x in bloom])
@@ -199,7 +199,9 @@ def _compare(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     longest = F.greatest(F.length("x"), F.length("y"))
     most = F.floor(F.lit(round(1 - similarity, 9)) * longest + 1e-9).cast("int")
     both = both.select("a", "b", "x", "y", most.alias("most")).where("abs(length(x) - length(y)) <= most")
-    return both.where(F.expr("levenshtein(x, y) <= most")).select("a", "b")
+    found = written(both.where(F.expr("levenshtein(x, y) <= most")).select("a", "b"), "links")
+    dropped(lines)
+    return found
 
 
 def _rebuild(names: list[str]):
@@ -233,7 +235,7 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float
     keys = distinct.select("line_id", "simhash", "size").mapInArrow(_block_keys(distance, similarity), "key long, line_id long, simhash long")
     found = written(keys.repartition(n_parts(spark), "key").sortWithinPartitions("key", "simhash", "line_id").mapInArrow(_candidates(distance), PAIRS), "found")
     pairs = written(found.where("isnotnull(a)").select("a", "b").distinct(), "pairs")
-    links = written(_compare(docs, pairs, similarity), "links")
+    links = _compare(docs, pairs, similarity)
     groups = written(components(links), "groups")
 
     placed = found.where("isnull(a)").select("key", "line_id", "simhash").join(groups.withColumnRenamed("id", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import about_words, written
+from .common import about_words, dropped, written
 from ..operators.components import components
 from .words import U, Words, chunks, grams, mix, signed
 
@@ -234,7 +234,7 @@ class _Checker:
         return both.where(near).select(*pairs.columns)
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a written table (a, b) of set ids. Those that link."""
+        """pairs: a written table (a, b) of set ids. Those that link, written."""
         spark = pairs.sparkSession
         ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(self.reps, "set_id").select("doc_id", "set_id")
         bloom = sketch.merged(ids.mapInArrow(_bloom(BLOOM_BITS), sketch.SCHEMA), 2, BLOOM_BITS, sketch.any_bits)
@@ -243,7 +243,9 @@ class _Checker:
         sets = written(found, "sets")
         both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("items").alias("y")), "b")
         both = both.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("total"), F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
-        return both.where(F.expr(f"100 * shared >= {self.percent} * (total - shared)")).select("a", "b")
+        found = written(both.where(F.expr(f"100 * shared >= {self.percent} * (total - shared)")).select("a", "b"), "links")
+        dropped(sets)
+        return found
 
 
 def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_bits: int | None = None) -> DataFrame:
@@ -294,9 +296,10 @@ def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_
         star = written(check.fitting(star if tested is None else star.join(tested, ["a", "b"], "left_anti")), "star")
         best = star.groupBy("from").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         best = written(best, "pairs")
+        dropped(star)
         if best.isEmpty():
             break
-        found = written(check.links(best), "links")
+        found = check.links(best)
         links, tested = (found, best) if links is None else (links.unionByName(found), tested.unionByName(best))
         groups = written(components(links), "groups")
         members = groups.groupBy("component").agg(F.count("*").alias("weight"))
