@@ -1,7 +1,8 @@
 """Removal of fuzzily repeated lines: SimHash, pigeonhole blocks, edit similarity, one line kept of each group.
 
 A line is normalised to its words (runs other than space and \\x09-\\x0D), lower-cased in A-Z and
-joined by one space. Equal lines are one line from the start. Each has a 64-bit SimHash of its words.
+joined by one space. Equal lines are one line from the start. Each has a 64-bit SimHash of its words,
+longer words weighing more.
 Two lines are candidates when their SimHashes differ in at most DISTANCE bits: of DISTANCE + 1 blocks
 of bits one is then equal (the pigeonhole), so lines meet by block and class of lengths. Candidates
 link when 1 - edit distance / longer length >= SIMILARITY. Of each connected group of lines the
@@ -45,15 +46,19 @@ def _lines(data: np.ndarray, at: np.ndarray) -> tuple[Words, np.ndarray, np.ndar
     return Words(data, edges, lower=True), owner, np.arange(len(owner)) - first
 
 
-def simhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each run of word hashes the majority of each bit; 0 for an empty run."""
-    out = np.zeros(len(first) - 1, dtype=U)
-    full = np.flatnonzero(np.diff(first) > 0)
+def simhash(w: Words) -> np.ndarray:
+    """For each document of ``w`` (a line) the weighted majority of each bit of its words' hashes; 0 for no words.
+
+    A word weighs its bytes past the third, and one: the short words that all lines share decide little.
+    """
+    out = np.zeros(len(w.counts), dtype=U)
+    full = np.flatnonzero(w.counts > 0)
     if len(full):
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, first[full], axis=0, dtype=np.int32)
-        major = (2 * ones > np.diff(first)[full][:, None]).astype(np.uint8)
-        out[full] = np.packbits(major, axis=1).view(U).ravel()
+        weight = (np.maximum(w.end - w.start, 3) - 2).astype(np.int32)
+        bits = np.unpackbits(w.hashes().view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits * weight[:, None], w.first[full], axis=0)
+        total = np.add.reduceat(weight, w.first[full])
+        out[full] = np.packbits((2 * ones > total[:, None]).astype(np.uint8), axis=1).view(U).ravel()
     return out
 
 
@@ -72,7 +77,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(signed(sequence_ids(h, w.first))[full]),
                     pa.array(ids[i + owner[full]].astype(np.int64)),
                     pa.array(place[full].astype(np.int32)),
-                    pa.array(signed(simhash(h, w.first))[full]),
+                    pa.array(signed(simhash(w))[full]),
                     pa.array(size[full].astype(np.int32)),
                 ],
                 names=["line_id", "doc_id", "place", "simhash", "size"],

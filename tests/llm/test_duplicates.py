@@ -164,7 +164,7 @@ def line_want(rows):
     for x in names:
         raw = np.frombuffer(x.encode(), dtype=np.uint8)
         w = Words(raw, np.array([0, len(raw)]), lower=True)
-        hashes.append(int(line_dedup.simhash(w.hashes(), w.first)[0]))
+        hashes.append(int(line_dedup.simhash(w)[0]))
     pairs = []
     for i, a in enumerate(names):
         for j in range(i):
