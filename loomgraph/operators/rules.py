@@ -16,7 +16,7 @@ class Rule:
     pattern: str
 
 
-#: Severities and what they weigh.
+#: Severities and what they weigh.
 SEVERITY_WEIGHTS = {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1}
 
 
