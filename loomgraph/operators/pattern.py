@@ -28,13 +28,13 @@ class Pattern:
     def _copy(self, rows: DataFrame, last: str) -> Pattern:
         return Pattern(self.graph, rows, last)
 
-    def _nodes(self, name: str, label: str | None, **equal) -> DataFrame:
+    def _nodes(self, name: str, label: str | None, /, **equal) -> DataFrame:
         nodes = self.graph.scan([label] if label else None)
         for k, v in equal.items():
             nodes = nodes.where(F.col(k) == v)
         return nodes.select(F.struct(*nodes.columns).alias(name))
 
-    def node(self, name: str, label: str | None = None, **equal) -> Pattern:
+    def node(self, name: str, label: str | None = None, /, **equal) -> Pattern:
         """A node by label and properties; after ``hop`` the node that the edge leads to."""
         nodes = self._nodes(name, label, **equal)
         if self.rows is None:
