@@ -66,5 +66,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_byte_bpe, op2_order_minhash, op3_ngram_join, op4_substring_dedup, op5_line_dedup, op6_embedding_dedup, op7_quality, op8_sstable, op9_toxicity, op10_best_fit_packing)}
 
 
+WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
+NGRAM_JOIN_SQL = (
+    "with recursive w as (select doc_id, "
+    + WORDS_SQL.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    + """ as w from documents),
+    s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    i as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+    e as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 90 * (x.n + y.n - k)),
+    r as (select doc_id as id, doc_id as c from documents union select b, c from r join e on a = id)
+    select id as doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(c) as component_id from r left join n on n.doc_id = id group by id"""
+)
+
+SUBSTRING_SQL = (
+    "with w as (select doc_id, "
+    + WORDS_SQL.format(text="coalesce(text, '')")
+    + """ as w from documents),
+    win as (select doc_id, unnest(range(1, len(w) - 48)) as i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) as h from w where len(w) >= 50),
+    f as (select h, min(doc_id) as d from win group by h),
+    gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from win join f using (h) where doc_id > d),
+    k as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from w),
+    kept as (select k.doc_id, string_agg(x, ' ' order by p) as t, count(*) as n from k anti join gone on gone.doc_id = k.doc_id and gone.p = k.p group by k.doc_id)
+    select w.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept on kept.doc_id = w.doc_id"""
+)
+
+EMBEDDING_SQL = """
+with recursive e as (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.93),
+r as (select vec_id as id, vec_id as c from embeddings union select b, c from r join e on a = id),
+n as (select a, count(*) as n from e group by a)
+select id as vec_id, coalesce(any_value(n.n), 0) as n_links, min(c) as component_id, id = min(c) as kept from r left join n on n.a = id group by id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express; the others are tested against brute force, the libraries or held-out labels."""
+    return {"op3_ngram_join": NGRAM_JOIN_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op6_embedding_dedup": EMBEDDING_SQL}
