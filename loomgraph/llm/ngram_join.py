@@ -306,14 +306,16 @@ def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_
         placed = active.join(groups.withColumnRenamed("id", "set_id"), "set_id", "left").join(members, "component", "left").withColumn("component", F.coalesce("component", "set_id")).withColumn("weight", F.coalesce("weight", F.lit(1)))
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         placed = written(placed.join(mixed, "key"), "open")
-    if links is None:
-        every = spark.createDataFrame([], "id long, component long")
+    # Also without any star: sets of neighbouring classes meet only here.
+    ours = placed.select("key", "set_id", "size", "component")
+    other = ours.select("key", F.col("set_id").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other"))
+    crossed = ours.select("key", F.col("set_id").alias("a"), "size", "component").join(other, "key").where(f"component < other and {check.fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "size", "other_size").distinct()
+    crossed = written(check.fitting(crossed if tested is None else crossed.join(tested, ["a", "b"], "left_anti")), "pairs")
+    if not crossed.isEmpty():
+        found = check.links(crossed)
+        every = components(found if links is None else links.unionByName(found))
     else:
-        ours = placed.select("key", "set_id", "size", "component")
-        other = ours.select("key", F.col("set_id").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other"))
-        crossed = ours.select("key", F.col("set_id").alias("a"), "size", "component").join(other, "key").where(f"component < other and {check.fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "size", "other_size").distinct()
-        crossed = written(check.fitting(crossed.join(tested, ["a", "b"], "left_anti")), "pairs")
-        every = groups if crossed.isEmpty() else components(links.unionByName(check.links(crossed)))
+        every = spark.createDataFrame([], "id long, component long") if links is None else groups
 
     by_doc = reps.join(every.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     lowest = by_doc.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -74,6 +74,17 @@ def test_ngram_join_hard(hard, empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+@pytest.mark.parametrize("light", [None, 0])
+def test_ngram_join_only_pair(spark, monkeypatch, light):
+    """The only near pair of a table lies in two classes of sizes, so no round of centres finds it."""
+    if light is not None:
+        monkeypatch.setattr(ngram_join, "boundary", lambda *a: light)
+    words = [f"w{k}" for k in range(12)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "some other words of no near copy at all")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_want(rows) == {1: (10, 1), 2: (11, 1), 3: (7, 3)}
+
+
 def test_boundary_is_cheapest():
     sizes = {s: 100 for s in range(1, 60)}
     assert ngram_join.boundary(sizes, 0.0, 90) <= ngram_join.boundary(sizes, 50.0, 90)
