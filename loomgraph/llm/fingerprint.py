@@ -21,6 +21,8 @@ from .words import _Powers, U, mix
 
 K, M, L = 10, 32, 2
 BLOCK = 1 << 15
+#: A k-mer's value is its hash without so many low bits, whatever the text's length; they hold its place while it is sorted.
+PLACE_BITS = 24
 _POINTS = _Powers(0xD1342543DE82EF95 | 1)
 _RNG = np.random.default_rng(20240229)
 FLIPS = _RNG.integers(0, 1 << 32, M, dtype=np.uint32)
@@ -31,6 +33,17 @@ def code_points(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw.decode().encode("utf-32-le"), dtype=np.uint32)
 
 
+def _sorted(h: np.ndarray, most: int = 1 << PLACE_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The values of k-mers in ascending order, equal ones by place, and their places."""
+    bits = U(PLACE_BITS)
+    if len(h) > most:
+        value = h >> bits
+        at = np.argsort(value, kind="stable")
+        return value[at], at
+    key = np.sort((h >> bits << bits) | np.arange(len(h), dtype=U))
+    return key >> bits, (key & ((U(1) << bits) - U(1))).astype(np.int64)
+
+
 def fingerprint(points: np.ndarray) -> np.ndarray:
     """M numbers of 32 bits. A text shorter than K is one k-mer; an empty text has fixed numbers."""
     n = len(points)
@@ -42,10 +55,7 @@ def fingerprint(points: np.ndarray) -> np.ndarray:
     np.cumsum((points.astype(U) + U(1)) * up[:n], out=sums[1:])
     h = mix((sums[k:] - sums[:-k]) * down[: n - k + 1] + U(k))
     count = len(h)
-    bits = U(max(1, int(count - 1).bit_length()))
-    key = np.sort((h >> bits << bits) | np.arange(count, dtype=U))
-    at = (key & ((U(1) << bits) - U(1))).astype(np.int64)
-    value = key >> bits
+    value, at = _sorted(h)
     new = np.ones(count, dtype=bool)
     new[1:] = value[1:] != value[:-1]
     begin = np.maximum.accumulate(np.where(new, np.arange(count), 0))

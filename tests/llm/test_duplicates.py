@@ -259,6 +259,22 @@ def test_fingerprint_falls_with_edits_and_order():
     assert fingerprint.likeness(fingerprint.fingerprint(blocks), fingerprint.fingerprint(blocks.copy())) == 1.0
 
 
+@pytest.mark.parametrize("k_mers", [64, 256, 1024, 8192])
+def test_fingerprint_across_powers_of_two(k_mers):
+    """Texts of 2**k and of one more k-mers are as alike as texts on one side of it."""
+    rng = np.random.default_rng(k_mers)
+    text = rng.integers(97, 123, k_mers + fingerprint.K + 2).astype(np.uint32)
+    marks = {n: fingerprint.fingerprint(text[: n + fingerprint.K - 1]) for n in range(k_mers - 3, k_mers + 4)}
+    for n in range(k_mers - 3, k_mers + 3):
+        assert fingerprint.likeness(marks[n], marks[n + 1]) > 0.8
+
+
+def test_sorted_k_mers():
+    h = np.random.default_rng(3).integers(0, 9, 500).astype(np.uint64) << np.uint64(40)
+    for x, y in zip(fingerprint._sorted(h), fingerprint._sorted(h, most=0)):
+        assert x.tolist() == y.tolist()
+
+
 def made_vectors(spark, seed=4):
     rng = np.random.default_rng(seed)
     rows, n = [], 0
