@@ -1,5 +1,7 @@
 """Each stage of the pipeline on its own input, and the whole."""
 
+import random
+
 import corpus_pipeline as cp
 from loomgraph.llm.ngram_join import ngram_join
 
@@ -34,3 +36,26 @@ def test_odd_ids_stay(spark, docs):
     for _, stage in cp.STAGES[1:4]:
         out = stage(spark, odd, SF)
         assert out.where("doc_id is null").count() == 1 and out.where("doc_id = 9999").count() == 1
+
+
+def test_near_copies_by_five_words(spark, docs):
+    """Against brute force at five words and 0.8: copies whose three-word Jaccard is below 0.9 go too."""
+    rnd = random.Random(6)
+    texts = []
+    for n in range(44, 62):
+        base = [f"w{rnd.randrange(10_000)}" for _ in range(n)]
+        for changes in (0, 1, 3):
+            copy = list(base)
+            for k in range(changes):
+                copy[10 + 12 * k] = f"x{rnd.randrange(10_000)}"
+            texts.append(" ".join(copy))
+
+    def likeness(a, b, n):
+        x, y = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (a.split(), b.split()))
+        return len(x & y) / len(x | y)
+
+    links = [(a, b) for b in range(len(texts)) for a in range(b) if likeness(texts[a], texts[b], 5) >= 0.8]
+    assert any(likeness(texts[a], texts[b], 3) < 0.9 for a, b in links)
+    rows = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in enumerate(texts)], docs.schema)
+    # No chains here: a text is linked to its own base alone, so the later one of each link goes.
+    assert {r["doc_id"] for r in cp.drop_near_copies(spark, rows, SF).collect()} == set(range(len(texts))) - {b for _, b in links}
