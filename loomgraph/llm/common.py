@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import dropped, shared_dir, written
 
-__all__ = ["about_words", "dropped", "n_parts", "new_path", "shared_dir", "written"]
+__all__ = ["about_words", "dropped", "n_parts", "new_path", "released", "shared_dir", "written"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -23,3 +24,9 @@ def n_parts(spark: SparkSession) -> int:
 def about_words(docs: DataFrame) -> float:
     """A rough count of the words of all texts, to size sketches by."""
     return (docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) / 6.0
+
+
+def released(*values: Broadcast) -> None:
+    """Take broadcast values from the executors; a task that is run again fetches them anew."""
+    for v in values:
+        v.unpersist()

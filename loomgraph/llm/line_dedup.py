@@ -1,15 +1,22 @@
 """Removal of fuzzily repeated lines: SimHash, pigeonhole blocks, edit similarity, one line kept of each group.
 
 A line is normalised to its words (runs other than space and \\x09-\\x0D), lower-cased in A-Z and
-joined by one space. Equal lines are one line from the start. Each has a 64-bit SimHash of its words,
-longer words weighing more.
-Two lines are candidates when their SimHashes differ in at most DISTANCE bits: of DISTANCE + 1 blocks
-of bits one is then equal (the pigeonhole), so lines meet by block and class of lengths. Candidates
-link when 1 - edit distance / longer length >= SIMILARITY. Of each connected group of lines the
-first occurrence, by doc_id and place, stays.
-
-Where many lines meet, each is first compared to its neighbours in SimHash order and to a few
-centres; what the links found join needs no more comparison, and the rest is compared all.
+joined by one space. Equal lines are one line from the start. A line's SimHash is a row of 64-bit
+blocks. Each of its features (words of over three bytes; for lines of few such words, runs of four
+bytes) votes in the block that its own hash names, and a block's bits are the majority of its votes.
+So an edit reaches only the blocks of the features that it removes and adds, and by the pigeonhole
+principle the others stay equal: two lines are candidates when a block is equal. The number of blocks
+follows the line's length, a few features to a block; lines of lengths near a change of that
+number have the blocks of both numbers, short lines have several ways of dealing features to blocks,
+and of a long line's blocks the first BLOCKS are enough to meet by.
+
+Candidates link when 1 - edit distance / longer length >= SIMILARITY. Of each connected group of
+lines the first occurrence, by doc_id and place, stays.
+
+Each task sends one entry for each of its block values, packed, to the task where equal values meet,
+and lines that meet inside one task at once; so a block value that most lines share is one entry from
+each task. Where lines meet, each is first compared to the most frequent of them. What the found
+links join needs no more comparison, and all other pairs are then compared.
 """
 
 from __future__ import annotations
@@ -19,196 +26,332 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import dropped, n_parts, written
+from .common import dropped, n_parts, released, written
 from ..operators.components import components
 from .words import U, Words, chunks, mix, sequence_ids, signed
 
-DISTANCE = 3
 SIMILARITY = 0.8
-#: Lengths whose ratio is at least SIMILARITY lie in one class or in two next to each other.
-SMALL_RUN = 64
-CENTRES = 8
+#: Blocks by which a line meets others, of one number of blocks.
+BLOCKS = 12
+#: The fewest features of a block that counts, and their average number: for words and for runs of bytes.
+WORD_BLOCK, RUN_BLOCK = (3, 5.0), (4, 6.0)
+#: Lines so near (in powers of two) to a change of the number of blocks have both: similar lines differ by less.
+SLACK = 0.35
+#: Words of more bytes are features; lines with at least FEW_WORDS of them have blocks of words, with at most SOME_WORDS blocks of byte runs.
+SHORT_WORD = 3
+FEW_WORDS, SOME_WORDS = 7, 11
+RUN = 4
 BLOOM_BITS = 26
-OCCURRENCES = "line_id long, doc_id long, place int, simhash long, size int"
+LETTERS = 32
+ROUNDS = 2
+#: Entries that a task holds before it sends them.
+MOST_ENTRIES = 1 << 21
+#: Rows of packed entries for each partition that they are dealt to.
+SHARES = 8
+RESULT = ("doc_id", "n_lines", "n_removed", "kept", "kept_sha256", "text")
+
+VOTE_BITS = 40
+#: For each byte its bits, each in a byte of its own.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(U).ravel()
 
 
 def _lines(data: np.ndarray, at: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
     """All lines of a group of documents as if they were documents; the document and place of each."""
+    edges, owner, place = _edges(data, at)
+    return Words(data, edges, lower=True), owner, place
+
+
+def _edges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     breaks = np.flatnonzero(data == 10) + 1
     edges = np.sort(np.concatenate([at[:-1], breaks, at[-1:]]), kind="stable")
     # A line break at a document's end starts an empty line of that document, at the same byte as the next document.
     owner = np.repeat(np.arange(len(at) - 1), np.bincount(np.searchsorted(at[1:], breaks - 1, side="right"), minlength=len(at) - 1) + 1)
     first = np.searchsorted(owner, owner)
-    return Words(data, edges, lower=True), owner, np.arange(len(owner)) - first
-
-
-def simhash(w: Words) -> np.ndarray:
-    """For each document of ``w`` (a line) the weighted majority of each bit of its words' hashes; 0 for no words.
-
-    A word weighs its bytes past the third, and one: the short words that all lines share decide little.
-    """
-    out = np.zeros(len(w.counts), dtype=U)
-    full = np.flatnonzero(w.counts > 0)
-    if len(full):
-        weight = (np.maximum(w.end - w.start, 3) - 2).astype(np.int32)
-        bits = np.unpackbits(w.hashes().view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits * weight[:, None], w.first[full], axis=0)
-        total = np.add.reduceat(weight, w.first[full])
-        out[full] = np.packbits((2 * ones > total[:, None]).astype(np.uint8), axis=1).view(U).ravel()
-    return out
-
-
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, _, data, at in chunks(batch.column(1)):
-            w, owner, place = _lines(data, at)
-            h = w.hashes()
-            length = np.zeros(len(h) + 1, dtype=np.int64)
-            np.cumsum(w.end - w.start + 1, out=length[1:])
-            size = length[w.first[1:]] - length[w.first[:-1]] - 1
-            full = w.counts > 0
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(signed(sequence_ids(h, w.first))[full]),
-                    pa.array(ids[i + owner[full]].astype(np.int64)),
-                    pa.array(place[full].astype(np.int32)),
-                    pa.array(signed(simhash(w))[full]),
-                    pa.array(size[full].astype(np.int32)),
-                ],
-                names=["line_id", "doc_id", "place", "simhash", "size"],
-            )
-
-
-def _block_keys(distance: int, similarity: float):
-    """(key, line_id, simhash): each line under each of its blocks and two classes of lengths."""
-    blocks = distance + 1
-    width = 64 // blocks
+    return edges, owner, np.arange(len(owner)) - first
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... count[0] of them, then those of the next."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - count), count)
+
+
+def _majority(votes: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots that have votes (hashes, each counting once in a slot), their number, and the majority of each bit."""
+    both = np.sort(slot.astype(U) << U(VOTE_BITS) | votes >> U(64 - VOTE_BITS))
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+    slot, votes = both >> U(VOTE_BITS), mix(both & U((1 << VOTE_BITS) - 1))
+    first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+    count = np.diff(np.append(first, len(slot)))
+    ones = np.empty((len(first), 8), dtype=U)
+    for k in range(8):
+        ones[:, k] = np.add.reduceat(_SPREAD[(votes >> U(8 * k)).astype(np.uint8)], first)
+    bits = ones.view(np.uint8).astype(np.uint16) * 2 > count[:, None]
+    return slot[first].astype(np.int64), count, np.packbits(bits, axis=1).view(U).ravel()
+
+
+def _blocks(features: np.ndarray, first: np.ndarray, kind: int, least: int, group: float) -> tuple[np.ndarray, np.ndarray]:
+    """Block values of lines, given each line's features (hashes): (values, lines)."""
+    m = np.diff(first)
+    x = np.log2(np.maximum(m, 1) / group)
+    middle = np.rint(x)
+    values, lines = [], []
+    for step in (-1, 0, 1):
+        use = m >= 2 * least
+        if step:
+            use &= ((x - middle) * step > 0.5 - SLACK) & (middle + step >= 1)
+        power = np.maximum(middle + step, 1).astype(np.int64)
+        rounds = -(-BLOCKS // np.minimum(1 << np.minimum(power, 20), BLOCKS))
+        for r in range(int(rounds[use].max()) if use.any() else 0):
+            own = np.flatnonzero(use & (rounds > r))
+            owner = np.repeat(np.arange(len(own)), m[own])
+            f = mix(features[_ranges(first[:-1][own], m[own])] ^ U((2 * r + 1) * 0xA0761D6478BD642F % (1 << 64)))
+            block = (f >> (U(64) - power[own][owner].astype(U))).astype(np.int64)
+            some = block < BLOCKS
+            if not some.any():
+                continue
+            slot, count, bits = _majority(mix(f[some]), owner[some] * BLOCKS + block[some])
+            full = count >= least
+            slot, bits = slot[full], bits[full]
+            line = own[slot // BLOCKS]
+            name = ((power[line] * 64 + r) * BLOCKS + slot % BLOCKS) * 2 + kind
+            values.append(mix(bits ^ mix(name.astype(U))))
+            lines.append(line)
+    if not values:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    return np.concatenate(values), np.concatenate(lines)
+
+
+def block_values(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash blocks of the documents of ``w`` (lines): (values, lines)."""
+    size = w.end - w.start
+    long = size > SHORT_WORD
+    before = np.concatenate(([0], np.cumsum(long)))[w.first]
+    n_long = np.diff(before)
+    by_word = n_long >= FEW_WORDS
+    h = w.hashes()[long]
+    counts = np.where(by_word, n_long, 0)
+    values, lines = _blocks(h[_ranges(before[:-1], counts)], np.concatenate(([0], np.cumsum(counts))), 0, *WORD_BLOCK)
+
+    own = np.flatnonzero((n_long <= SOME_WORDS) & (w.counts > 0))
+    if not len(own):
+        return values, lines
+    words = _ranges(w.first[:-1][own], w.counts[own])
+    length = size[words] + 1
+    flat = w.data[np.minimum(_ranges(w.start[words], length), len(w.data) - 1)].copy()
+    flat[np.cumsum(length) - 1] = 32
+    line_size = np.add.reduceat(length, np.cumsum(w.counts[own]) - w.counts[own])
+    begin = np.cumsum(line_size) - line_size
+    runs = np.maximum(line_size - (RUN - 1), 0)
+    at = _ranges(begin, runs)
+    value = np.zeros(len(at), dtype=U)
+    for k in range(RUN):
+        value |= flat[at + k].astype(U) << U(8 * k)
+    more, whose = _blocks(mix(value), np.concatenate(([0], np.cumsum(runs))), 1, *RUN_BLOCK)
+    return np.concatenate([values, more]), np.concatenate([lines, own[whose]])
+
+
+#: What a task sends, packed. SEEN: lines, their documents and places. MET: lines and block values that meet inside the task, and copies.
+#: ONE: one line for each block value, and its copies; negative where its lines have been sent already.
+SEEN, MET, ONE = 0, 1, 2
+PACKED = "share int, kind int, lines binary, keys binary, numbers binary"
+ROWS = "line_id long, doc_id long, place int, key long, copies int"
+
+
+class _Sender:
+    """Entries of one task, dealt to shares."""
+
+    def __init__(self, shares: int):
+        self.shares, self.turn = shares, TaskContext.get().partitionId() % shares
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def row(self, kind: int, lines: np.ndarray, keys: np.ndarray, numbers: np.ndarray, share: int | None = None) -> pa.RecordBatch:
+        if share is None:
+            share = self.turn = (self.turn + 1) % self.shares
+        return pa.RecordBatch.from_arrays([pa.array([share], pa.int32()), pa.array([kind], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (lines, keys, numbers)]], names=["share", "kind", "lines", "keys", "numbers"])
+
+    def add(self, keys: np.ndarray, lines: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((keys, lines))
+        self.size += len(keys)
+        if self.size >= MOST_ENTRIES:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        keys, lines = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.size = [], 0
+        order = np.lexsort((lines, keys))
+        keys, lines = keys[order], lines[order]
+        at = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1]))))
+        copies = np.diff(np.append(at, len(keys))).astype(np.int32)
+        keys, lines = keys[at], lines[at]
+        again = np.concatenate(([False], keys[1:] == keys[:-1], [False]))
+        here = again[:-1] | again[1:]
+        for i in range(0, int(here.sum()), 1 << 16):
+            x = np.flatnonzero(here)[i : i + (1 << 16)]
+            yield self.row(MET, lines[x], keys[x], copies[x])
+        one = np.flatnonzero(~again[:-1])
+        number = np.where(here, -copies, copies)[one]
+        share = (keys[one] % U(self.shares)).astype(np.int64)
+        order = np.argsort(share, kind="stable")
+        edges = np.searchsorted(share[order], np.arange(self.shares + 1))
+        for s in np.flatnonzero(np.diff(edges)):
+            x = order[edges[s] : edges[s + 1]]
+            yield self.row(ONE, lines[one[x]], keys[one[x]], number[x], int(s))
+
+
+def _send(shares: int):
+    """One pass over the texts: occurrences of lines, and their block values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = _Sender(shares)
         for batch in batches:
-            ids, hashes, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            band = np.floor(np.log(np.maximum(size, 1)) / -np.log(similarity)).astype(np.int64)
-            keys = []
-            for b in range(blocks):
-                low = width * b
-                part = (hashes.view(U) >> U(low)) & U((1 << (64 - low if b == blocks - 1 else width)) - 1)
-                for c in (0, 1):
-                    keys.append(signed(mix(mix(part + U(b)) ^ (band + c).astype(U))))
-            n = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(ids, n)), pa.array(np.tile(hashes, n))], names=["key", "line_id", "simhash"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, _, data, at in chunks(batch.column(1)):
+                w, owner, place = _lines(data, at)
+                line = sequence_ids(w.hashes(), w.first)
+                full = w.counts > 0
+                if full.any():
+                    yield sender.row(SEEN, line[full], ids[i + owner[full]].astype(np.int64), place[full].astype(np.int32))
+                    keys, whose = block_values(w)
+                    yield from sender.add(keys, line[whose])
+        yield from sender.flush()
 
     return run
 
 
-def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= distance
-
-
-def _run_pairs(key: np.ndarray, ids: np.ndarray, hashes: np.ndarray, distance: int) -> tuple[list, list, np.ndarray]:
-    """Pairs of ids in runs of equal keys (rows sorted by key and simhash), and the rows of long runs."""
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.append(start, len(key)))
-    run = np.repeat(np.arange(len(start)), size)
-    long = size[run] > SMALL_RUN
-    a, b = [], []
-    left = np.flatnonzero(~long & (size[run] > 1))
-    for k in range(1, SMALL_RUN):
-        left = left[(left + k < len(key))]
-        left = left[run[left + k] == run[left]]
-        if not len(left):
-            break
-        hit = left[_near(hashes[left], hashes[left + k], distance)]
-        a.append(ids[hit])
-        b.append(ids[hit + k])
-    for r in np.flatnonzero(size > SMALL_RUN):
-        s, n = start[r], size[r]
-        rows = np.arange(s, s + n)
-        for other in [np.append(rows[1:], rows[-1]), *(np.full(n, s + n * c // CENTRES) for c in range(CENTRES))]:
-            hit = _near(hashes[rows], hashes[other], distance) & (rows != other)
-            a.append(ids[rows[hit]])
-            b.append(ids[other[hit]])
-    return a, b, np.flatnonzero(long)
-
-
-PAIRS = "a long, b long, key long, line_id long, simhash long"
-
-
-def _candidates(distance: int):
-    """Pairs to compare, and the members of long runs (key set), from rows sorted by key."""
-
-    def out(key, ids, hashes):
-        a, b, long = _run_pairs(key, ids, hashes, distance)
-        if a:
-            x, y = np.concatenate(a), np.concatenate(b)
-            pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            n = len(pair)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), *[pa.nulls(n, pa.int64())] * 3], names=["a", "b", "key", "line_id", "simhash"])
-        if len(long):
-            n = len(long)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 2, pa.array(key[long]), pa.array(ids[long]), pa.array(hashes[long])], names=["a", "b", "key", "line_id", "simhash"])
+def _rows(lines: np.ndarray, keys: np.ndarray, numbers: np.ndarray, seen: bool) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(lines), 1 << 16):
+        x, y, z = (pa.array(v[i : i + (1 << 16)]) for v in (lines, keys, numbers))
+        none, small = pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int32())
+        yield pa.RecordBatch.from_arrays([x, y, z, none, small] if seen else [x, none, small, y, z], names=["line_id", "doc_id", "place", "key", "copies"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            if not len(cols[0]):
-                continue
-            last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last run may go on
-            held = [c[last:] for c in cols]
-            if last:
-                yield from out(*(c[:last] for c in cols))
-        if held is not None and len(held[0]):
-            yield from out(*held)
 
-    return run
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unpacked: occurrences of lines, and the lines of each block value that two lines or more have."""
+    held = []
+    for batch in batches:
+        for kind, *packed in zip(batch.column("kind").to_pylist(), *(batch.column(c) for c in ("lines", "keys", "numbers"))):
+            lines, keys, numbers = (np.frombuffer(x.as_buffer(), dtype=t) for x, t in zip(packed, (np.int64, np.int64, np.int32)))
+            if kind == ONE:
+                held.append((lines.copy(), keys.copy(), numbers.copy()))
+            else:
+                yield from _rows(lines, keys, numbers, kind == SEEN)
+    if held:
+        lines, keys, numbers = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((lines, keys))
+        lines, keys, numbers = lines[order], keys[order], numbers[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        size = np.diff(np.append(first, len(keys)))
+        shared = np.repeat(lines[first] != lines[first + size - 1], size) & (numbers > 0)
+        yield from _rows(lines[shared], keys[shared], numbers[shared], False)
 
 
 def _bloom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = sketch.Partial(2, BLOOM_BITS)
     for batch in batches:
-        part.add(mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)))
+        docs, places = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+        part.add(_spot(docs, places))
     yield from part.batches()
 
 
+def _spot(docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return mix(mix(docs.astype(np.int64).view(U)) ^ places.astype(np.uint64))
+
+
 def _wanted_lines(shared):
+    """The normalised lines at the places that the filter holds; only those are looked at."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = [np.frombuffer(x, dtype=np.uint8) for x in shared.value]
         for batch in batches:
-            for _, _, data, at in chunks(batch.column(0)):
-                w, _, _ = _lines(data, at)
-                ids = sequence_ids(w.hashes(), w.first)
-                hit = np.flatnonzero(sketch.has_bits(bloom, mix(ids), BLOOM_BITS) & (w.counts > 0))
-                if len(hit):
-                    _, once = np.unique(ids[hit], return_index=True)
-                    hit = hit[once]
-                    texts = [b" ".join(w.text(k) for k in range(w.first[d], w.first[d + 1])) for d in hit]
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(ids[hit])), pa.array(texts, pa.binary()).cast(pa.string())], names=["line_id", "line"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, _, data, at in chunks(batch.column(1)):
+                edges, owner, place = _edges(data, at)
+                hit = np.flatnonzero(sketch.has_bits(bloom, _spot(ids[i + owner], place), BLOOM_BITS) & (edges[:-1] < edges[1:]))
+                if not len(hit):
+                    continue
+                size = edges[hit + 1] - edges[hit]
+                w = Words(data[_ranges(edges[hit], size)], np.concatenate(([0], np.cumsum(size))), lower=True)
+                line = sequence_ids(w.hashes(), w.first)
+                texts = [b" ".join(x.split()) for x in np.split(w.data, np.cumsum(size)[:-1]) for x in [x.tobytes()]]
+                full = pa.array(w.counts > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(line)), pa.array(texts, pa.binary()).cast(pa.string()), _bags(texts)], names=["line_id", "line", "bag"]).filter(full)
 
     return run
 
 
-def _compare(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """pairs: a written table (a, b) of line ids. Those whose lines are similar enough, written."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
-    bloom = sketch.merged(ids.mapInArrow(_bloom, sketch.SCHEMA), 2, BLOOM_BITS, sketch.any_bits)
-    shared = docs.sparkSession.sparkContext.broadcast([x.tobytes() for x in bloom])
-    lines = written(docs.select("text").mapInArrow(_wanted_lines(shared), "line_id long, line string").groupBy("line_id").agg(F.min("line").alias("line")), "lines")
+def _bags(texts: list[bytes]) -> pa.Array:
+    """For each text how many of its code points are in each of LETTERS classes."""
+    points = [np.frombuffer(x.decode().encode("utf-32-le"), dtype=np.uint32) % LETTERS for x in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in points])
+    bags = np.bincount(owner * LETTERS + np.concatenate(points), minlength=LETTERS * len(texts)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * LETTERS), pa.array(bags))
+
+
+def distance_within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``: Myers' bit vectors, after common ends are cut off."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = (np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32) for s in (a, b))
+    n = min(len(x), len(y))
+    other = np.flatnonzero(x[:n] != y[:n])
+    head = int(other[0]) if len(other) else n
+    n -= head
+    other = np.flatnonzero(x[len(x) - n :] != y[len(y) - n :])
+    tail = n - 1 - int(other[-1]) if len(other) else n
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) <= most:
+        return True
+    if not a:
+        return False
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score, left = full, 0, len(a), len(b)
+    for c in b:
+        same = places.get(c, 0)
+        v = same | down
+        h = (((same & up) + up) ^ up) | same
+        plus, minus = down | (full & ~(h | up)), up & h
+        left -= 1
+        if plus & top:
+            score += 1
+            if score - left > most:
+                return False
+        elif minus & top:
+            score -= 1
+        plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
+        up, down = minus | (full & ~(v | plus)), plus & v
+    return score <= most
+
+
+def _similar(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                hit.append(distance_within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return run
+
+
+def _compare(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """pairs: (a, b) of line ids. Those whose lines are similar enough, written."""
     both = pairs.join(lines.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b")
-    longest = F.greatest(F.length("x"), F.length("y"))
-    most = F.floor(F.lit(round(1 - similarity, 9)) * longest + 1e-9).cast("int")
-    both = both.select("a", "b", "x", "y", most.alias("most")).where("abs(length(x) - length(y)) <= most")
-    # Distances are computed within a band; near copies need only a narrow one, which is tried first.
-    close = "levenshtein(x, y, cast(most / 8 as int)) >= 0 or levenshtein(x, y, most) >= 0"
-    found = written(both.where(F.expr(close)).select("a", "b"), "links")
-    dropped(lines)
-    return found
+    # Dealt out by the pair, so that the comparisons of one line do not meet in one task.
+    return written(both.select("a", "b", "x", "y").repartition(n_parts(pairs.sparkSession), "a", "b").mapInArrow(_similar(similarity), "a long, b long"), "links")
 
 
 def _rebuild(names: list[str]):
@@ -233,42 +376,77 @@ def _rebuild(names: list[str]):
     return run
 
 
-def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, place): each line that is not the first of its group; places count lines of a document from 0."""
+def line_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (line_id, doc_id, place) of lines with words, and groups (id, component) of lines that links join, both written."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("isnotnull(doc_id)")
-    seen = written(docs.mapInArrow(_occurrences, OCCURRENCES), "occurrences")
-    distinct = written(seen.groupBy("line_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min("simhash").alias("simhash"), F.min("size").alias("size")), "distinct")
-    keys = distinct.select("line_id", "simhash", "size").mapInArrow(_block_keys(distance, similarity), "key long, line_id long, simhash long")
-    found = written(keys.repartition(n_parts(spark), "key").sortWithinPartitions("key", "simhash", "line_id").mapInArrow(_candidates(distance), PAIRS), "found")
-    pairs = written(found.where("isnotnull(a)").select("a", "b").distinct(), "pairs")
-    links = _compare(docs, pairs, similarity)
-    groups = written(components(links), "groups")
-
-    placed = found.where("isnull(a)").select("key", "line_id", "simhash").join(groups.withColumnRenamed("id", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
+    shares = SHARES * n_parts(spark)
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("isnotnull(doc_id)").mapInArrow(_send(shares), PACKED)
+    rows = written(sent.repartition(n_parts(spark), "share").mapInArrow(_meet, ROWS), "lines")
+    seen = rows.where("isnotnull(doc_id)").select("line_id", "doc_id", "place")
+    met = rows.where("isnotnull(key)").select("key", "line_id", "copies")
+
+    wanted = seen.join(met.select("line_id").distinct(), "line_id").groupBy("line_id").agg(F.min(F.struct("doc_id", "place")).alias("spot")).select("spot.doc_id", "spot.place")
+    bloom = sketch.merged(wanted.mapInArrow(_bloom, sketch.SCHEMA), 2, BLOOM_BITS, sketch.any_bits)
+    shared = spark.sparkContext.broadcast([x.tobytes() for x in bloom])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("isnotnull(doc_id)").mapInArrow(_wanted_lines(shared), "line_id long, line string, bag array<int>")
+    lines = written(texts.groupBy("line_id").agg(F.first("line").alias("line"), F.first("bag").alias("bag")), "texts")
+    released(shared)
+
+    links = tested = groups = None
+    sized = met.groupBy("key", "line_id").agg(F.sum("copies").alias("copies")).join(lines.select("line_id", "bag", F.length("line").alias("size")), "line_id")
+    # At least as many edits as letters that one line has and the other has not.
+    missing = "aggregate(zip_with(bag, other_bag, (x, y) -> greatest(x - y, 0)), 0, (s, x) -> s + x)"
+    most = f"{1 - similarity:.9f} * greatest(size, other_size) + 1e-6"
+    fits = f"abs(size - other_size) <= {most} and {missing} + greatest(other_size - size, 0) <= {most}"
+    placed = sized.withColumn("component", F.col("line_id")).withColumn("weight", F.col("copies"))
+    for k in range(ROUNDS):
+        # For each block value the most frequent line, then a line of the largest group.
+        centre = placed.groupBy("key").agg(F.max(F.struct("weight", "copies", F.xxhash64("line_id", F.lit(k)), "line_id", "component", "size", "bag")).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", F.col("c.line_id").alias("to"), F.col("c.component").alias("other"), F.col("c.size").alias("other_size"), F.col("c.bag").alias("other_bag"))
+        star = placed.join(centre, "key").where(f"component <> other and {fits}").select(F.col("line_id").alias("from"), F.least("line_id", "to").alias("a"), F.greatest("line_id", "to").alias("b"))
+        star = star.groupBy("from", "a", "b").agg(F.count("*").alias("shared"))
+        star = star if tested is None else star.join(tested, ["a", "b"], "left_anti")
+        best = written(star.groupBy("from").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
+        found = _compare(best, lines, similarity)
+        links, tested = (found, best) if links is None else (links.unionByName(found), tested.unionByName(best))
+        dropped(groups)
+        groups = written(components(links), "groups")
+        members = groups.groupBy("component").agg(F.count("*").alias("weight"))
+        placed = sized.join(groups.withColumnRenamed("id", "line_id"), "line_id", "left").join(members, "component", "left")
+        placed = placed.withColumn("component", F.coalesce("component", "line_id")).withColumn("weight", F.coalesce("weight", F.lit(1)))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    left = written(placed.join(mixed, "key"), "open")
-    other = left.select("key", F.col("line_id").alias("b"), F.col("simhash").alias("h"), F.col("component").alias("other"))
-    crossed = left.withColumnRenamed("line_id", "a").join(other, "key").where(f"component < other and bit_count(simhash ^ h) <= {distance}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crossed = written(crossed.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not crossed.isEmpty():
-        groups = written(components(links.unionByName(_compare(docs, crossed, similarity))), "groups")
-
+    # Each pair of lines once: at the least of the block values that they share. A line has a bounded number of those.
+    left = placed.join(mixed, "key").select("key", "line_id", "component", "size", "bag")
+    left = written(left.join(left.groupBy("line_id").agg(F.collect_list("key").alias("keys")), "line_id"), "open")
+    other = left.select("key", F.col("line_id").alias("to"), F.col("component").alias("other"), F.col("size").alias("other_size"), F.col("bag").alias("other_bag"), F.col("keys").alias("other_keys"))
+    crossed = left.join(other, "key").where(f"component < other and {fits} and key = array_min(array_intersect(keys, other_keys))").select(F.least("line_id", "to").alias("a"), F.greatest("line_id", "to").alias("b"))
+    crossed = written(crossed.join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = _compare(crossed, lines, similarity)
+    if not found.isEmpty():
+        groups = written(components(links.unionByName(found)), "groups")
+    dropped(left, crossed, lines)
+    return seen, groups
+
+
+def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, place): each line that is not the first of its group; places count lines of a document from 0."""
+    seen, groups = line_links(docs, similarity)
     # Only lines that occur again, or are linked, can go.
-    again = distinct.join(groups.withColumnRenamed("id", "line_id"), "line_id", "left").where("n > 1 or isnotnull(component)").select("line_id", F.coalesce("component", "line_id").alias("group"))
-    rows = seen.select("line_id", "doc_id", "place").join(again, "line_id")
+    again = seen.groupBy("line_id").agg(F.count("*").alias("n")).join(groups.withColumnRenamed("id", "line_id"), "line_id", "left").where("n > 1 or isnotnull(component)").select("line_id", F.coalesce("component", "line_id").alias("group"))
+    rows = seen.join(again, "line_id")
     first = rows.groupBy("group").agg(F.min(F.struct("doc_id", "place")).alias("first")).select("group", F.col("first.doc_id").alias("first_id"), F.col("first.place").alias("first_place"))
     return rows.join(first, "group").where("doc_id <> first_id or place <> first_place").select("doc_id", "place")
 
 
-def line_dedup(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY, carry: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, the columns named in ``carry``, n_lines, n_removed, kept (text), kept_sha256.
 
     Lines are cut at \\n. Lines without words stay. Null and empty texts have one empty line. Rows with
     equal doc_id count as one document, so the lines at a place that goes go from each; a null doc_id
-    is never cut and never first. An empty table gives an empty table. Other columns are ignored.
+    is never cut and never first. An empty table gives an empty table. A carried column named as a
+    result column is left out; other columns are ignored.
     """
-    drop = repeated_lines(docs, distance, similarity).groupBy("doc_id").agg(F.collect_set("place").alias("__drop"))
+    carry = tuple(c for c in carry if c.lower() not in RESULT)
+    drop = repeated_lines(docs, similarity).groupBy("doc_id").agg(F.collect_set("place").alias("__drop"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
     types = "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in carry)
     return rows.join(drop, "doc_id", "left").mapInArrow(_rebuild(["doc_id", *carry]), f"doc_id long, {types}n_lines long, n_removed long, kept string, kept_sha256 string")

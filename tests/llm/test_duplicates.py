@@ -3,7 +3,7 @@
 import hashlib
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -153,39 +153,35 @@ def test_words():
     assert sliding_min(x, 7).tolist() == [x[i : i + 7].min() for i in range(34)]
 
 
-def line_want(rows):
-    """All pairs of distinct lines whose SimHashes are near, by full edit distance."""
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+def normal(x):
+    return b" ".join(x.encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()).decode()
 
-    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-    norm = lambda x: b" ".join(x.encode().translate(lower).split()).decode()
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def line_pairs(rows):
+    """All pairs of distinct lines by their full edit distance alone, without SimHash, and where each line stands."""
     places = defaultdict(list)
     for d, t in rows:
         for k, x in enumerate((t or "").split("\n")):
-            if norm(x):
-                places[norm(x)].append((d, k))
+            if normal(x):
+                places[normal(x)].append((d, k))
     names = sorted(places)
-    hashes = []
-    for x in names:
-        raw = np.frombuffer(x.encode(), dtype=np.uint8)
-        w = Words(raw, np.array([0, len(raw)]), lower=True)
-        hashes.append(int(line_dedup.simhash(w)[0]))
+    bags = [Counter(x) for x in names]
     pairs = []
     for i, a in enumerate(names):
         for j in range(i):
-            if bin(hashes[i] ^ hashes[j]).count("1") <= line_dedup.DISTANCE and distance(a, names[j]) <= math.floor(0.2 * max(len(a), len(names[j])) + 1e-9):
-                pairs.append((j, i))
-    group = union(range(len(names)), pairs)
-    first = {}
-    for k, x in enumerate(names):
-        first[group[k]] = min([first.get(group[k], (math.inf, 0)), *places[x]])
-    return {(d, k) for i, x in enumerate(names) for d, k in places[x] if (d, k) != first[group[i]]}
+            most = math.floor(0.2 * max(len(a), len(names[j])) + 1e-9)
+            if abs(len(a) - len(names[j])) <= most and max((bags[i] - bags[j]).total(), (bags[j] - bags[i]).total()) <= most and edits(a, names[j]) <= most:
+                pairs.append((names[j], a))
+    return pairs, places
 
 
 def made_lines(seed=5, groups=25, copies=5):
@@ -203,20 +199,53 @@ def made_lines(seed=5, groups=25, copies=5):
     return rows
 
 
-@pytest.mark.parametrize("run", [64, 3])
-def test_line_dedup(spark, monkeypatch, run):
-    """Also with long runs from four lines on, so that the rounds of centres and crossed pairs are used."""
-    monkeypatch.setattr(line_dedup, "SMALL_RUN", run)
+def test_line_dedup(spark):
+    """Every result follows from links, every link is one by edit distance, and of all such pairs nine in ten are joined."""
     rows = made_lines() + [(90, None), (91, ""), (92, "\n\n")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    gone = line_want(rows)
+    want, places = line_pairs(rows)
+    seen, groups = line_dedup.line_links(df)
+    name = {}
+    for r in seen.collect():
+        name[r["line_id"]] = normal(dict(rows)[r["doc_id"]].split("\n")[r["place"]])
+    component = {name[r["id"]]: r["component"] for r in groups.collect()}
+    joined = [(a, b) for a, b in want if a in component and component[a] == component.get(b)]
+    assert len(joined) >= 0.9 * len(want) > 100
+    real = union(places, want)
+    assert all(real[a] == real[b] for a in component for b in component if component[a] == component[b])
+    first = {}
+    for x, at in places.items():
+        first[component.get(x, x)] = min([first.get(component.get(x, x), (math.inf, 0)), *at])
+    gone = {p for x, at in places.items() for p in at if p != first[component.get(x, x)]}
     got = line_dedup.line_dedup(df).collect()
     assert {(r["doc_id"], r["kept"]) for r in got} == {(d, "\n".join(x for k, x in enumerate((t or "").split("\n")) if (d, k) not in gone)) for d, t in rows}
     assert sum(r["n_removed"] for r in got) == len(gone) > 50
 
 
+def test_line_recall_on_documents(docs):
+    """Of the pairs of lines of documents with edit similarity 0.8, all candidates by blocks: at least nine in ten."""
+    rows = [(r["doc_id"], "\n".join(x for x in r["text"].split("\n") if len(x) <= 250)) for r in docs.collect()]
+    want, places = line_pairs(rows)
+    names = sorted({x for p in want for x in p})
+    raw = [x.encode() for x in names]
+    values, lines = line_dedup.block_values(Words(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))), lower=True))
+    blocks = defaultdict(set)
+    for v, k in zip(values.tolist(), lines.tolist()):
+        blocks[names[k]].add(v)
+    assert len(want) >= 15 and sum(bool(blocks[a] & blocks[b]) for a, b in want) >= 0.9 * len(want)
+
+
+def test_distance_within():
+    rnd = random.Random(8)
+    for _ in range(300):
+        a = "".join(rnd.choice("abé") for _ in range(rnd.randint(0, 20)))
+        b = "".join(rnd.choice("abé") for _ in range(rnd.randint(0, 20))) if rnd.random() < 0.5 else a[: rnd.randint(0, 20)] + rnd.choice(["", "x", "ab"]) + a[rnd.randint(0, 20) :]
+        d = edits(a, b)
+        assert [line_dedup.distance_within(a, b, m) for m in range(d + 3)] == [m >= d for m in range(d + 3)]
+
+
 def test_line_dedup_hard(hard, empty):
-    got = {r["doc_id"]: r for r in line_dedup.line_dedup(hard, carry=("lang", "score")).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(hard, carry=("lang", "score", "kept")).collect()}
     assert got[1]["kept"] == "" and got[3]["kept"] == "  \n\t " and got[5]["n_removed"] == 0 and got[6]["kept"] == got[7]["kept"] == ""
     assert got[None]["kept"] == "a text of no document id" and got[6]["lang"] == "de"
     assert line_dedup.line_dedup(empty).count() == 0
