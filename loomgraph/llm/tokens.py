@@ -1,27 +1,30 @@
-"""Token ids of whole texts by a public tokenizer file, with a bounded cache of words.
+"""Token ids of whole texts by a public tokenizer file, with a bounded cache of pieces.
 
-The tokenizer drops white space and never joins pieces across it, so the ids of a text are those
-of its white-space separated chunks in a row. Each distinct chunk is encoded once in a worker: a
-chunk of common letters is lower-cased and cut by the tokenizer's own pattern first, which makes
-far fewer distinct pieces; any other chunk goes to the library as it is.
+The tokenizer lower-cases a text, drops white space and cuts the rest by a pattern into pieces that it
+encodes on their own, so the ids of a text are those of its pieces in a row. A text of common letters
+is cut whole by that pattern here, and each distinct piece is encoded once in a worker; any other text
+is cut at white space, and the library encodes what stands between.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
-import regex
 
-#: Fixed value: the cutting pattern of the word tokenizer.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Fixed value: the cutting pattern of the word tokenizer is
+#: 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
+ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
 #: Up to this code point every character is in composed form and has a lower case of its own, but for U+0130.
-PLAIN = regex.compile("[\\x21-\\u012f\\u0131-\\u024f]+")
-MOST_CHUNKS = 400_000
-MOST_PIECES = 700_000
-GROUP_BYTES = 1 << 21
+LAST_PLAIN = 0x24F
+NOT_LOWERED = "İ"
+MOST_PIECES = 600_000
+MOST_CHUNKS = 100_000
+#: Longer keys are not kept.
+LONG = 200
 
 
 def word_bpe_path() -> str:
@@ -37,6 +40,32 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+def char_class(test) -> str:
+    """The common characters, as they are and lower-cased, that pass a test, for a pattern's class."""
+    common = [chr(k) for k in range(LAST_PLAIN + 1) if chr(k) != NOT_LOWERED]
+    return "".join(re.escape(c) for c in sorted({*common, *"".join(common).lower()}) if test(c))
+
+
+class Cache(dict):
+    """Values by key, made where missing. When it is full the older half goes: what was not asked for since the last time."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most // 2, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) > LONG:
+            return value
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordEncoder:
     """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)`` does, special strings being plain text."""
 
@@ -50,63 +79,32 @@ class WordEncoder:
         self.library.no_truncation()
         self.model = self.library.model
         self.letters = byte_letters()
-        self.cut = regex.compile(PATTERN)
-        self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        white = "\\t-\\r \x85\xa0"
+        letter = char_class(str.isalpha)
+        number = char_class(lambda c: c.isnumeric())
+        self.odd = re.compile(f"[^\\t-\\r\\x20-{chr(LAST_PLAIN)}]|{NOT_LOWERED}").search
+        self.cut = re.compile(f"[{letter}]+|{ENDINGS}|[{number}]|[^{white}{letter}{number}]+").findall
+        self.pieces = Cache(self._piece, MOST_PIECES)
+        self.chunks = Cache(self._chunk, MOST_CHUNKS)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _chunk(self, chunk: bytes) -> bytes:
+        return array("I", self.library.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """A lower-cased piece by the library's model alone: its normaliser and cutting have nothing left to do."""
         if not (piece.isascii() and piece.isalnum()):
             piece = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.chunks) + len(new) > MOST_CHUNKS:
-            self.chunks.clear()
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces.clear()
-        parts: dict[bytes, list[str]] = {}
-        odd: list[bytes] = []
-        missing: set[str] = set()
-        for chunk in new:
-            text = chunk.decode()
-            if PLAIN.fullmatch(text):
-                found = self.cut.findall(text.lower())
-                parts[chunk] = found
-                missing.update(found)
-            else:
-                odd.append(chunk)
-        for p in missing:
-            if p not in self.pieces:
-                self.pieces[p] = self._piece(p)
-        for chunk, found in parts.items():
-            self.chunks[chunk] = b"".join([self.pieces[p] for p in found])
-        self.chunks.update(zip(odd, self._library([c.decode() for c in odd])))
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def one(self, raw: bytes) -> bytes:
+        text = raw.decode()
+        if self.odd(text):
+            return b"".join(map(self.chunks.__getitem__, raw.split()))
+        return b"".join(map(self.pieces.__getitem__, self.cut(text.lower())))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        i = 0
-        while i < len(texts):
-            group, size = [], 0
-            while i < len(texts) and (not group or size < GROUP_BYTES):
-                group.append(texts[i].split())
-                size += len(texts[i])
-                i += 1
-            words: set[bytes] = set()
-            for g in group:
-                words.update(g)
-            new = [w for w in words if w not in self.chunks]
-            if new:
-                if len(self.chunks) + len(new) > MOST_CHUNKS:
-                    new = list(words)
-                self._learn(new)
-            get = self.chunks.__getitem__
-            out += [b"".join(map(get, g)) for g in group]
-        return out
+        return [self.one(x) for x in texts]
 
 
 @lru_cache(maxsize=2)
