@@ -37,7 +37,7 @@ from .words import U, Words, chunks, mix, sequence_ids, signed
 
 SIMILARITY = 0.8
 #: Blocks by which a line meets others, of one number of blocks.
-BLOCKS = 12
+BLOCKS = 8
 #: The fewest features of a block that counts, and their average number: for words and for runs of bytes.
 WORD_BLOCK, RUN_BLOCK = (3, 5.0), (4, 6.0)
 #: Lines so near (in powers of two) to a change of the number of blocks have both: similar lines differ by less.
@@ -46,6 +46,8 @@ SLACK = 0.35
 SHORT_WORD = 3
 FEW_WORDS, SOME_WORDS = 7, 11
 RUN = 4
+#: Lines of one kind whose SimHashes in one block of 64 bits differ in more are no candidates.
+DISTANCE = 20
 BLOOM_BITS = 26
 LETTERS = 32
 ROUNDS = 2
@@ -127,35 +129,58 @@ def _blocks(features: np.ndarray, first: np.ndarray, kind: int, least: int, grou
     return np.concatenate(values), np.concatenate(lines)
 
 
-def block_values(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The SimHash blocks of the documents of ``w`` (lines): (values, lines)."""
-    size = w.end - w.start
-    long = size > SHORT_WORD
-    before = np.concatenate(([0], np.cumsum(long)))[w.first]
-    n_long = np.diff(before)
-    by_word = n_long >= FEW_WORDS
-    h = w.hashes()[long]
-    counts = np.where(by_word, n_long, 0)
-    values, lines = _blocks(h[_ranges(before[:-1], counts)], np.concatenate(([0], np.cumsum(counts))), 0, *WORD_BLOCK)
-
-    own = np.flatnonzero((n_long <= SOME_WORDS) & (w.counts > 0))
-    if not len(own):
-        return values, lines
+def _features(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words over SHORT_WORD bytes, where each line's begin."""
+    long = w.end - w.start > SHORT_WORD
+    return w.hashes()[long], np.concatenate(([0], np.cumsum(long)))[w.first]
+
+
+def _runs(w: Words, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of RUN bytes of the normalised lines ``own``, which have words, and where each line's begin."""
     words = _ranges(w.first[:-1][own], w.counts[own])
-    length = size[words] + 1
+    length = (w.end - w.start)[words] + 1
     flat = w.data[np.minimum(_ranges(w.start[words], length), len(w.data) - 1)].copy()
     flat[np.cumsum(length) - 1] = 32
     line_size = np.add.reduceat(length, np.cumsum(w.counts[own]) - w.counts[own])
-    begin = np.cumsum(line_size) - line_size
     runs = np.maximum(line_size - (RUN - 1), 0)
-    at = _ranges(begin, runs)
+    at = _ranges(np.cumsum(line_size) - line_size, runs)
     value = np.zeros(len(at), dtype=U)
     for k in range(RUN):
         value |= flat[at + k].astype(U) << U(8 * k)
-    more, whose = _blocks(mix(value), np.concatenate(([0], np.cumsum(runs))), 1, *RUN_BLOCK)
+    return mix(value), np.concatenate(([0], np.cumsum(runs)))
+
+
+def block_values(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash blocks of the documents of ``w`` (lines): (values, lines)."""
+    h, first = _features(w)
+    n = np.diff(first)
+    counts = np.where(n >= FEW_WORDS, n, 0)
+    values, lines = _blocks(h[_ranges(first[:-1], counts)], np.concatenate(([0], np.cumsum(counts))), 0, *WORD_BLOCK)
+    own = np.flatnonzero((n <= SOME_WORDS) & (w.counts > 0))
+    if not len(own):
+        return values, lines
+    more, whose = _blocks(*_runs(w, own), 1, *RUN_BLOCK)
     return np.concatenate([values, more]), np.concatenate([lines, own[whose]])
 
 
+def simhash(w: Words) -> tuple[pa.Array, pa.Array]:
+    """For each line, whether it is short (its features are runs of bytes), and the SimHash of all its features in one block."""
+    h, first = _features(w)
+    n = np.diff(first)
+    short = n < FEW_WORDS
+    out = np.zeros(len(n), dtype=U)
+    parts = [(np.flatnonzero(~short), h[_ranges(first[:-1][~short], n[~short])], n[~short])]
+    own = np.flatnonzero(short & (w.counts > 0))
+    if len(own):
+        runs, at = _runs(w, own)
+        parts.append((own, runs, np.diff(at)))
+    for lines, features, counts in parts:
+        if len(features):
+            slot, _, bits = _majority(mix(features), np.repeat(np.arange(len(lines)), counts))
+            out[lines[slot]] = bits
+    return pa.array(short), pa.array(signed(out))
+
+
 #: What a task sends, packed. SEEN: lines, their documents and places. MET: lines and block values that meet inside the task, and copies.
 #: ONE: one line for each block value, and its copies; negative where its lines have been sent already.
 SEEN, MET, ONE = 0, 1, 2
@@ -187,8 +212,11 @@ class _Sender:
             return
         keys, lines = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
-        order = np.lexsort((lines, keys))
+        order = np.argsort(keys)
         keys, lines = keys[order], lines[order]
+        again = np.concatenate(([False], keys[1:] == keys[:-1], [False]))
+        some = np.flatnonzero(again[:-1] | again[1:])
+        lines[some] = lines[some][np.lexsort((lines[some], keys[some]))]
         at = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1]))))
         copies = np.diff(np.append(at, len(keys))).astype(np.int32)
         keys, lines = keys[at], lines[at]
@@ -283,7 +311,7 @@ def _wanted_lines(shared):
                 line = sequence_ids(w.hashes(), w.first)
                 texts = [b" ".join(x.split()) for x in np.split(w.data, np.cumsum(size)[:-1]) for x in [x.tobytes()]]
                 full = pa.array(w.counts > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(line)), pa.array(texts, pa.binary()).cast(pa.string()), _bags(texts)], names=["line_id", "line", "bag"]).filter(full)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(line)), pa.array(texts, pa.binary()).cast(pa.string()), _bags(texts), *simhash(w)], names=["line_id", "line", "bag", "short", "simhash"]).filter(full)
 
     return run
 
@@ -388,21 +416,20 @@ def line_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     wanted = seen.join(met.select("line_id").distinct(), "line_id").groupBy("line_id").agg(F.min(F.struct("doc_id", "place")).alias("spot")).select("spot.doc_id", "spot.place")
     bloom = sketch.merged(wanted.mapInArrow(_bloom, sketch.SCHEMA), 2, BLOOM_BITS, sketch.any_bits)
     shared = spark.sparkContext.broadcast([x.tobytes() for x in bloom])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("isnotnull(doc_id)").mapInArrow(_wanted_lines(shared), "line_id long, line string, bag array<int>")
-    lines = written(texts.groupBy("line_id").agg(F.first("line").alias("line"), F.first("bag").alias("bag")), "texts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("isnotnull(doc_id)").mapInArrow(_wanted_lines(shared), "line_id long, line string, bag array<int>, short boolean, simhash long")
+    lines = written(texts.groupBy("line_id").agg(*[F.first(c).alias(c) for c in ("line", "bag", "short", "simhash")]), "texts")
     released(shared)
 
     links = tested = groups = None
-    sized = met.groupBy("key", "line_id").agg(F.sum("copies").alias("copies")).join(lines.select("line_id", "bag", F.length("line").alias("size")), "line_id")
-    # At least as many edits as letters that one line has and the other has not.
-    missing = "aggregate(zip_with(bag, other_bag, (x, y) -> greatest(x - y, 0)), 0, (s, x) -> s + x)"
+    marks = lines.select("line_id", F.length("line").alias("size"), "bag", "short", "simhash")
+    entries = met.groupBy("key", "line_id").agg(F.sum("copies").alias("copies"))
+    sized = written(entries.join(marks.select("line_id", "size"), "line_id"), "met")
     most = f"{1 - similarity:.9f} * greatest(size, other_size) + 1e-6"
-    fits = f"abs(size - other_size) <= {most} and {missing} + greatest(other_size - size, 0) <= {most}"
     placed = sized.withColumn("component", F.col("line_id")).withColumn("weight", F.col("copies"))
     for k in range(ROUNDS):
         # For each block value the most frequent line, then a line of the largest group.
-        centre = placed.groupBy("key").agg(F.max(F.struct("weight", "copies", F.xxhash64("line_id", F.lit(k)), "line_id", "component", "size", "bag")).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", F.col("c.line_id").alias("to"), F.col("c.component").alias("other"), F.col("c.size").alias("other_size"), F.col("c.bag").alias("other_bag"))
-        star = placed.join(centre, "key").where(f"component <> other and {fits}").select(F.col("line_id").alias("from"), F.least("line_id", "to").alias("a"), F.greatest("line_id", "to").alias("b"))
+        centre = placed.groupBy("key").agg(F.max(F.struct("weight", "copies", F.xxhash64("line_id", F.lit(k)), "line_id", "component", "size")).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", F.col("c.line_id").alias("to"), F.col("c.component").alias("other"), F.col("c.size").alias("other_size"))
+        star = placed.join(centre, "key").where(f"component <> other and abs(size - other_size) <= {most}").select(F.col("line_id").alias("from"), F.least("line_id", "to").alias("a"), F.greatest("line_id", "to").alias("b"))
         star = star.groupBy("from", "a", "b").agg(F.count("*").alias("shared"))
         star = star if tested is None else star.join(tested, ["a", "b"], "left_anti")
         best = written(star.groupBy("from").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
@@ -411,14 +438,21 @@ def line_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
         dropped(groups)
         groups = written(components(links), "groups")
         members = groups.groupBy("component").agg(F.count("*").alias("weight"))
-        placed = sized.join(groups.withColumnRenamed("id", "line_id"), "line_id", "left").join(members, "component", "left")
-        placed = placed.withColumn("component", F.coalesce("component", "line_id")).withColumn("weight", F.coalesce("weight", F.lit(1)))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        placed = sized.join(groups.join(members, "component").withColumnRenamed("id", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id")).withColumn("weight", F.coalesce("weight", F.lit(1)))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        last, placed = sized, written(placed.join(mixed, "key"), "open")
+        dropped(last)
+        sized = placed.select("key", "line_id", "copies", "size")
     # Each pair of lines once: at the least of the block values that they share. A line has a bounded number of those.
-    left = placed.join(mixed, "key").select("key", "line_id", "component", "size", "bag")
+    # Lines of one kind whose whole SimHashes lie far apart are not candidates, and a line of which another
+    # lacks more letters than edits are allowed cannot link to it.
+    left = placed.select("key", "line_id", "component").join(marks, "line_id")
     left = written(left.join(left.groupBy("line_id").agg(F.collect_list("key").alias("keys")), "line_id"), "open")
-    other = left.select("key", F.col("line_id").alias("to"), F.col("component").alias("other"), F.col("size").alias("other_size"), F.col("bag").alias("other_bag"), F.col("keys").alias("other_keys"))
-    crossed = left.join(other, "key").where(f"component < other and {fits} and key = array_min(array_intersect(keys, other_keys))").select(F.least("line_id", "to").alias("a"), F.greatest("line_id", "to").alias("b"))
+    other = left.select("key", F.col("line_id").alias("to"), *[F.col(c).alias(f"other_{c}") for c in ("component", "size", "bag", "short", "simhash", "keys")])
+    near = f"(short <> other_short or bit_count(simhash ^ other_simhash) <= {DISTANCE})"
+    missing = "aggregate(zip_with(bag, other_bag, (x, y) -> greatest(x - y, 0)), 0, (s, x) -> s + x)"
+    fits = f"abs(size - other_size) <= {most} and {near} and {missing} + greatest(other_size - size, 0) <= {most}"
+    crossed = left.join(other, "key").where(f"component < other_component and {fits} and key = array_min(array_intersect(keys, other_keys))").select(F.least("line_id", "to").alias("a"), F.greatest("line_id", "to").alias("b"))
     crossed = written(crossed.join(tested, ["a", "b"], "left_anti"), "pairs")
     found = _compare(crossed, lines, similarity)
     if not found.isEmpty():
