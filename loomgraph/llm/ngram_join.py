@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import about_words, dropped, written
+from .common import about_words, dropped, released, written
 from ..operators.components import components
 from .words import U, Words, chunks, grams, mix, signed
 
@@ -225,27 +225,29 @@ class _Checker:
     def __init__(self, docs: DataFrame, reps: DataFrame, marks: DataFrame, n: int, percent: int):
         self.docs, self.reps, self.marks, self.n, self.percent = docs, reps, marks, n, percent
         self.fits = f"least(size, other_size) * 100 >= {percent} * greatest(size, other_size)"
+        differ = "aggregate(zip_with(bits, other_bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+        #: Whether two sets' bitmaps allow a link.
+        self.near = f"(size(bits) <> size(other_bits) or {differ} * {100 + percent} <= (size + other_size) * {100 - percent})"
 
     def fitting(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b, size, other_size, ...) whose bitmaps allow a link."""
         both = pairs.join(self.marks.select(F.col("set_id").alias("a"), "bits"), "a").join(self.marks.select(F.col("set_id").alias("b"), F.col("bits").alias("other_bits")), "b")
-        differ = "aggregate(zip_with(bits, other_bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-        near = f"size(bits) <> size(other_bits) or {differ} * {100 + self.percent} <= (size + other_size) * {100 - self.percent}"
-        return both.where(near).select(*pairs.columns)
+        return both.where(self.near).select(*pairs.columns)
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a written table (a, b) of set ids. Those that link, written."""
-        spark = pairs.sparkSession
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(self.reps, "set_id").select("doc_id", "set_id")
+    def prepare(self, wanted: DataFrame) -> None:
+        """Write the sets that may be compared, once. wanted: their ids."""
+        ids = wanted.join(self.reps, "set_id").select("doc_id", "set_id")
         bloom = sketch.merged(ids.mapInArrow(_bloom(BLOOM_BITS), sketch.SCHEMA), 2, BLOOM_BITS, sketch.any_bits)
-        shared = spark.sparkContext.broadcast([x.tobytes() for x in bloom])
+        shared = wanted.sparkSession.sparkContext.broadcast([x.tobytes() for x in bloom])
         found = self.docs.where("isnotnull(doc_id)").mapInArrow(_wanted_sets(self.n, BLOOM_BITS, shared), "set_id long, items array<long>")
-        sets = written(found, "sets")
-        both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("items").alias("y")), "b")
+        self.sets = written(found, "sets")
+        released(shared)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """pairs: (a, b) of set ids. Those that link, written."""
+        both = pairs.select("a", "b").join(self.sets.select(F.col("set_id").alias("a"), F.col("items").alias("x")), "a").join(self.sets.select(F.col("set_id").alias("b"), F.col("items").alias("y")), "b")
         both = both.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("total"), F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
-        found = written(both.where(F.expr(f"100 * shared >= {self.percent} * (total - shared)")).select("a", "b"), "links")
-        dropped(sets)
-        return found
+        return written(both.where(F.expr(f"100 * shared >= {self.percent} * (total - shared)")).select("a", "b").distinct(), "links")
 
 
 def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_bits: int | None = None) -> DataFrame:
@@ -281,11 +283,13 @@ def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_
     keys = docs.select("text").mapInArrow(_keys(n, percent, width_bits, light, frequent, shared), "key long, set_id long, size long")
     lists = keys.groupBy("key").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("last")).where("centre < last").select("key", "centre")
     active = written(keys.join(lists.select("key"), "key").distinct(), "lists")
+    released(shared)
 
     marks = written(base.where("n_shingles > 0").groupBy("set_id").agg(F.first("bits").alias("bits"), F.count("*").alias("copies")), "marks")
     check = _Checker(docs, reps, marks, n, percent)
+    check.prepare(active.select("set_id").distinct())
     placed = active.withColumn("component", F.col("set_id")).join(marks.select("set_id", F.col("copies").alias("weight")), "set_id")
-    links = tested = None
+    links = tested = groups = None
     for k in range(ROUNDS):
         # For each list and class of sizes a centre: first the set with most copies, which its near copies are nearest to,
         # then a set of the largest component, another in each round. The classes shift from round to round.
@@ -293,24 +297,25 @@ def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_
         centre = placed.groupBy("key", "class").agg(F.min(F.struct(-F.col("weight"), "component", F.xxhash64("set_id", F.lit(k)), "set_id", "size")).alias("c")).select("key", "class", F.col("c.component").alias("other"), F.col("c.set_id").alias("b"), F.col("c.size").alias("other_size"))
         star = placed.join(centre, ["key", "class"]).where(f"component <> other and {check.fits}").select(F.col("set_id").alias("from"), "size", "other_size", F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b"))
         star = star.groupBy("a", "b", "from").agg(F.count("*").alias("shared"), F.first("size").alias("size"), F.first("other_size").alias("other_size"))
-        star = written(check.fitting(star if tested is None else star.join(tested, ["a", "b"], "left_anti")), "star")
-        best = star.groupBy("from").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        best = written(best, "pairs")
-        dropped(star)
+        star = star if tested is None else star.join(tested, ["a", "b"], "left_anti")
+        best = star.groupBy("from").agg(F.max(F.struct("shared", "a", "b", "size", "other_size")).alias("p")).select("p.*").drop("shared")
+        best = written(best.dropDuplicates(["a", "b"]), "pairs")
         if best.isEmpty():
             break
-        found = check.links(best)
+        found = check.links(check.fitting(best))
+        best = best.select("a", "b")
         links, tested = (found, best) if links is None else (links.unionByName(found), tested.unionByName(best))
+        dropped(groups)
         groups = written(components(links), "groups")
         members = groups.groupBy("component").agg(F.count("*").alias("weight"))
         placed = active.join(groups.withColumnRenamed("id", "set_id"), "set_id", "left").join(members, "component", "left").withColumn("component", F.coalesce("component", "set_id")).withColumn("weight", F.coalesce("weight", F.lit(1)))
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         placed = written(placed.join(mixed, "key"), "open")
     # Also without any star: sets of neighbouring classes meet only here.
-    ours = placed.select("key", "set_id", "size", "component")
-    other = ours.select("key", F.col("set_id").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other"))
-    crossed = ours.select("key", F.col("set_id").alias("a"), "size", "component").join(other, "key").where(f"component < other and {check.fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "size", "other_size").distinct()
-    crossed = written(check.fitting(crossed if tested is None else crossed.join(tested, ["a", "b"], "left_anti")), "pairs")
+    ours = placed.select("key", "set_id", "size", "component").join(marks.select("set_id", "bits"), "set_id")
+    other = ours.select("key", F.col("set_id").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other"), F.col("bits").alias("other_bits"))
+    crossed = ours.withColumnRenamed("set_id", "a").join(other, "key").where(f"component < other and {check.fits} and {check.near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crossed = written(crossed if tested is None else crossed.join(tested, ["a", "b"], "left_anti"), "pairs")
     if not crossed.isEmpty():
         found = check.links(crossed)
         every = components(found if links is None else links.unionByName(found))
