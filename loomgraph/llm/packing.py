@@ -1,9 +1,11 @@
 """Best-fit packing of token sequences by hierarchical residuals.
 
 Each partition packs its own pieces, largest first, each into the fullest bin that still takes it.
-Nearly full bins are final. The rest are items of the next round, in which a tree merges groups of
-partitions and packs again, until one group is left. A task hands on at most ``carry`` bins, its
-emptiest; so no round puts more than ``fan_in * carry`` items into one task, whatever the input.
+Nearly full bins are final. All others are items of the next round, in which a tree merges groups of
+partitions and packs again. A round has a group for every ``most`` items, if that is more than the
+tree asks for, so no task gets more, whatever the input. The last round is the one with one group, or
+the one after which a merge no longer takes away a hundredth of the bins: what is left then fits
+nowhere, such as documents of just over half a sequence.
 """
 
 from __future__ import annotations
@@ -25,7 +27,10 @@ CAPACITY = 4096
 END_ID = 1
 NEARLY_FULL = 0.995
 FAN_IN = 8
-CARRY = 2048
+#: Items that a task packs at once.
+MOST_ITEMS = 50_000
+#: A round that leaves more than this share of its bins unfinished is followed by one last round.
+STALLED = 0.99
 PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 BINS = "size int, done boolean, level int, part int, number int, pieces array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 
@@ -55,14 +60,12 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _emit(level: int, last: bool, items: list[tuple[int, list]], capacity: int, carry: int) -> Iterator[pa.RecordBatch]:
+def _emit(level: int, last: bool, items: list[tuple[int, list]], capacity: int, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """The bins of the items, numbered from ``first``."""
     items.sort(key=lambda x: (-x[0], x[1][0][0] if x[1][0][0] is not None else -1, x[1][0][1]))
     bins = best_fit([s for s, _ in items], capacity)
     full = [sum(items[k][0] for k in b) for b in bins]
     done = [last or n >= NEARLY_FULL * capacity for n in full]
-    kept = sorted((n, b) for b, n in enumerate(full) if not done[b])
-    for _, b in kept[carry:]:
-        done[b] = True
     part = TaskContext.get().partitionId()
     for i in range(0, len(bins), 512):
         some = range(i, min(i + 512, len(bins)))
@@ -73,41 +76,56 @@ def _emit(level: int, last: bool, items: list[tuple[int, list]], capacity: int,
         pieces = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)), pa.StructArray.from_arrays(cols, fields=list(PIECE)))
         n = len(rows)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([full[b] for b in some], pa.int32()), pa.array([done[b] for b in some]), pa.array([level] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(list(some), pa.int32()), pieces],
+            [pa.array([full[b] for b in some], pa.int32()), pa.array([done[b] for b in some]), pa.array([level] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array([first + b for b in some], pa.int32()), pieces],
             names=["size", "done", "level", "part", "number", "pieces"],
         )
 
 
-def _tokenise_and_pack(path: str, capacity: int, end_id: int, carry: int, last: bool):
+def _packed(level: int, last: bool, capacity: int, most: int, items: Iterator[tuple[int, list]]) -> Iterator[pa.RecordBatch]:
+    """Bins of a task's items, at most ``most`` items at once."""
+    held: list[tuple[int, list]] = []
+    first = 0
+    for item in items:
+        held.append(item)
+        if len(held) >= most:
+            yield from _emit(level, last, held, capacity, first)
+            first, held = first + len(held), []
+    yield from _emit(level, last, held, capacity, first)
+
+
+def _tokenise_and_pack(path: str, capacity: int, end_id: int, most: int, last: bool):
     end = np.array([end_id], dtype="<u4").tobytes()
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: list[tuple[int, list]] = []
         enc = encoder(path)
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(utf8(batch.column(1)))):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    items.append((len(part) // 4, [(doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))]))
-        yield from _emit(0, last, items, capacity, carry)
+
+        def items() -> Iterator[tuple[int, list]]:
+            for batch in batches:
+                for doc_id, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+                    ids = enc.one(raw) + end
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        yield len(part) // 4, [(doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))]
+
+        yield from _packed(0, last, capacity, most, items())
 
     return run
 
 
-def _repack(level: int, last: bool, capacity: int, carry: int):
+def _repack(level: int, last: bool, capacity: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: list[tuple[int, list]] = []
-        for batch in batches:
-            for size, pieces in zip(batch.column("size").to_pylist(), batch.column("pieces").to_pylist()):
-                items.append((size, [tuple(p.values()) for p in pieces]))
-        yield from _emit(level, last, items, capacity, carry)
+        def items() -> Iterator[tuple[int, list]]:
+            for batch in batches:
+                for size, pieces in zip(batch.column("size").to_pylist(), batch.column("pieces").to_pylist()):
+                    yield size, [tuple(p.values()) for p in pieces]
+
+        yield from _packed(level, last, capacity, most, items())
 
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, fan_in: int = FAN_IN, carry: int = CARRY) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, fan_in: int = FAN_IN, most: int = MOST_ITEMS) -> DataFrame:
     """Per piece of each row of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A row's ids are those of its whole text (null: empty) by the tokenizer at ``path``, then
@@ -119,12 +137,16 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     path = path or word_bpe_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = docs.rdd.getNumPartitions()
-    level = 0
-    rounds = [written(docs.mapInArrow(_tokenise_and_pack(path, capacity, end_id, carry, last=parts <= 1), BINS), "bins")]
-    while parts > 1:
-        group, parts, level = fan_in, -(-parts // fan_in), level + 1
-        left = rounds[-1].where("not done").withColumn("group", F.floor(F.col("part") / group).cast("int"))
-        rounds.append(written(left.repartition(parts, "group").mapInArrow(_repack(level, parts == 1, capacity, carry), BINS), "bins"))
+    rounds = [written(docs.mapInArrow(_tokenise_and_pack(path, capacity, end_id, most, parts <= 1), BINS), "bins")]
+    before, last = None, parts <= 1
+    while not last:
+        left = rounds[-1].where("not done")
+        n = left.count()
+        parts = max(1, -(-parts // fan_in), -(-n // most))
+        last = parts == 1 or (before is not None and n > STALLED * before)
+        # Rows are dealt out in turn, so that tasks have equal numbers of them.
+        rounds.append(written(left.repartition(parts).mapInArrow(_repack(len(rounds), last, capacity, 2 * most), BINS), "bins"))
+        before = n
     final = rounds[0].where("done")
     for r in rounds[1:]:
         final = final.unionByName(r.where("done"))

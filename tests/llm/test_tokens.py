@@ -132,6 +132,17 @@ def test_packing_in_rounds_of_many_partitions(docs):
     assert check_packing(rows, 4096) <= -(-sum(r["length"] for r in rows) // 4096) * 1.08 + 1
 
 
+def test_packing_hands_on_all_underfull_bins(spark):
+    """Partitions of many items over half a sequence, and others of one small item: each small one fills a bin of the former."""
+    rows = [(k, "of " * 40) for k in range(300)] + [(1000 + k, "of " * 22) for k in range(12)]
+    df = spark.createDataFrame(rows[:300], "doc_id long, text string").repartition(3)
+    for r in rows[300:]:
+        df = df.unionByName(spark.createDataFrame([r], "doc_id long, text string").coalesce(1))
+    assert check_packing(packing.pack(df, capacity=64, most=400).collect(), 64) == 300
+    half = spark.createDataFrame(rows[:300], "doc_id long, text string").repartition(9)
+    assert check_packing(packing.pack(half, capacity=64, fan_in=2, most=50).collect(), 64) == 300
+
+
 def test_best_fit():
     assert packing.best_fit([5, 4, 3, 3, 3, 2], 10) == [[0, 1], [2, 3, 4], [5]]
     assert packing.best_fit([6, 5, 4, 3], 10) == [[0, 2], [1, 3]]
