@@ -6,7 +6,9 @@ A document's terms are the 64-bit hashes of its lower-cased words and of the wor
     logit = bias + sum of weights + sum over pairs of the inner products of their vectors
 
 so two terms together (an insult and whom it is aimed at) may count for more than both alone.
-Terms are chosen, and the model is fitted, on a bounded sample of labelled rows.
+The model has the terms that are bound to the positive label by themselves, and the terms of pairs
+that are more often positive than both terms alone would make them; a term of the latter may be
+neutral by itself. Terms are chosen, and the model is fitted, on a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -19,12 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import dropped, written
 from .words import U, Words, chunks, mix, signed
 
 PREFIXES = (4, 5, 6)
 #: The sample: at most so many rows of each label, those of the lowest hash of doc_id.
 ROWS_PER_LABEL = 3000
-MOST_TERMS = 1024
+#: The most terms that are bound to the positive label by themselves, that pairs are looked for among (the most frequent), and that pairs add.
+MOST_TERMS, MOST_COMMON, MOST_PAIRED = 1024, 2048, 512
+#: Standard deviations by which a pair's positive rows exceed what its terms alone explain, and the fewest rows of a pair.
+PAIR_Z, PAIR_ROWS = 5.0, 8
 FACTORS = 4
 ROUNDS = 200
 L2_WEIGHT, L2_FACTOR = 1e-4, 3e-3
@@ -92,43 +98,38 @@ class FactorizationMachine:
         return out
 
 
-def _choose(terms: np.ndarray, positive: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """The terms most strongly bound to the positive label, by the lower bound of their log odds."""
-    values, back = np.unique(terms, return_inverse=True)
-    pos = np.bincount(back, weights=positive, minlength=len(values))
-    neg = np.bincount(back, weights=~positive, minlength=len(values))
-    odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
-    spread = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    low = odds - 1.0 * spread
-    good = (pos >= max(4, 0.004 * n_pos)) & (low > 1.5)
-    best = np.flatnonzero(good)[np.argsort(-(low * np.sqrt(pos))[good], kind="stable")[:MOST_TERMS]]
-    return np.sort(values[best])
+def _log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    return np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
 
 
-def fit(rows: list[tuple[int, np.ndarray]], seed: int = 11) -> FactorizationMachine:
-    """Fit on (label, terms) rows by full-batch Adam on the log loss, both labels weighing the same."""
-    y = np.array([label for label, _ in rows], dtype=np.float64)
+def paired(x: np.ndarray, y: np.ndarray, most: int = MOST_PAIRED) -> np.ndarray:
+    """Columns of ``x`` (rows by terms, 0 or 1) in a pair that is positive more often than the terms' own log odds add up to."""
+    n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
+    positive = x[y == 1]
+    both, both_pos = x.T @ x, positive.T @ positive
+    pos = positive.sum(0)
+    odds = _log_odds(pos, x.sum(0) - pos, n_pos, n_neg)
+    alone = 1 / (1 + np.exp(-np.clip(odds[:, None] + odds[None, :] + np.log(n_pos / n_neg), -30, 30)))
+    z = (both_pos - both * alone) / np.sqrt(both * alone * (1 - alone) + 1e-9)
+    z[both < PAIR_ROWS] = 0
+    np.fill_diagonal(z, 0)
+    best = z.max(1, initial=0)
+    found = np.flatnonzero(best > PAIR_Z)
+    return np.sort(found[np.argsort(-best[found], kind="stable")[:most]])
+
+
+def fit(x: np.ndarray, y: np.ndarray, terms: np.ndarray, seed: int = 11) -> FactorizationMachine:
+    """Fit on rows by terms (0 or 1) by full-batch Adam on the log loss, both labels weighing the same. terms: sorted hashes."""
+    x, y = x.astype(np.float32), y.astype(np.float64)
     if not len(y) or y.min() == y.max():
         rate = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
         return FactorizationMachine(np.zeros(0, U), np.zeros(0), np.zeros((0, FACTORS)), float(np.log(rate / (1 - rate))))
-    flat = np.concatenate([t for _, t in rows]).view(U)
-    owner = np.repeat(np.arange(len(rows)), [len(t) for _, t in rows])
-    terms = _choose(flat, y[owner] == 1, int(y.sum()), int(len(y) - y.sum()))
-    slot = np.minimum(np.searchsorted(terms, flat), max(0, len(terms) - 1)) if len(terms) else np.zeros(0, int)
-    hit = terms[slot] == flat if len(terms) else np.zeros(len(flat), bool)
-    x = np.zeros((len(rows), len(terms)), dtype=np.float32)
-    if len(terms):
-        x[owner[hit], slot[hit]] = 1
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())).astype(np.float32)
     rng = np.random.default_rng(seed)
     params = [np.zeros(1, np.float32), np.zeros(len(terms), np.float32), rng.normal(0, 0.02, (len(terms), FACTORS)).astype(np.float32)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, ROUNDS + 1):
-        bias, w, f = params
-        xf = x @ f
-        logit = bias + x @ w + 0.5 * ((xf**2).sum(1) - x @ (f**2).sum(1))
-        miss = (weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)).astype(np.float32)
-        grads = [miss.sum(keepdims=True), x.T @ miss + L2_WEIGHT * w, x.T @ (miss[:, None] * xf) - f * (x.T @ miss)[:, None] + L2_FACTOR * f]
+        grads = gradients(x, y, weight, params)
         for k, g in enumerate(grads):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
@@ -137,17 +138,66 @@ def fit(rows: list[tuple[int, np.ndarray]], seed: int = 11) -> FactorizationMach
     return FactorizationMachine(terms, w, f, float(bias[0]))
 
 
+def gradients(x: np.ndarray, y: np.ndarray, weight: np.ndarray, params: list[np.ndarray]) -> list[np.ndarray]:
+    """Of the weighted log loss, and half the squared weights and factors, by bias, weights and factors."""
+    bias, w, f = params
+    xf = x @ f
+    logit = bias + x @ w + 0.5 * ((xf**2).sum(1) - x @ (f**2).sum(1))
+    miss = (weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)).astype(x.dtype)
+    return [miss.sum(keepdims=True), x.T @ miss + L2_WEIGHT * w, x.T @ (miss[:, None] * xf) - f * (x.T @ miss)[:, None] + L2_FACTOR * f]
+
+
+def _slots(terms: np.ndarray):
+    """(label, slots): for each row the places in ``terms`` (sorted) of those it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for found in batch.column(1):
+                h = found.values.to_numpy(zero_copy_only=False).view(U)
+                at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+                rows.append(at[terms[at] == h].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["label", "slots"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, per_label: int = ROWS_PER_LABEL) -> FactorizationMachine:
     """Fit on labelled rows whose crc32(doc_id as text) mod ``folds`` is not ``held_out``."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("isnotnull(doc_id) and label in (0, 1)").where(remainder("doc_id", folds) != held_out)
     parts = [rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * per_label rows of two numbers
     taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("label", "text")
-    found = taken.mapInArrow(_distinct_terms, "label int, terms array<long>").toArrow()
-    terms = found["terms"].combine_chunks()
-    flat, at = terms.values.to_numpy(zero_copy_only=False), terms.offsets.to_numpy()
-    both = sorted(((int(k), flat[at[i] : at[i + 1]]) for i, k in enumerate(found["label"].to_pylist())), key=lambda r: (r[0], len(r[1]), r[1].tobytes()[:64]))
-    return fit(both)
+    found = written(taken.mapInArrow(_distinct_terms, "label int, terms array<long>"), "terms")
+    size = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n_neg, n_pos = size.get(0, 0), size.get(1, 0)
+    if not n_pos or not n_neg:
+        dropped(found)
+        return fit(np.zeros((n_pos + n_neg, 0)), np.repeat([0, 1], [n_neg, n_pos]), np.zeros(0, U))
+    # Of all terms only those that may be chosen come here, a bounded number.
+    counts = found.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    odds = f"ln((pos + 0.5) / ({n_pos} - pos + 0.5)) - ln((neg + 0.5) / ({n_neg} - neg + 0.5))"
+    low = counts.withColumn("low", F.expr(f"{odds} - sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))"))
+    few = 0.004 * n_pos
+    strong = low.where(f"pos >= greatest(4, {few}) and low > 1.5").orderBy(F.desc(F.expr("low * sqrt(pos)")), "term").limit(MOST_TERMS).select("term")
+    common = counts.where(f"pos + neg >= greatest({PAIR_ROWS}, {few}) and pos + neg < {0.9 * (n_pos + n_neg)}").orderBy(F.desc(F.expr("pos + neg")), "term").limit(MOST_COMMON).select("term")
+    own = {r["term"] for r in strong.collect()}
+    terms = np.sort(np.array(sorted(own | {r["term"] for r in common.collect()}), dtype=np.int64).view(U))
+    if not len(terms):
+        dropped(found)
+        return fit(np.zeros((n_pos + n_neg, 0)), np.repeat([0, 1], [n_neg, n_pos]), terms)
+    rows = found.mapInArrow(_slots(terms), "label int, slots array<int>").toArrow()  # at most 2 * per_label rows of MOST_TERMS + MOST_COMMON places
+    dropped(found)
+    slots = rows["slots"].combine_chunks()
+    at, flat = slots.offsets.to_numpy(), slots.values.to_numpy(zero_copy_only=False)
+    both = sorted((int(k), flat[at[i] : at[i + 1]].tobytes()) for i, k in enumerate(rows["label"].to_pylist()))
+    x = np.zeros((len(both), len(terms)), dtype=np.float32)
+    for i, (_, places) in enumerate(both):
+        x[i, np.frombuffer(places, dtype=np.int32)] = 1
+    y = np.array([k for k, _ in both])
+    chosen = np.isin(terms.view(np.int64), np.array(sorted(own), dtype=np.int64))
+    chosen[paired(x, y)] = True
+    return fit(x[:, chosen], y, terms[chosen])
 
 
 def _score(shared):

@@ -41,21 +41,66 @@ def test_hard_rows(spark, hard, empty, labels, score):
     assert score(hard, labels.limit(0)).count() == 10
 
 
+def pair_rows(seed=0, n=4000):
+    """Rows by terms 0 to 60: positive are those of term 0 (a severe word) and those of terms 1 and 2 together."""
+    rng = np.random.default_rng(seed)
+    x = (rng.random((n, 61)) < 0.2).astype(np.float32)
+    x[:, 0] = rng.random(n) < 0.1
+    return x, ((x[:, 0] == 1) | ((x[:, 1] == 1) & (x[:, 2] == 1))).astype(int)
+
+
+def test_pairs_of_neutral_terms_are_chosen():
+    x, y = pair_rows()
+    assert {1, 2} <= set(toxicity.paired(x, y).tolist()) <= {0, 1, 2}
+    rng = np.random.default_rng(1)
+    assert not len(toxicity.paired(x[:, 3:], rng.integers(0, 2, len(x))))
+
+
 def test_factors_learn_pairs():
     """The label is 1 only where both of two terms stand: a sum of weights alone cannot say so."""
-    rng = np.random.default_rng(0)
+    x, y = pair_rows()
+    model = toxicity.fit(x[:, :6], y, np.arange(1, 7, dtype=np.uint64) << np.uint64(60))
+    one = model.bias + max(model.weights[1], model.weights[2])
+    both = model.bias + model.weights[1] + model.weights[2] + model.factors[1] @ model.factors[2]
+    assert one < 0 < both and model.bias + model.weights[0] > 0
+
+
+def test_neutral_second_term_counts(spark):
+    """Insult and group mention are positive together only; a third of the clean rows mention the group."""
+    rng = np.random.default_rng(5)
     rows = []
-    for _ in range(800):
-        a, b = rng.random(2) < 0.5
-        noise = rng.integers(100, 400, 5)
-        rows.append((int(a and b), np.array(sorted({*([1 << 60] if a else []), *([2 << 60] if b else []), *noise.tolist()}), dtype=np.int64)))
-    model = toxicity.fit(rows)
-    assert len(model.terms) >= 2
-    slot = {int(t): k for k, t in enumerate(model.terms)}
-    i, j = slot[1 << 60], slot[2 << 60]
-    one = model.bias + max(model.weights[i], model.weights[j])
-    both = model.bias + model.weights[i] + model.weights[j] + model.factors[i] @ model.factors[j]
-    assert one < 0 < both
+    for k in range(6000):
+        severe, insult, group = (rng.random(3) < (0.10, 0.20, 0.30)).tolist()
+        words = ["severe"] * severe + ["insult"] * insult + ["group"] * group + [f"w{j:03d}" for j in rng.integers(0, 60, 12)]
+        rows.append((k, " ".join(words), int(severe or (insult and group))))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scored = toxicity.toxicity(df, df.select("doc_id", "toxic"))
+    acc, _ = accuracy(scored, df, "toxic")
+    assert acc > 0.97
+
+
+def test_gradients_are_those_of_the_loss():
+    """Against differences of the loss, term by term, of a plain sum over pairs."""
+    rng = np.random.default_rng(3)
+    x, y = (rng.random((30, 5)) < 0.4).astype(float), rng.integers(0, 2, 30).astype(float)
+    weight = rng.random(30)
+    params = [rng.normal(size=1), rng.normal(size=5), rng.normal(size=(5, toxicity.FACTORS))]
+
+    def loss():
+        total = 0.0
+        for row, label, k in zip(x, y, weight):
+            z = params[0][0] + row @ params[1] + sum(row[i] * row[j] * (params[2][i] @ params[2][j]) for i in range(5) for j in range(i))
+            total += k * (np.log1p(np.exp(z)) - label * z)
+        return total + toxicity.L2_WEIGHT / 2 * (params[1] ** 2).sum() + toxicity.L2_FACTOR / 2 * (params[2] ** 2).sum()
+
+    for p, g in zip(params, toxicity.gradients(x, y, weight, params)):
+        for at in np.ndindex(p.shape):
+            p[at] += 1e-5
+            up = loss()
+            p[at] -= 2e-5
+            down = loss()
+            p[at] += 1e-5
+            assert g[at] == pytest.approx((up - down) / 2e-5, abs=1e-4)
 
 
 def test_class_prior():
