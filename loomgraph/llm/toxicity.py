@@ -28,7 +28,7 @@ PREFIXES = (4, 5, 6)
 #: The sample: at most so many rows of each label, those of the lowest hash of doc_id.
 ROWS_PER_LABEL = 3000
 #: The most terms that are bound to the positive label by themselves, that pairs are looked for among (the most frequent), and that pairs add.
-MOST_TERMS, MOST_COMMON, MOST_PAIRED = 1024, 2048, 512
+MOST_TERMS, MOST_COMMON, MOST_PAIRED = 1024, 1024, 256
 #: Standard deviations by which a pair's positive rows exceed what its terms alone explain, and the fewest rows of a pair.
 PAIR_Z, PAIR_ROWS = 5.0, 8
 FACTORS = 4
@@ -105,15 +105,20 @@ def _log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.nd
 def paired(x: np.ndarray, y: np.ndarray, most: int = MOST_PAIRED) -> np.ndarray:
     """Columns of ``x`` (rows by terms, 0 or 1) in a pair that is positive more often than the terms' own log odds add up to."""
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
-    positive = x[y == 1]
-    both, both_pos = x.T @ x, positive.T @ positive
-    pos = positive.sum(0)
-    odds = _log_odds(pos, x.sum(0) - pos, n_pos, n_neg)
-    alone = 1 / (1 + np.exp(-np.clip(odds[:, None] + odds[None, :] + np.log(n_pos / n_neg), -30, 30)))
-    z = (both_pos - both * alone) / np.sqrt(both * alone * (1 - alone) + 1e-9)
-    z[both < PAIR_ROWS] = 0
-    np.fill_diagonal(z, 0)
-    best = z.max(1, initial=0)
+    both, both_pos = np.zeros((2, x.shape[1], x.shape[1]), dtype=np.float32)
+    for i in range(0, len(x), 1000):
+        some = x[i : i + 1000].astype(np.float32)
+        both += some.T @ some
+        some = some[y[i : i + 1000] == 1]
+        both_pos += some.T @ some
+    pos = np.diagonal(both_pos)
+    odds = _log_odds(pos, np.diagonal(both) - pos, n_pos, n_neg).astype(np.float32)
+    best = np.zeros(x.shape[1])
+    for k in range(x.shape[1]):
+        alone = 1 / (1 + np.exp(-np.clip(odds + odds[k] + np.log(n_pos / n_neg), -30, 30)))
+        z = (both_pos[k] - both[k] * alone) / np.sqrt(both[k] * alone * (1 - alone) + 1e-9)
+        z[(both[k] < PAIR_ROWS) | (np.arange(len(z)) == k)] = 0
+        best[k] = z.max(initial=0)
     found = np.flatnonzero(best > PAIR_Z)
     return np.sort(found[np.argsort(-best[found], kind="stable")[:most]])
 
@@ -191,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     slots = rows["slots"].combine_chunks()
     at, flat = slots.offsets.to_numpy(), slots.values.to_numpy(zero_copy_only=False)
     both = sorted((int(k), flat[at[i] : at[i + 1]].tobytes()) for i, k in enumerate(rows["label"].to_pylist()))
-    x = np.zeros((len(both), len(terms)), dtype=np.float32)
+    x = np.zeros((len(both), len(terms)), dtype=np.uint8)
     for i, (_, places) in enumerate(both):
         x[i, np.frombuffer(places, dtype=np.int32)] = 1
     y = np.array([k for k, _ in both])
