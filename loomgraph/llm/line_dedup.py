@@ -22,7 +22,7 @@ links join needs no more comparison, and all other pairs are then compared.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ RUN = 4
 DISTANCE = 20
 BLOOM_BITS = 26
 LETTERS = 32
-ROUNDS = 2
+ROUNDS = 1
 #: Entries that a task holds before it sends them.
 MOST_ENTRIES = 1 << 21
 #: Rows of packed entries for each partition that they are dealt to.
@@ -324,17 +324,22 @@ def _bags(texts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * LETTERS), pa.array(bags))
 
 
-def distance_within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most ``most``: Myers' bit vectors, after common ends are cut off."""
+def distance_within(a: Sequence, b: Sequence, most: int) -> bool:
+    """Whether the edit distance of two strings, or lists of words, is at most ``most``: Myers' bit vectors, after common ends are cut off."""
     if abs(len(a) - len(b)) > most:
         return False
-    x, y = (np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32) for s in (a, b))
-    n = min(len(x), len(y))
-    other = np.flatnonzero(x[:n] != y[:n])
-    head = int(other[0]) if len(other) else n
-    n -= head
-    other = np.flatnonzero(x[len(x) - n :] != y[len(y) - n :])
-    tail = n - 1 - int(other[-1]) if len(other) else n
+    n = min(len(a), len(b))
+    if isinstance(a, str):
+        x, y = (np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32) for s in (a, b))
+        other = np.flatnonzero(x[:n] != y[:n])
+        head = int(other[0]) if len(other) else n
+        n -= head
+        other = np.flatnonzero(x[len(x) - n :] != y[len(y) - n :])
+        tail = n - 1 - int(other[-1]) if len(other) else n
+    else:
+        head = next((k for k in range(n) if a[k] != b[k]), n)
+        n -= head
+        tail = next((k for k in range(n) if a[-1 - k] != b[-1 - k]), n)
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     if len(a) > len(b):
         a, b = b, a
@@ -342,7 +347,7 @@ def distance_within(a: str, b: str, most: int) -> bool:
         return True
     if not a:
         return False
-    places: dict[str, int] = {}
+    places: dict = {}
     for k, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << k
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
@@ -364,12 +369,19 @@ def distance_within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+def similar(x: str, y: str, similarity: float) -> bool:
+    """Whether 1 - edit distance / longer length is at least ``similarity``."""
+    most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+    a, b = x.split(" "), y.split(" ")
+    # Each word that changes, comes or goes takes no more edits than the longest word and its space have characters.
+    longest = 1 + max(max(map(len, a)), max(map(len, b)))
+    return distance_within(a, b, most // longest) or distance_within(x, y, most)
+
+
 def _similar(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                hit.append(distance_within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)))
+            hit = [similar(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     return run

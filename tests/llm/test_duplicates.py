@@ -242,6 +242,9 @@ def test_distance_within():
         b = "".join(rnd.choice("abé") for _ in range(rnd.randint(0, 20))) if rnd.random() < 0.5 else a[: rnd.randint(0, 20)] + rnd.choice(["", "x", "ab"]) + a[rnd.randint(0, 20) :]
         d = edits(a, b)
         assert [line_dedup.distance_within(a, b, m) for m in range(d + 3)] == [m >= d for m in range(d + 3)]
+        assert [line_dedup.distance_within(list(a), list(b), m) for m in range(d + 3)] == [m >= d for m in range(d + 3)]
+        x, y = a.replace("b", " "), b.replace("b", " ")
+        assert line_dedup.similar(x, y, 0.8) == (edits(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9)
 
 
 def test_line_dedup_hard(hard, empty):
