@@ -37,6 +37,8 @@ MOST_BITS = 27
 #: Sets above this size are never light: their subsets would be too many.
 MOST_LIGHT = 40
 BLOOM_BITS = 26
+#: Subsets and list entries that a task holds before it sends them.
+MOST_KEYS = 1 << 17
 #: Rounds in which components meet the centres of their lists, before all remaining pairs are compared.
 ROUNDS = 4
 #: Classes of set sizes for each factor e.
@@ -160,15 +162,19 @@ def _keys(n: int, percent: int, width_bits: int, light: int, frequent: int, shar
                 ids, size = _set_ids(sets, bounds), np.diff(bounds)
                 often = counts[sketch.cells(sets, 1, width_bits)[0]]
                 often = np.where(often > frequent, often, 0)
-                keys, owner = [], []
+                keys, owner, held = [], [], 0
                 for d in np.flatnonzero(size):
+                    if held >= MOST_KEYS:
+                        yield _key_rows(keys, owner, ids, size)
+                        keys, owner, held = [], [], 0
                     x, s = sets[bounds[d] : bounds[d + 1]], int(size[d])
                     if s <= near:
                         for c in subset_sizes(s, percent):
                             pick = np.array(list(combinations(range(s), c)), dtype=np.int64)
                             part = mix(x)[pick].sum(axis=1, dtype=U) if c else np.zeros(1, U)
                             keys.append(mix(part ^ U(c + 1)))
-                            owner.append(np.full(len(pick), d))
+                            owner.append((d, len(pick)))
+                            held += len(pick)
                     if s > light:
                         p = prefix_len(s, percent)
                         rare = often[bounds[d] : bounds[d + 1]]
@@ -177,14 +183,19 @@ def _keys(n: int, percent: int, width_bits: int, light: int, frequent: int, shar
                             keys.append(x[order])
                         else:
                             keys.append(x[:p])
-                        owner.append(np.full(len(keys[-1]), d))
+                        owner.append((d, len(keys[-1])))
+                        held += len(keys[-1])
                 if keys:
-                    own = np.concatenate(owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(ids[own]), pa.array(size[own])], names=["key", "set_id", "size"])
+                    yield _key_rows(keys, owner, ids, size)
 
     return run
 
 
+def _key_rows(keys: list[np.ndarray], owner: list[tuple[int, int]], ids: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    own = np.repeat(*np.array(owner, dtype=np.int64).T)
+    return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(ids[own]), pa.array(size[own])], names=["key", "set_id", "size"])
+
+
 def _pair_key(doc_ids: np.ndarray, set_ids: np.ndarray) -> np.ndarray:
     return mix(set_ids.astype(np.int64).view(U) ^ mix(doc_ids.astype(np.int64).view(U)))
 
