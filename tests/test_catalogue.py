@@ -5,7 +5,9 @@ import math
 import duckdb
 import pytest
 
-from loomgraph.plans.catalogue import ORACLES, QUERIES
+from loomgraph.plans import analysis, catalogue
+
+QUERIES, ORACLES = catalogue.QUERIES | analysis.QUERIES, catalogue.ORACLES | analysis.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
