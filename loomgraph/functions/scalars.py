@@ -33,8 +33,9 @@ def normalise_code(col: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of n tokens; fewer tokens have none."""
-    count = F.size(tokens) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    # The tokens are bound to a variable, so that they are made once and not for every run.
+    runs = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(tokens), runs), 0)
 
 
 def version(col: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, search_tokens
+from ..storage import shared_dir
 
 
 def field_search(rows: DataFrame, terms: list[str], weights: dict[str, float], id_col: str = "id") -> DataFrame:
@@ -32,8 +36,7 @@ def _equals(word: str):
 def bm25(docs: DataFrame, query: list[str], id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of documents with a query term; a repeated query term counts each time.
 
-    Only the query's terms are exploded; lengths come from the same scan, so no posting list of the
-    whole corpus is built.
+    Scans all texts, twice; for more than one query write an index (``build_index``) and ask that.
     """
     wanted = sorted(set(query))
     words = docs.select(F.col(id_col).alias("id"), search_tokens(F.col(text_col)).alias("t"))
@@ -48,6 +51,74 @@ def bm25(docs: DataFrame, query: list[str], id_col: str = "doc_id", text_col: st
     return counted.crossJoin(F.broadcast(facts)).select("id", score.alias("score")).where("score > 0")
 
 
+BUCKETS = 32
+
+
+def _bucket(term: Column) -> Column:
+    """Terms with the same first two characters share a bucket, so that a prefix of two or more is in one."""
+    return (F.crc32(F.substring(term, 1, 2).cast("binary")) % BUCKETS).cast("int")
+
+
+@dataclass(frozen=True)
+class Index:
+    """An inverted index in a folder: postings (bucket, term, id, tf, len) in a folder for each bucket, sorted by term, and the documents' lengths."""
+
+    folder: str
+
+    def postings(self, spark, terms: list[str]) -> DataFrame:
+        """The postings in the buckets of the terms (or prefixes of at least two characters); other buckets are not read."""
+        rows = spark.read.parquet(f"{self.folder}/postings")
+        probe = spark.range(1).select(*[_bucket(F.lit(t)).alias(f"b{k}") for k, t in enumerate(terms)]).first()
+        return rows.where(F.col("bucket").isin(sorted(set(probe))))
+
+    def facts(self, spark) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Write the index of all rows. Buckets are spread over tasks by id too, so that a frequent term is no one task's work."""
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}/index"
+    words = docs.select(F.col(id_col).alias("id"), search_tokens(F.col(text_col)).alias("t"))
+    words.select("id", F.size("t").alias("len")).write.parquet(f"{folder}/lengths")
+    rows = postings(docs, id_col, text_col).withColumn("bucket", _bucket(F.col("term")))
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    return Index(folder)
+
+
+def refresh_index(index: Index, changed: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """A new index without the documents ``removed`` (id) and with those of ``changed`` in place of what they were."""
+    spark = changed.sparkSession
+    gone = removed.select("id").unionByName(changed.select(F.col(id_col).alias("id"))).distinct()
+    added = build_index(changed, id_col, text_col)
+    folder = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}/index"
+    for name in ("lengths", "postings"):
+        old, new = (spark.read.parquet(f"{x.folder}/{name}") for x in (index, added))
+        rows = old.join(gone, "id", "left_anti").unionByName(new)
+        rows = rows.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket") if name == "postings" else rows.write
+        rows.parquet(f"{folder}/{name}")
+    return Index(folder)
+
+
+def index_search(spark, index: Index, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) as ``bm25`` has it, from the postings of the query's terms alone."""
+    counts = F.create_map(*[x for t in sorted(set(query)) for x in (F.lit(t), F.lit(query.count(t)))])
+    rows = index.postings(spark, sorted(set(query))).where(F.col("term").isin(sorted(set(query))))
+    df = rows.groupBy("term").agg(F.count("*").alias("df"))  # at most one row for each term of the query
+    rows = rows.join(F.broadcast(df), "term").crossJoin(F.broadcast(index.facts(spark)))
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = counts[F.col("term")] * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    return rows.groupBy("id").agg(F.sum(part).alias("score"))
+
+
+def prefix_search(spark, index: Index, prefixes: list[str]) -> DataFrame:
+    """(id, hits) of documents with a term for each of the prefixes (two characters or more); hits counts such terms' occurrences."""
+    rows = index.postings(spark, prefixes)
+    which = F.array_compact(F.array(*[F.when(F.col("term").startswith(p), F.lit(k)) for k, p in enumerate(prefixes)]))
+    found = rows.select("id", "tf", F.explode(which).alias("k")).groupBy("id").agg(F.sum("tf").alias("hits"), F.count_distinct("k").alias("k"))
+    return found.where(F.col("k") == len(prefixes)).select("id", "hits")
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
@@ -83,7 +154,9 @@ def weighted_mean(signals: dict[str, tuple[Column, float]]) -> Column:
 def hashed_embedding(docs: DataFrame, dim: int = 768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, bucket, value): character 3-grams hashed into signed buckets, of unit length."""
     padded = F.concat(F.lit("  "), F.lower(F.col(text_col)), F.lit("  "))
-    grams = docs.select(F.col(id_col).alias("id"), F.explode(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))).alias("g"))
+    # Characters as an array: a place in a long string is found by counting from its start.
+    letters = docs.select(F.col(id_col).alias("id"), F.split(padded, "").alias("c")).where(F.size("c") > 2)
+    grams = letters.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("c") - 3), lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))).alias("g"))
     h = F.xxhash64("g")
     sums = grams.select("id", F.pmod(h, F.lit(dim)).alias("bucket"), F.when(F.pmod(F.shiftrightunsigned(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")).groupBy("id", "bucket").agg(F.sum("sign").alias("value"))
     norm = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def minhash(rows: DataFrame, hashes: int = 128, id_col: str = "id", items_col: str = "items") -> DataFrame:
     """(id, signature): for each of the seeds the least hash of the items; an empty set has the largest value throughout."""
     seeds = F.sequence(F.lit(0), F.lit(hashes - 1))
-    least = F.transform(seeds, lambda s: F.coalesce(F.array_min(F.transform(F.array_distinct(items_col), lambda x: F.xxhash64(x, s))), F.lit((1 << 63) - 1)))
+    least = F.transform(seeds, lambda s: F.coalesce(F.array_min(F.transform(items_col, lambda x: F.xxhash64(x, s))), F.lit((1 << 63) - 1)))
     return rows.select(F.col(id_col).alias("id"), least.alias("signature"))
 
 
@@ -28,8 +30,8 @@ def band_pairs(signatures: DataFrame, bands: int, rows_per_band: int) -> DataFra
 
 
 def similar_pairs(rows: DataFrame, threshold: float, bands: int = 16, rows_per_band: int = 8, id_col: str = "id", items_col: str = "items") -> DataFrame:
-    """(a, b, similarity): banded candidates, then exact Jaccard at or above the threshold."""
-    sets = rows.select(F.col(id_col).alias("id"), F.array_distinct(items_col).alias("items"))
+    """(a, b, similarity): banded candidates, then exact Jaccard at or above the threshold. Empty sets are like none."""
+    sets = written(rows.select(F.col(id_col).alias("id"), F.array_distinct(items_col).alias("items")).where("size(items) > 0"), "sets")
     pairs = band_pairs(minhash(sets, bands * rows_per_band), bands, rows_per_band)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
