@@ -245,20 +245,19 @@ class _Checker:
         both = pairs.join(self.marks.select(F.col("set_id").alias("a"), "bits"), "a").join(self.marks.select(F.col("set_id").alias("b"), F.col("bits").alias("other_bits")), "b")
         return both.where(self.near).select(*pairs.columns)
 
-    def prepare(self, wanted: DataFrame) -> None:
-        """Write the sets that may be compared, once. wanted: their ids."""
-        ids = wanted.join(self.reps, "set_id").select("doc_id", "set_id")
-        bloom = sketch.merged(ids.mapInArrow(_bloom(BLOOM_BITS), sketch.SCHEMA), 2, BLOOM_BITS, sketch.any_bits)
-        shared = wanted.sparkSession.sparkContext.broadcast([x.tobytes() for x in bloom])
-        found = self.docs.where("isnotnull(doc_id)").mapInArrow(_wanted_sets(self.n, BLOOM_BITS, shared), "set_id long, items array<long>")
-        self.sets = written(found, "sets")
-        released(shared)
-
     def links(self, pairs: DataFrame) -> DataFrame:
-        """pairs: (a, b) of set ids. Those that link, written."""
-        both = pairs.select("a", "b").join(self.sets.select(F.col("set_id").alias("a"), F.col("items").alias("x")), "a").join(self.sets.select(F.col("set_id").alias("b"), F.col("items").alias("y")), "b")
+        """pairs: (a, b) of set ids. Those that link, written. Only the documents whose sets are compared are cut into words again."""
+        pairs = written(pairs.select("a", "b"), "fitting")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(self.reps, "set_id").select("doc_id", "set_id")
+        bloom = sketch.merged(ids.mapInArrow(_bloom(BLOOM_BITS), sketch.SCHEMA), 2, BLOOM_BITS, sketch.any_bits)
+        shared = pairs.sparkSession.sparkContext.broadcast([x.tobytes() for x in bloom])
+        sets = written(self.docs.where("isnotnull(doc_id)").mapInArrow(_wanted_sets(self.n, BLOOM_BITS, shared), "set_id long, items array<long>"), "sets")
+        both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("items").alias("y")), "b")
         both = both.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("total"), F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
-        return written(both.where(F.expr(f"100 * shared >= {self.percent} * (total - shared)")).select("a", "b").distinct(), "links")
+        found = written(both.where(F.expr(f"100 * shared >= {self.percent} * (total - shared)")).select("a", "b").distinct(), "links")
+        dropped(pairs, sets)
+        released(shared)
+        return found
 
 
 def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_bits: int | None = None) -> DataFrame:
@@ -298,7 +297,6 @@ def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_
 
     marks = written(base.where("n_shingles > 0").groupBy("set_id").agg(F.first("bits").alias("bits"), F.count("*").alias("copies")), "marks")
     check = _Checker(docs, reps, marks, n, percent)
-    check.prepare(active.select("set_id").distinct())
     placed = active.withColumn("component", F.col("set_id")).join(marks.select("set_id", F.col("copies").alias("weight")), "set_id")
     links = tested = groups = None
     for k in range(ROUNDS):
