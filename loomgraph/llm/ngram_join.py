@@ -37,6 +37,8 @@ MOST_BITS = 27
 #: Sets above this size are never light: their subsets would be too many.
 MOST_LIGHT = 40
 BLOOM_BITS = 26
+#: Words of 64 bits that a bitmap is folded to, for the join of all remaining pairs.
+FOLDED = 4
 #: Subsets and list entries that a task holds before it sends them.
 MOST_KEYS = 1 << 17
 #: Rounds in which components meet the centres of their lists, before all remaining pairs are compared.
@@ -321,10 +323,15 @@ def ngram_join(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, width_
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         placed = written(placed.join(mixed, "key"), "open")
     # Also without any star: sets of neighbouring classes meet only here.
-    ours = placed.select("key", "set_id", "size", "component").join(marks.select("set_id", "bits"), "set_id")
+    # The join itself asks bitmaps folded to a few words; the whole ones are asked for the pairs that it leaves.
+    fold = f"transform(sequence(0, least(size(bits), {FOLDED}) - 1), i -> aggregate(filter(bits, (x, j) -> j % {FOLDED} = i), 0L, (s, x) -> s ^ x))"
+    ours = placed.select("key", "set_id", "size", "component").join(marks.select("set_id", F.expr(fold).alias("bits")), "set_id")
     other = ours.select("key", F.col("set_id").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other"), F.col("bits").alias("other_bits"))
-    crossed = ours.withColumnRenamed("set_id", "a").join(other, "key").where(f"component < other and {check.fits} and {check.near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crossed = written(crossed if tested is None else crossed.join(tested, ["a", "b"], "left_anti"), "pairs")
+    ordered = F.col("a") < F.col("b")
+    crossed = ours.withColumnRenamed("set_id", "a").join(other, "key").where(f"component < other and {check.fits} and {check.near}")
+    crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(ordered, F.col("size")).otherwise(F.col("other_size")).alias("size"), F.when(ordered, F.col("other_size")).otherwise(F.col("size")).alias("other_size")).distinct()
+    crossed = check.fitting(crossed if tested is None else crossed.join(tested, ["a", "b"], "left_anti"))
+    crossed = written(crossed.select("a", "b"), "pairs")
     if not crossed.isEmpty():
         found = check.links(crossed)
         every = components(found if links is None else links.unionByName(found))
