@@ -28,6 +28,7 @@ DEPTH = 2
 #: The sketch has about 8 counters for each anchor, up to 2**MOST_BITS: a broadcast of 2 x 64 MB.
 MOST_BITS = 29
 HITS = "h1 long, h2 int, doc_id long, at int"
+RESULT = ("doc_id", "n_words", "n_removed", "kept", "kept_sha256", "text")
 
 
 def _windows(w: Words, window: int, anchor: int):
@@ -143,8 +144,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     and \\x09-\\x0D. Null and empty texts have no words and keep the empty string. Rows with equal
     doc_id count as one document and are never cut because of each other. A null doc_id is neither
     first nor cut. Windows within one document do not count against each other. An empty table
-    gives an empty table. Other columns are ignored.
+    gives an empty table. A carried column named as a result column is left out; other columns are ignored.
     """
+    carry = tuple(c for c in carry if c.lower() not in RESULT)
     marks = repeated_windows(docs, window, anchor, width_bits).groupBy("doc_id").agg(F.collect_set("at").alias("__marks"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
     types = "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in carry)

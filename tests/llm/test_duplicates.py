@@ -122,7 +122,7 @@ def test_substring_dedup(spark, bits):
 
 
 def test_substring_dedup_hard(hard, empty):
-    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(hard, window=3, anchor=2).collect()}
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(hard, window=3, anchor=2, carry=("lang", "kept")).collect()}
     assert (got[1]["n_words"], got[1]["kept"]) == (0, "") and got[4]["n_removed"] == 0
     assert got[5]["n_removed"] == 0 and got[6]["n_removed"] == got[7]["n_removed"] == 4 and None in got
     assert substring_dedup.substring_dedup(empty).count() == 0
