@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +30,8 @@ from .tokens import utf8
 WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 MOST_CHUNKS = 300_000
 MOST_WORDS = 300_000
-GROUP_BYTES = 1 << 21
+#: Bytes from which a word's merges are taken from a heap.
+LONG_WORD = 128
 
 
 def rank_path() -> str:
@@ -54,10 +56,41 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges, from a heap of pairs, for words whose pairs are too many to look through at each merge."""
+    n = len(word)
+    end = list(range(1, n + 1))  # where the part that begins here ends; 0: no part begins here any more
+    begin = list(range(-1, n))  # where the part that ends here begins
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+
+    def push(i: int, mid: int, stop: int) -> None:
+        r = ranks.get(word[i:stop])
+        if r is not None:
+            heapq.heappush(heap, (r, i, mid, stop))
+
+    while heap:
+        _, i, mid, stop = heapq.heappop(heap)
+        if end[i] != mid or end[mid] != stop:
+            continue
+        end[i], end[mid], begin[stop] = stop, 0, i
+        if stop < n:
+            push(i, stop, end[stop])
+        if i:
+            push(begin[i], i, stop)
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
 def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merge the leftmost adjacent pair of lowest rank until no pair has a rank."""
     if word in ranks:
         return [ranks[word]]
+    if len(word) > LONG_WORD:
+        return _fold_long(word, ranks)
     parts = [word[i : i + 1] for i in range(len(word))]
     get, none = ranks.get, len(ranks) + (1 << 30)
     pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]

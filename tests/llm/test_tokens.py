@@ -149,3 +149,13 @@ def test_best_fit():
     assert packing.best_fit([], 10) == []
     assert packing.best_fit([10, 10], 10) == [[0], [1]]
 
+
+
+def test_long_words_fold_alike():
+    ranks = bpe.load_ranks(bpe.rank_path())
+    whole = tiktoken.Encoding("own", pat_str=bpe.word_pattern(), mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(5)
+    for n in (129, 500, 20_000):
+        for letters in (b"a", b"ab", b"etaoinshr", bytes(range(256))):
+            word = bytes(rng.choice(list(letters), n).tolist())
+            assert bpe.fold(word, ranks) == whole._encode_single_piece(word)
