@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import embedding_dedup, fingerprint, line_dedup, ngram_join, sketch, substring_dedup
 from loomgraph.llm.words import Words, sequence_ids, sliding_min
@@ -338,5 +339,29 @@ def test_embedding_dedup_recall(spark):
     assert all(got[i]["n_links"] == 0 for i in list(got)[-7:] if i not in links)
 
 
+def test_embedding_dedup_dense_groups(spark):
+    """A near group of a third of the rows, one around another's border, and a wide label of the same width: exact, in several blocks."""
+    rng = np.random.default_rng(11)
+    base, side = rng.normal(size=32), rng.normal(size=32)
+    x = [base + rng.normal(size=32) * 0.22 for _ in range(500)]
+    x += [base + 0.45 * side + rng.normal(size=32) * 0.22 for _ in range(300)]
+    x += list(rng.normal(size=(700, 32)))
+    x += x[:40]
+    label = [0] * len(x) + [1] * 300
+    x += [base + rng.normal(size=32) * 0.25 for _ in range(300)]
+    rows = [(i, [float(np.float32(v)) for v in e], k) for i, (e, k) in enumerate(zip(x, label))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    vectors = df.select(F.col("vec_id").alias("id"), "embedding", "label")
+    assert len(embedding_dedup.dense_groups(vectors, leaf=16)) == 2
+    u = embedding_dedup.unit([r[1] for r in rows])
+    near = (u @ u.T >= 0.93) & (np.array(label)[:, None] == np.array(label)[None, :])
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(df, leaf=16, block=100).collect()}
+    found, want = np.array([got[i]["n_links"] for i in range(len(rows))]), near.sum(axis=1)
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+    parts = union(got, [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b])
+    assert sum(got[i]["component_id"] == parts[i] for i in got) >= 0.99 * len(got)
+
+
 def test_embedding_dedup_empty(spark):
     assert embedding_dedup.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int, dim string, a long")).count() == 0
