@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import digests
+from .content_dedup import content_dedup
 from .embedding_dedup import embedding_dedup
 from .fingerprint import compare_with_next
 from .line_dedup import line_dedup
@@ -62,8 +63,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_dedup(_table(spark, sf_dir, "documents"), keep="largest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_order_minhash, op3_ngram_join, op4_substring_dedup, op5_line_dedup, op6_embedding_dedup, op7_quality, op8_sstable, op9_toxicity, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_order_minhash, op3_ngram_join, op4_substring_dedup, op5_line_dedup, op6_embedding_dedup, op7_quality, op8_sstable, op9_toxicity, op10_best_fit_packing, op11_content_sort)}
 
 
 WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -100,7 +105,13 @@ n as (select a, count(*) as n from e group by a)
 select id as vec_id, coalesce(any_value(n.n), 0) as n_links, min(c) as component_id, id = min(c) as kept from r left join n on n.a = id group by id
 """
 
+CONTENT_SQL = """
+with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+  row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256 from t
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against brute force, the libraries or held-out labels."""
-    return {"op3_ngram_join": NGRAM_JOIN_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op6_embedding_dedup": EMBEDDING_SQL}
+    return {"op3_ngram_join": NGRAM_JOIN_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op6_embedding_dedup": EMBEDDING_SQL, "op11_content_sort": CONTENT_SQL}
