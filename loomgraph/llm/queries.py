@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import link_counts
 from .bpe import digests
 from .content_dedup import content_dedup
 from .embedding_dedup import embedding_dedup
@@ -68,12 +69,16 @@ def op11_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(_table(spark, sf_dir, "documents"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_order_minhash, op3_ngram_join, op4_substring_dedup, op5_line_dedup, op6_embedding_dedup, op7_quality, op8_sstable, op9_toxicity, op10_best_fit_packing, op11_content_sort, op13_phrases)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_order_minhash, op3_ngram_join, op4_substring_dedup, op5_line_dedup, op6_embedding_dedup, op7_quality, op8_sstable, op9_toxicity, op10_best_fit_packing, op11_content_sort, op12_token_alignment, op13_phrases)}
 
 
 WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
