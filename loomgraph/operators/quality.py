@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iou
+from ..storage import dropped, written
+from . import intervals
 
 
 def prf(rows: DataFrame, predicted: str, truth: str, by: list[str] | None = None) -> DataFrame:
@@ -39,44 +41,43 @@ def bootstrap_interval(rows: DataFrame, value: str, key: str, replicates: int =
     return drawn.agg(F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high"))
 
 
+def overlapping(found: DataFrame, truth: DataFrame, least: float, strict: bool = False) -> DataFrame:
+    """id, truth_id, overlap: pairs of ranges (id, file, start, end) of one file whose overlap over union is at or (strict) above ``least``."""
+    share = iou(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
+    pairs = intervals.overlaps(found.select("id", "file", "start", "end"), truth.select("id", "file", "start", "end"), ["file"])
+    pairs = pairs.select("id", F.col("r_id").alias("truth_id"), share.alias("overlap"))
+    return pairs.where(F.col("overlap") > least if strict else F.col("overlap") >= least)
+
+
 def range_matches(found: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     """id, truth_id, overlap: for each detection the best truth range of its file, at or above ``least``. Both: id, file, start, end."""
-    t = truth.select(F.col("id").alias("truth_id"), "file", F.col("start").alias("t0"), F.col("end").alias("t1"))
-    near = found.join(t, "file").where("start <= t1 and end >= t0").withColumn("overlap", iou(F.col("start"), F.col("end"), F.col("t0"), F.col("t1"))).where(F.col("overlap") >= least)
-    best = near.groupBy("id").agg(F.max(F.struct("overlap", (-F.col("truth_id")).alias("t"))).alias("m"))
+    best = overlapping(found, truth, least).groupBy("id").agg(F.max(F.struct("overlap", (-F.col("truth_id")).alias("t"))).alias("m"))
     return best.select("id", (-F.col("m.t")).alias("truth_id"), F.col("m.overlap").alias("overlap"))
 
 
-def greedy_matches(found: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
-    """id, truth_id: in order of id each detection takes the best truth range of its file that is still free.
+def greedy_matches(found: DataFrame, truth: DataFrame, least: float = 0.5, most: int = 1000) -> DataFrame:
+    """id, truth_id: in order of id each detection takes the best truth range of its file that is still free (ties: the smallest).
 
-    The order decides, so a file is one task's work; a file's detections are bounded by its lines.
+    By rounds over all files: a detection gets its best free range as soon as no earlier one that has got none could
+    take that range. So the result is that of the sequential order, and no file is one task's work.
     """
-    import pandas as pd
-
-    def match(f: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        free, out = dict(zip(t["id"], zip(t["start"], t["end"]))), []
-        for r in f.sort_values("id").itertuples():
-            best, at = least, None
-            for k in sorted(free):
-                a, b = free[k]
-                shared = max(0, min(b, r.end) - max(a, r.start) + 1)
-                value = shared / ((b - a + 1) + (r.end - r.start + 1) - shared)
-                if value > best or (value == best and at is None):
-                    best, at = value, k
-            if at is not None:
-                del free[at]
-                out.append((r.id, at))
-        return pd.DataFrame(out, columns=["id", "truth_id"])
-
-    return found.groupBy("file").cogroup(truth.groupBy("file")).applyInPandas(match, "id long, truth_id long")
+    open_ = written(overlapping(found, truth, least), "pairs")
+    taken = None
+    for _ in range(most):
+        want = open_.groupBy("id").agg(F.max_by("truth_id", F.struct("overlap", -F.col("truth_id"))).alias("truth_id"))
+        first = open_.groupBy("truth_id").agg(F.min("id").alias("first"))
+        now = written(want.join(first, "truth_id").where("id = first").select("id", "truth_id"), "taken")
+        taken = now if taken is None else taken.unionByName(now)
+        last, open_ = open_, written(open_.join(now.select("id"), "id", "left_anti").join(now.select("truth_id"), "truth_id", "left_anti"), "pairs")
+        dropped(last)
+        if open_.isEmpty():
+            return taken
+    raise RuntimeError(f"matches did not settle in {most} rounds")
 
 
 def without_overlaps(new: DataFrame, old: DataFrame, most: float = 0.5) -> DataFrame:
     """New ranges that share no more than ``most`` with any old range of their file."""
-    o = old.select("file", F.col("start").alias("o0"), F.col("end").alias("o1"))
-    near = new.join(o, "file").where("start <= o1 and end >= o0").where(iou(F.col("start"), F.col("end"), F.col("o0"), F.col("o1")) > most).select("id").distinct()
-    return new.join(near, "id", "left_anti")
+    return new.join(overlapping(new, old, most, strict=True).select("id").distinct(), "id", "left_anti")
 
 
 def trend(rows: DataFrame, series: str, at: str, value: str, lower_is_better: list[str]) -> DataFrame:

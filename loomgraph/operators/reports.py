@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+
 
 def file_rollup(symbols: DataFrame) -> DataFrame:
     """Per file: symbols, total and average complexity; risky over a total of 10 or over 20 symbols."""
@@ -96,9 +98,10 @@ def affected(edges: DataFrame, changed: DataFrame, kind: str, name) -> DataFrame
 def merge_comments(comments: DataFrame, least: int = 3) -> DataFrame:
     """Comments (id, path, category, start, end) of which no earlier one (by id) of the path and category shares ``least`` lines.
 
-    Ranges share so many lines where they hold one run of that length, so comments meet by runs, and only the first of each counts.
+    Two ranges share so many lines where they still meet once their ends are that much less one earlier. Ids are unique.
     """
-    runs = comments.where(F.col("end") - F.col("start") >= least - 1).select("id", "path", "category", F.explode(F.sequence(F.col("start"), F.col("end") - (least - 1))).alias("run"))
-    first = runs.groupBy("path", "category", "run").agg(F.min("id").alias("earliest"))
-    again = runs.join(first, ["path", "category", "run"]).where("earliest < id").select("id").distinct()
-    return comments.join(again, "id", "left_anti")
+    keys = ["path", "category"]
+    short = comments.select("id", *keys, "start", (F.col("end") - (least - 1)).alias("end"))
+    points = intervals.valid(short, keys)
+    first = intervals.least_holding(points, short, keys, "id", "start", F.col("id")).unionByName(intervals.least_held(short, points, keys, "id", "start", F.col("id")))
+    return comments.join(first.where("least < id").select("id").distinct(), "id", "left_anti")

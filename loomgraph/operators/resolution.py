@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+
 
 def _first(symbols: DataFrame, *keys: str) -> DataFrame:
     return symbols.groupBy(*keys).agg(F.min("id").alias("target"))
@@ -48,11 +50,10 @@ def inherit(heritage: DataFrame, symbols: DataFrame, imports: DataFrame) -> Data
 def callers(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Per reference (id, file, line): the first symbol by (line_start, id) of its file whose lines hold it.
 
-    Symbols are laid out by line and only the first of each line is kept, so the join is by equality.
+    Symbols without lines, or whose last line comes before the first, hold nothing.
     """
-    lines = symbols.select("file", F.explode(F.sequence("line_start", "line_end")).alias("line"), F.struct("line_start", "id").alias("s"))
-    first = lines.groupBy("file", "line").agg(F.min("s").alias("s"))
-    return refs.join(first, ["file", "line"]).select("id", F.col("s.id").alias("caller"))
+    ranges = symbols.select("file", F.col("line_start").alias("start"), F.col("line_end").alias("end"), "id")
+    return intervals.least_holding(refs, ranges, ["file"], "id", "line", F.struct("start", "id")).select("id", F.col("least.id").alias("caller"))
 
 
 def match_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:

@@ -5,39 +5,12 @@ Their inputs are derived from the star schema by statements that both engines ta
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reports, resolution, retrieval, security, traverse
-from . import derive as D
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, **inputs: str):
-    """Register a query over inputs, each a statement; in ``sql`` they are tables of their names."""
-
-    def add(f):
-        def run(spark: SparkSession, sf: str) -> DataFrame:
-            return f(**{name: _input(spark, sf, text) for name, text in inputs.items()})
-
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
-        if sql:
-            recursive = " recursive" if "recursive " in sql else ""
-            parts = [f"{name} as ({re.sub(r'{(\w+)}', r'\1', text)})" for name, text in inputs.items()]
-            ORACLES[f.__name__] = f"with{recursive} " + ", ".join(parts) + " " + sql.replace("recursive ", "")
-        return f
-
-    return add
-
+from .registry import registry
 
-def _input(spark: SparkSession, sf: str, text: str) -> DataFrame:
-    return spark.sql(text, **{t: D.table(spark, sf, t) for t in set(re.findall(r"{(\w+)}", text))})
+QUERIES, ORACLES, query = registry()
 
 
 SYMBOLS = """select cast(p_partkey as bigint) as id, p_brand as file, p_name as name, p_brand || '.' || p_name as qname, case p_size % 3 when 0 then 'Class' when 1 then 'Function' else 'Method' end as label,
