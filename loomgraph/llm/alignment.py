@@ -11,23 +11,25 @@ of the most frequent id pairs, at most ``head``, go to every task; the rest are
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import WHITE
+from .bpe import WHITE, word_pattern
 from .common import dropped, released, written
 from .phrases import ragged
 from .tokens import byte_letters
 
-MOST_STRETCHES = 400_000
+MOST_STRETCHES = 800_000
+LEARNT_AT_ONCE = 4096
 #: Characters of texts that are aligned at once; a longer text is aligned alone.
 GROUP_CHARS = 2_000_000
 #: Pairs whose counts are broadcast: 16 bytes each.
@@ -47,6 +49,15 @@ def piece_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_ranks(path: str) -> dict[bytes, int]:
+    """The entries of a byte-level BPE file, without special tokens, as bytes with their ids, which follow the order of merges."""
+    letters = {c: b for b, c in byte_letters().items()}
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    return {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+
+
 def rank(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How many bits are set up to and with each place, from popcounts of packed bytes (first bit highest)."""
     before = np.concatenate(([0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)))
@@ -59,6 +70,8 @@ class Vocabulary:
     def __init__(self, pieces: list[bytes]):
         self.pieces, self.size = pieces, len(pieces)
         self.length = np.array([len(p) for p in pieces], dtype=np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         names = [str(k).encode() for k in range(len(pieces))]
         self.digits = np.array([len(x) for x in names], dtype=np.int64)
         width = int(self.digits.max(initial=1))
@@ -119,16 +132,13 @@ class Aligned:
 
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.lib_a = Tokenizer.from_file(path_a)
-        self.lib_a.encode_special_tokens = True
+        ranks = byte_ranks(path_a)
+        self.lib_a = tiktoken.Encoding("a", pat_str=word_pattern(), mergeable_ranks=ranks, special_tokens={})
         self.lib_b = SentencePieceProcessor(model_file=path_b)
-        letters = {c: b for b, c in byte_letters().items()}
-        names = {i: t for t, i in self.lib_a.get_vocab(with_added_tokens=True).items()}
-        self.a = Vocabulary([bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in (names.get(i, "") for i in range(max(names) + 1))])
+        self.a = Vocabulary([p for p, _ in sorted(ranks.items(), key=lambda x: x[1])])
         b = self.lib_b
         self.b = Vocabulary([bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())])
         self.not_lone = re.compile(f" (?:[{WHITE}]|\\Z)|\\A(?:[{WHITE}]|\\Z)").search
@@ -157,17 +167,28 @@ class Aligner:
         return out
 
     def _learn(self, unknown: list[str]) -> None:
-        if not unknown:
-            return
-        a = [x.ids for x in self.lib_a.encode_batch([" " + x for x in unknown], add_special_tokens=False)]
-        b = self.lib_b.encode(unknown, num_threads=1)
-        for text, *both in zip(unknown, a, b):
-            raw = (" " + text).encode()
-            self.at[text] = len(self.good)
-            self.good.append(all(b"".join(map(v.pieces.__getitem__, ids)) == raw for v, ids in zip((self.a, self.b), both)))
-            for ids, kept, first in zip(both, self.ids, self.first):
+        """Ids of new stretches, and whether they give back the bytes of a space and the stretch."""
+        for i in range(0, len(unknown), LEARNT_AT_ONCE):
+            part = unknown[i : i + LEARNT_AT_ONCE]
+            raw = [(" " + x).encode() for x in part]
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+            text, good = np.frombuffer(b"".join(raw), np.uint8), np.ones(len(raw), dtype=bool)
+            a = [self.lib_a.encode_ordinary(" " + x) for x in part]
+            b = self.lib_b.encode(part, num_threads=1)
+            for v, both, kept, first in zip((self.a, self.b), (a, b), self.ids, self.first):
+                ids = array("i", chain.from_iterable(both))
+                counts = np.fromiter(map(len, both), np.int64, len(both))
+                flat = np.frombuffer(ids, np.int32)
+                made = np.add.reduceat(np.append(v.length[flat], 0), np.minimum(np.cumsum(counts) - counts, len(flat))) * (counts > 0)
+                good &= made == sizes
+                if good.all() and np.array_equal(v.bytes[ragged(v.start[flat], v.length[flat])], text):
+                    pass
+                else:
+                    good &= [b"".join(map(v.pieces.__getitem__, x)) == r for x, r in zip(both, raw)]
                 kept.extend(ids)
-                first.append(len(kept))
+                first.extend(array("q", (first[-1] + np.cumsum(counts)).tobytes()))
+            self.at.update(zip(part, range(len(self.good), len(self.good) + len(part))))
+            self.good.extend(good.tolist())
 
     def align(self, texts: list[str | None]) -> Aligned:
         if len(self.at) > MOST_STRETCHES:
