@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import version
+from ..storage import written
 
 
 def change_set(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -87,6 +88,60 @@ def near_names(a: DataFrame, b: DataFrame, most: int = 2) -> DataFrame:
     return pairs.withColumn("distance", F.levenshtein("left", "right", most)).where("distance > 0")
 
 
+#: Names up to this length meet by what is left of them when letters are deleted; longer ones by unchanged pieces.
+SHORT_NAME = 24
+
+
+def _deletions(name: Column, most: int) -> Column:
+    """All that is left of a string when up to ``most`` of its letters are deleted, itself included."""
+    def less(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+
+    all_, last = F.array(name), F.array(name)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, lambda x: F.when(F.length(x) > 0, less(x)).otherwise(F.array().cast("array<string>")))))
+        all_ = F.concat(all_, last)
+    return F.array_distinct(all_)
+
+
+def near_names_by_deletion(a: DataFrame, b: DataFrame, most: int = 2) -> DataFrame:
+    """(left, right, distance) of distinct names (name) of two tables at an edit distance of 1 to ``most``: the result of ``near_names``.
+
+    Two strings at that distance have a common rest when each loses up to ``most`` letters. A rest is a key of its own, so no length or
+    piece that many names share gathers them. Names longer than SHORT_NAME, whose rests would be too many, meet by pieces.
+    """
+    left, right = a.select("name").where("isnotnull(name)").distinct(), b.select("name").where("isnotnull(name)").distinct()
+    keyed = lambda df, c: df.where(F.length("name") <= SHORT_NAME).select(F.col("name").alias(c), F.explode(_deletions(F.col("name"), most)).alias("rest"))
+    short = keyed(left, "left").join(keyed(right, "right"), "rest").where("left <> right").select("left", "right").distinct()
+    short = short.withColumn("distance", F.levenshtein("left", "right", most)).where("distance > 0")
+    tail = lambda df: df.where(F.length("name") > SHORT_NAME - most)
+    long = near_names(tail(left), tail(right), most).where(F.greatest(F.length("left"), F.length("right")) > SHORT_NAME)
+    return short.unionByName(long)
+
+
+def match_symbols(symbols: DataFrame, most: int = 2) -> DataFrame:
+    """source_repo, source, target_repo, target, rule, confidence of exported symbols of two repos (the first by name): the first rule that holds.
+
+    symbols: repo, name, qname, route. exact_name (1.0): equal names; similar_name (0.7): lower-case names at an edit distance up
+    to ``most``; api_pattern (0.85): equal routes. Symbols without a name match by no rule but the route.
+    """
+    rows = symbols.select("repo", "name", "qname", "route").distinct()
+    end = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    lower = rows.withColumn("low", F.lower("name"))
+    names = written(lower.select(F.col("low").alias("name")).distinct(), "names")
+    pairs = near_names_by_deletion(names, names, most).select(F.col("left").alias("a_low"), F.col("right").alias("b_low"))
+    a, b = end(lower, "a"), end(lower, "b")
+    exact = a.join(b, F.col("a_name") == F.col("b_name")).withColumn("rule", F.lit("exact_name"))
+    # Names that differ in case only are similar too, at distance 0.
+    cased = a.join(b, F.col("a_low") == F.col("b_low")).where("a_name <> b_name").withColumn("rule", F.lit("similar_name"))
+    similar = pairs.join(a, "a_low").join(b, "b_low").withColumn("rule", F.lit("similar_name"))
+    far = F.col("a_low").isNull() | F.col("b_low").isNull() | (F.levenshtein("a_low", "b_low") > most)
+    routed = a.join(b, F.col("a_route") == F.col("b_route")).where("a_route <> ''").where(far).withColumn("rule", F.lit("api_pattern"))
+    every = exact.unionByName(cased).unionByName(similar).unionByName(routed).where("a_repo < b_repo")
+    confidence = F.when(F.col("rule") == "exact_name", 1.0).when(F.col("rule") == "similar_name", 0.7).otherwise(0.85)
+    return every.select(F.col("a_repo").alias("source_repo"), F.col("a_qname").alias("source"), F.col("b_repo").alias("target_repo"), F.col("b_qname").alias("target"), "rule", confidence.alias("confidence"))
+
+
 def cross_edges(edges: DataFrame, repo_of: DataFrame) -> DataFrame:
     """Edges between repos: src_repo, dst_repo, type, n. repo_of: id, repo."""
     a, b = repo_of.select(F.col("id").alias("src"), F.col("repo").alias("src_repo")), repo_of.select(F.col("id").alias("dst"), F.col("repo").alias("dst_repo"))
