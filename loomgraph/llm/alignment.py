@@ -28,10 +28,10 @@ from .common import dropped, released, written
 from .phrases import ragged
 from .tokens import byte_letters
 
-MOST_STRETCHES = 800_000
+MOST_STRETCHES = 500_000
 LEARNT_AT_ONCE = 4096
 #: Characters of texts that are aligned at once; a longer text is aligned alone.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 #: Pairs whose counts are broadcast: 16 bytes each.
 HEAD = 1 << 20
 FOLD_AT = 1 << 21
