@@ -28,7 +28,7 @@ def registry() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dic
             queries[f.__name__] = run
             if sql:
                 recursive = " recursive" if "recursive " in sql else ""
-                parts = [f"{name} as ({re.sub(r'{(\w+)}', r'\1', text)})" for name, text in inputs.items()]
+                parts = [f"{name} as ({re.sub(r'{(\w+)}', r'\1', text).replace(chr(96), chr(34))})" for name, text in inputs.items()]
                 oracles[f.__name__] = f"with{recursive} " + ", ".join(parts) + " " + sql.replace("recursive ", "")
             return f
 

@@ -5,9 +5,9 @@ import math
 import duckdb
 import pytest
 
-from loomgraph.plans import analysis, catalogue
+from loomgraph.plans import analysis, catalogue, programs
 
-QUERIES, ORACLES = catalogue.QUERIES | analysis.QUERIES, catalogue.ORACLES | analysis.ORACLES
+QUERIES, ORACLES = (catalogue.QUERIES | analysis.QUERIES | programs.QUERIES), (catalogue.ORACLES | analysis.ORACLES | programs.ORACLES)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
