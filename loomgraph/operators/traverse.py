@@ -16,7 +16,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     seen = seeds.select(F.col("id").cast("long").alias("id"), F.lit(0).alias("distance"), F.lit(None).cast("long").alias("parent")).distinct()
     seen = written(seen, "level")
     frontier = seen
-    hops = edges.select(F.col("src").alias("id"), "dst")
+    # Written once: the edges may be the result of a long plan, which each level would run again.
+    hops = written(edges.select(F.col("src").alias("id"), "dst").distinct(), "hops")
     for d in range(1, depth + 1):
         reached = frontier.select("id").join(hops, "id").groupBy(F.col("dst").alias("new")).agg(F.min("id").alias("parent"))
         fresh = reached.join(seen.select(F.col("id").alias("new")), "new", "left_anti").select(F.col("new").alias("id"), F.lit(d).alias("distance"), "parent")
@@ -94,7 +95,7 @@ def flow_scores(levels: DataFrame, edges: DataFrame, bonus: dict[str, int]) -> D
     return found.groupBy("id", "distance").agg(F.max("bonus").alias("bonus")).select("id", "distance", F.least(F.lit(100), F.greatest(F.lit(0), 100 - 15 * F.col("distance") + F.col("bonus"))).alias("score"))
 
 
-def topological_levels(edges: DataFrame, nodes: DataFrame, most: int = 100) -> DataFrame:
+def topological_levels(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
     """id, level of an acyclic graph, by peeling nodes that nothing left enters; nodes on cycles have no row."""
     left, e, out = nodes.select("id"), edges.select("src", "dst").distinct(), None
     for level in range(most):
@@ -104,4 +105,6 @@ def topological_levels(edges: DataFrame, nodes: DataFrame, most: int = 100) -> D
         out = free if out is None else out.unionByName(free)
         left = written(left.join(free, "id", "left_anti"), "left")
         e = written(e.join(free.select(F.col("id").alias("src")), "src", "left_anti"), "edges")
+    else:
+        raise RuntimeError(f"more than {most} levels")
     return out if out is not None else nodes.select("id", F.lit(0).alias("level")).limit(0)

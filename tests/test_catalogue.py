@@ -5,9 +5,11 @@ import math
 import duckdb
 import pytest
 
-from loomgraph.plans import analysis, catalogue, programs
+from loomgraph.plans import analysis, catalogue, programs, repos
 
-QUERIES, ORACLES = (catalogue.QUERIES | analysis.QUERIES | programs.QUERIES), (catalogue.ORACLES | analysis.ORACLES | programs.ORACLES)
+PLANS = [catalogue, analysis, programs, repos]
+QUERIES = {k: q for plan in PLANS for k, q in plan.QUERIES.items()}
+ORACLES = {k: q for plan in PLANS for k, q in plan.ORACLES.items()}
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
