@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, search_tokens
-from ..storage import shared_dir
+from ..storage import dropped, shared_dir, written
 
 
 def field_search(rows: DataFrame, terms: list[str], weights: dict[str, float], id_col: str = "id") -> DataFrame:
@@ -51,53 +51,95 @@ def bm25(docs: DataFrame, query: list[str], id_col: str = "doc_id", text_col: st
     return counted.crossJoin(F.broadcast(facts)).select("id", score.alias("score")).where("score > 0")
 
 
-BUCKETS = 32
+#: Postings of a bucket, about, from which the number of buckets follows.
+BUCKET_ROWS = 2_000_000
+MOST_BUCKETS = 1 << 16
+#: Two characters pick a bucket's group and all of a term its place in the group, so a prefix of two characters is one group.
+GROUPS = 32
 
 
-def _bucket(term: Column) -> Column:
-    """Terms with the same first two characters share a bucket, so that a prefix of two or more is in one."""
-    return (F.crc32(F.substring(term, 1, 2).cast("binary")) % BUCKETS).cast("int")
+def _group(term: Column) -> Column:
+    return (F.crc32(F.substring(term, 1, 2).cast("binary")) % GROUPS).cast("int")
+
+
+def _bucket(term: Column, parts: int) -> Column:
+    return (_group(term) * parts + F.pmod(F.xxhash64(term), F.lit(parts))).cast("int")
+
+
+def files_state(rows: DataFrame) -> str:
+    """The names, sizes and times of the files that a table read from a folder has now, as one string."""
+    spark, state = rows.sparkSession, []
+    for name in sorted(rows.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        state.append(f"{name} {found.getLen()} {found.getModificationTime()}")
+    return "\n".join(state)
 
 
 @dataclass(frozen=True)
 class Index:
-    """An inverted index in a folder: postings (bucket, term, id, tf, len) in a folder for each bucket, sorted by term, and the documents' lengths."""
+    """An inverted index in a folder: postings (bucket, term, id, tf, len) in a folder for each bucket, sorted by term, and the documents' lengths.
+
+    parts: buckets in each group of terms, as many as the postings called for when it was built.
+    """
 
     folder: str
+    parts: int = 1
 
-    def postings(self, spark, terms: list[str]) -> DataFrame:
-        """The postings in the buckets of the terms (or prefixes of at least two characters); other buckets are not read."""
+    def postings(self, spark, terms: list[str], prefixes: bool = False) -> DataFrame:
+        """The postings in the buckets of the terms, or in the groups of prefixes of at least two characters; others are not read."""
         rows = spark.read.parquet(f"{self.folder}/postings")
-        probe = spark.range(1).select(*[_bucket(F.lit(t)).alias(f"b{k}") for k, t in enumerate(terms)]).first()
-        return rows.where(F.col("bucket").isin(sorted(set(probe))))
+        probe = spark.range(1).select(*[(_group(F.lit(t)) if prefixes else _bucket(F.lit(t), self.parts)).alias(f"b{k}") for k, t in enumerate(terms)]).first()
+        wanted = {b for g in set(probe) for b in range(g * self.parts, (g + 1) * self.parts)} if prefixes else set(probe)
+        return rows.where(F.col("bucket").isin(sorted(wanted)))
 
     def facts(self, spark) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Write the index of all rows. Buckets are spread over tasks by id too, so that a frequent term is no one task's work."""
+def _write_postings(rows: DataFrame, folder: str) -> None:
+    """Buckets are spread over tasks by id too, so that a frequent term is no one task's work."""
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id").write.mode("append").partitionBy("bucket").parquet(f"{folder}/postings")
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> Index:
+    """Write the index of all rows. parts: buckets in each group; by the total length of the documents if not given."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}/index"
     words = docs.select(F.col(id_col).alias("id"), search_tokens(F.col(text_col)).alias("t"))
     words.select("id", F.size("t").alias("len")).write.parquet(f"{folder}/lengths")
-    rows = postings(docs, id_col, text_col).withColumn("bucket", _bucket(F.col("term")))
-    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    return Index(folder)
+    total = spark.read.parquet(f"{folder}/lengths").agg(F.sum("len")).first()[0] or 0
+    parts = parts or max(1, min(MOST_BUCKETS // GROUPS, -(-total // (GROUPS * BUCKET_ROWS))))
+    _write_postings(postings(docs, id_col, text_col).withColumn("bucket", _bucket(F.col("term"), parts)), folder)
+    return Index(folder, parts)
 
 
 def refresh_index(index: Index, changed: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """A new index without the documents ``removed`` (id) and with those of ``changed`` in place of what they were."""
+    """The index without the documents ``removed`` (id) and with those of ``changed`` in place of what they were, as a new index.
+
+    Only the buckets with a term of such a document, before or after, are read and written anew; the files of the others are copied as they are.
+    """
     spark = changed.sparkSession
-    gone = removed.select("id").unionByName(changed.select(F.col(id_col).alias("id"))).distinct()
-    added = build_index(changed, id_col, text_col)
+    gone = written(removed.select("id").unionByName(changed.select(F.col(id_col).alias("id"))).distinct(), "gone")
     folder = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}/index"
-    for name in ("lengths", "postings"):
-        old, new = (spark.read.parquet(f"{x.folder}/{name}") for x in (index, added))
-        rows = old.join(gone, "id", "left_anti").unionByName(new)
-        rows = rows.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket") if name == "postings" else rows.write
-        rows.parquet(f"{folder}/{name}")
-    return Index(folder)
+    words = changed.select(F.col(id_col).alias("id"), F.size(search_tokens(F.col(text_col))).alias("len"))
+    spark.read.parquet(f"{index.folder}/lengths").join(gone, "id", "left_anti").unionByName(words).write.parquet(f"{folder}/lengths")
+    fresh = written(postings(changed, id_col, text_col).withColumn("bucket", _bucket(F.col("term"), index.parts)), "fresh")
+    old = spark.read.parquet(f"{index.folder}/postings")
+    touched = {r["bucket"] for r in old.join(gone, "id", "left_semi").select("bucket").union(fresh.select("bucket")).distinct().collect()}  # bucket numbers
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    source, target = fs_path(f"{index.folder}/postings"), fs_path(f"{folder}/postings")
+    fs = source.getFileSystem(conf)
+    fs.mkdirs(target)
+    for part in fs.listStatus(source):
+        name = part.getPath().getName()
+        if name.startswith("bucket=") and int(name.removeprefix("bucket=")) not in touched:
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, part.getPath(), fs, fs_path(f"{folder}/postings/{name}"), False, conf)
+    rows = old.where(F.col("bucket").isin(sorted(touched))).join(gone, "id", "left_anti").unionByName(fresh)
+    _write_postings(rows, folder)
+    dropped(gone, fresh)
+    return Index(folder, index.parts)
 
 
 def index_search(spark, index: Index, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -113,7 +155,7 @@ def index_search(spark, index: Index, query: list[str], k1: float = 1.2, b: floa
 
 def prefix_search(spark, index: Index, prefixes: list[str]) -> DataFrame:
     """(id, hits) of documents with a term for each of the prefixes (two characters or more); hits counts such terms' occurrences."""
-    rows = index.postings(spark, prefixes)
+    rows = index.postings(spark, prefixes, prefixes=True)
     which = F.array_compact(F.array(*[F.when(F.col("term").startswith(p), F.lit(k)) for k, p in enumerate(prefixes)]))
     found = rows.select("id", "tf", F.explode(which).alias("k")).groupBy("id").agg(F.sum("tf").alias("hits"), F.count_distinct("k").alias("k"))
     return found.where(F.col("k") == len(prefixes)).select("id", "hits")

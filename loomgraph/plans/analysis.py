@@ -100,25 +100,25 @@ def taint_labels(code):
     return security.label(code, TAINT_RULES)
 
 
-FLOWS = "select distinct o_custkey % 60 as src, o_orderkey % 60 as dst, cast(case o_orderstatus when 'F' then 1 when 'P' then 2 else 0 end as int) as mask from {orders} where o_orderpriority = '1-URGENT'"
+FLOWS = "select distinct o_custkey % 1000 as src, o_orderkey % 1000 as dst, cast(case o_orderstatus when 'F' then 1 when 'P' then 2 else 0 end as int) as mask from {orders}"
 
 
 @query(
     """, recursive st as (select place as origin, place, 0 as mask from seeds union select origin, dst, st.mask | flows.mask from st join flows on src = place)
     select distinct origin, st.place, kind from st join sinks on sinks.place = st.place where st.mask & kind = 0""",
-    flows=FLOWS, seeds="select distinct o_custkey % 60 as place from {orders} where o_custkey % 60 < 3", sinks="select distinct o_orderkey % 60 as place, cast(1 + o_orderkey % 2 as int) as kind from {orders} where o_orderkey % 60 > 40",
+    flows=FLOWS, seeds="select distinct o_custkey % 1000 as place from {orders} where o_custkey % 1000 < 3", sinks="select distinct o_orderkey % 1000 as place, cast(1 + o_orderkey % 2 as int) as kind from {orders} where o_orderkey % 1000 > 600",
 )
 def taint_propagation(flows, seeds, sinks):
     return security.findings(security.propagate(seeds.select(F.col("place").alias("origin"), "place"), flows), sinks)
 
 
-CALL_FLOWS = "select distinct (p_partkey % 40) * 8 + l_linenumber % 4 as src, (l_suppkey % 40) * 8 + (l_linenumber + 1) % 4 as dst, cast(case l_returnflag when 'A' then 1 when 'R' then 4 else 0 end as int) as mask from {lineitem} join {part} on p_partkey = l_partkey where l_quantity < 3"
+CALL_FLOWS = "select distinct p_partkey * 8 + l_linenumber % 4 as src, l_suppkey * 8 + (l_linenumber + 1) % 4 as dst, cast(case l_returnflag when 'A' then 1 when 'R' then 4 else 0 end as int) as mask from {lineitem} join {part} on p_partkey = l_partkey"
 
 
 @query(
     """, recursive st as (select place as origin, place, 0 as mask from seeds union select origin, dst, st.mask | flows.mask from st join flows on src = place)
     select origin, place, cast(min(bit_count(mask)) as int) as neutralised from st group by all""",
-    flows=CALL_FLOWS, seeds="select distinct (s_suppkey % 40) * 8 as place from {supplier} where s_suppkey % 40 < 2",
+    flows=CALL_FLOWS, seeds="select distinct s_suppkey * 8 as place from {supplier} where s_suppkey % 40 < 2",
 )
 def interprocedural_taint(flows, seeds):
     states = security.propagate(seeds.select(F.col("place").alias("origin"), "place"), flows)
@@ -235,8 +235,8 @@ def shared_contracts(symbols):
     return reports.shared_contracts(symbols)
 
 
-OLD = "select file as name, label as property, max(type) as type from (" + SYMBOLS + ") s where repo < 2 and complexity > 25 group by file, label"
-NEW = "select file as name, label as property, max(type) as type from (" + SYMBOLS + ") s where repo >= 2 and complexity < 20 group by file, label"
+OLD = "select file as name, label || cast(complexity % 12 as string) as property, max(type) as type from (" + SYMBOLS + ") s where repo < 2 group by file, label || cast(complexity % 12 as string)"
+NEW = "select file as name, label || cast(complexity % 12 as string) as property, max(type) as type from (" + SYMBOLS + ") s where repo >= 2 group by file, label || cast(complexity % 12 as string)"
 CHANGES = """changes as (select coalesce(a.name, b.name) as name, coalesce(a.property, b.property) as property, case when b.type is null then 'removed' when a.type is null then 'added' else 'changed' end as change,
     case when b.type is null then 'breaking' else 'warning' end as level from before a full join after b on a.name = b.name and a.property = b.property where a.type is distinct from b.type)"""
 
@@ -276,7 +276,7 @@ def diff_prefilter(files):
 @query(
     """, recursive r as (select id as process, id, 0 as d from starts union select process, dst, d + 1 from r join edges on src = id where d < 3)
     select process, count(distinct id) as steps from r group by process""",
-    starts="select cast(n_nationkey as bigint) as id from {nation}", edges="select distinct cast(l_suppkey % 200 as bigint) as src, cast(l_partkey % 200 as bigint) as dst from {lineitem} where l_quantity < 2",
+    starts="select cast(n_nationkey as bigint) as id from {nation}", edges="select distinct l_suppkey as src, l_partkey as dst from {lineitem}",
 )
 def process_extraction(starts, edges):
     """From every start, what is reached in three steps: sets of (start, place) grow by joins, all starts at once."""

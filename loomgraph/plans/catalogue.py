@@ -16,6 +16,7 @@ from ..operators import changes, community, dataflow, quality, retrieval, rules,
 from ..operators.components import components
 from ..operators.pattern import Pattern
 from ..sources import files
+from ..storage import delete
 from ..streaming import windows
 from . import derive as D
 
@@ -271,24 +272,24 @@ def _seed(spark, *ids):
     return spark.createDataFrame([(i,) for i in ids], "id long")
 
 
-@query(_with(D.COPART2_SQL, BFS_SQL.format(seed=1, edges="copart2", depth=6), recursive=True) + "select id, cast(min(d) as integer) as distance from b group by id")
+@query(_with(D.COPART_SQL, BFS_SQL.format(seed=1, edges="copart", depth=6), recursive=True) + "select id, cast(min(d) as integer) as distance from b group by id")
 def bfs_distance(spark, sf):
-    return traverse.bfs(D.copart2(spark, sf).hops(), _seed(spark, 1), 6).select("id", "distance")
+    return traverse.bfs(D.copart(spark, sf).hops(), _seed(spark, 1), 6).select("id", "distance")
 
 
-@query(_with(D.COPART2_SQL, BFS_SQL.format(seed=1, edges="(select dst as src, src as dst from copart2)", depth=3), recursive=True) + "select id, cast(min(d) as integer) as distance, 'CALLS' as relation from b where id <> 1 group by id having min(d) > 0")
+@query(_with(D.COPART_SQL, BFS_SQL.format(seed=1, edges="(select dst as src, src as dst from copart)", depth=3), recursive=True) + "select id, cast(min(d) as integer) as distance, 'CALLS' as relation from b where id <> 1 group by id having min(d) > 0")
 def reverse_impact(spark, sf):
-    return traverse.reverse_impact(D.copart2(spark, sf).hops(), _seed(spark, 1), 3, ["CALLS", "IMPLEMENTS", "EXTENDS", "MEMBER_OF"])
+    return traverse.reverse_impact(D.copart(spark, sf).hops(), _seed(spark, 1), 3, ["CALLS", "IMPLEMENTS", "EXTENDS", "MEMBER_OF"])
 
 
-@query(_with(D.COPART2_SQL, BFS_SQL.format(seed=1, edges="(select src, dst from copart2 union select dst, src from copart2)", depth=10), recursive=True) + "select cast(min(d) as integer) as hops, cast(min(d) + 1 as integer) as nodes from b where id = 7 having min(d) is not null")
+@query(_with(D.COPART_SQL, BFS_SQL.format(seed=1, edges="(select src, dst from copart union select dst, src from copart)", depth=10), recursive=True) + "select cast(min(d) as integer) as hops, cast(min(d) + 1 as integer) as nodes from b where id = 7 having min(d) is not null")
 def shortest_path(spark, sf):
-    return traverse.shortest_path(D.copart2(spark, sf).hops(None, "both"), 1, 7, 10).select("hops", F.size("path").alias("nodes"))
+    return traverse.shortest_path(D.copart(spark, sf).hops(None, "both"), 1, 7, 10).select("hops", F.size("path").alias("nodes"))
 
 
-@query(_with(D.COPART2_SQL, BFS_SQL.format(seed=2, edges="copart2", depth=5), recursive=True) + "select id, cast(min(d) as integer) as distance, cast(least(100, greatest(0, 100 - 15 * min(d) + 10)) as integer) as score from b where id <> 2 group by id")
+@query(_with(D.COPART_SQL, BFS_SQL.format(seed=2, edges="copart", depth=5), recursive=True) + "select id, cast(min(d) as integer) as distance, cast(least(100, greatest(0, 100 - 15 * min(d) + 10)) as integer) as score from b where id <> 2 group by id")
 def flow_search_score(spark, sf):
-    e = D.copart2(spark, sf).hops()
+    e = D.copart(spark, sf).hops()
     return traverse.flow_scores(traverse.bfs(e, _seed(spark, 2), 5), e, {"CALLS": 10, "DATA_FLOWS": 5, "IMPORTS": -5})
 
 
@@ -338,12 +339,12 @@ def modularity(spark, sf):
 
 @query()
 def louvain(spark, sf):
-    return community.louvain(D.copart2(spark, sf).edges)
+    return community.louvain(D.copart(spark, sf).edges)
 
 
 @query()
 def leiden(spark, sf):
-    return community.leiden(D.copart2(spark, sf).edges)
+    return community.leiden(D.copart(spark, sf).edges)
 
 
 # Retrieval
@@ -366,15 +367,18 @@ bm as (select doc_id as id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 /
 """
 #: The same with the k1 of the normalised score.
 BM25_SQL_15 = BM25_SQL.replace("f * 2.2 / (f + 1.2 *", "f * 2.5 / (f + 1.5 *")
-#: The index of each folder's documents, written once in a session.
-_indexes: dict[tuple[str, str], retrieval.Index] = {}
+#: The index of documents by their files, with sizes and times: written once in a session for each state of a folder; an older state's goes.
+_indexes: dict[tuple[str, str], tuple[str, retrieval.Index]] = {}
 
 
 def _index(spark, sf) -> retrieval.Index:
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _indexes:
-        _indexes[key] = retrieval.build_index(D.table(spark, sf, "documents"))
-    return _indexes[key]
+    docs = D.table(spark, sf, "documents")
+    key, state = (spark.sparkContext.applicationId, sf), retrieval.files_state(docs)
+    if key not in _indexes or _indexes[key][0] != state:
+        if key in _indexes:
+            delete(spark, [_indexes[key][1].folder])
+        _indexes[key] = (state, retrieval.build_index(docs))
+    return _indexes[key][1]
 
 
 def _bm25(spark, sf, k1: float = 1.2):

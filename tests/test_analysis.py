@@ -7,6 +7,8 @@ def test_index_is_the_scan_and_is_refreshed(spark):
     docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha gamma"), (3, "delta alphabet"), (4, "")], "doc_id long, text string")
     index = retrieval.build_index(docs)
     query = ["alpha", "beta", "beta"]
+    many = retrieval.build_index(docs, parts=5)
+    assert {r["id"]: r["hits"] for r in retrieval.prefix_search(spark, many, ["al", "be"]).collect()} == {1: 3}
     score = lambda df: {r["id"]: round(r["score"], 9) for r in df.collect()}
     assert score(retrieval.index_search(spark, index, query)) == score(retrieval.bm25(docs, query)) != {}
     assert {r["id"]: r["hits"] for r in retrieval.prefix_search(spark, index, ["al", "be"]).collect()} == {1: 3}
@@ -14,6 +16,9 @@ def test_index_is_the_scan_and_is_refreshed(spark):
     after = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta"), (4, ""), (5, "alpha")], "doc_id long, text string")
     new = retrieval.refresh_index(index, changed, spark.createDataFrame([(3,)], "id long"))
     assert score(retrieval.index_search(spark, new, query)) == score(retrieval.bm25(after, query))
+    new = retrieval.refresh_index(many, changed, spark.createDataFrame([(3,)], "id long"))
+    assert score(retrieval.index_search(spark, new, query)) == score(retrieval.bm25(after, query))
+    assert new.parts == 5 and not {r["id"] for r in spark.read.parquet(f"{new.folder}/postings").collect()} & {3}
 
 
 def test_propagation_keeps_what_is_least_neutralised(spark):

@@ -151,3 +151,9 @@ def test_propagation_from_seeds_with_masks(spark):
     seeds = spark.createDataFrame([(0, 0, 3), (0, 0, 1), (0, 0, 2)], "origin long, place long, mask int")
     flows = spark.createDataFrame([(0, 1, 0), (1, 0, 4)], "src long, dst long, mask int")
     assert rows(security.propagate(seeds, flows), "place", "mask") == {(0, 1), (0, 2), (1, 1), (1, 2)}
+
+
+def test_propagation_along_a_long_chain(spark):
+    flows = spark.createDataFrame([(i, i + 1, 1 << (i % 3)) for i in range(16)], "src long, dst long, mask int")
+    got = rows(security.propagate(spark.createDataFrame([(0, 0)], "origin long, place long"), flows), "place", "mask")
+    assert got == {(i, (1 << min(i, 3)) - 1) for i in range(17)}
