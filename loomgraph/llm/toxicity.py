@@ -7,8 +7,9 @@ A document's terms are the 64-bit hashes of its lower-cased words and of the wor
 
 so two terms together (an insult and whom it is aimed at) may count for more than both alone.
 The model has the terms that are bound to the positive label by themselves, and the terms of pairs
-that are more often positive than both terms alone would make them; a term of the latter may be
-neutral by itself. Terms are chosen, and the model is fitted, on a bounded sample of labelled rows.
+that are more often positive than both terms alone would make them; one of the latter may be
+neutral by itself, and any term of several rows is looked at. Terms are chosen, and the model is fitted, on a
+bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from .words import U, Words, chunks, mix, signed
 PREFIXES = (4, 5, 6)
 #: The sample: at most so many rows of each label, those of the lowest hash of doc_id.
 ROWS_PER_LABEL = 3000
-#: The most terms that are bound to the positive label by themselves, that pairs are looked for among (the most frequent), and that pairs add.
-MOST_TERMS, MOST_COMMON, MOST_PAIRED = 1024, 1024, 256
-#: Standard deviations by which a pair's positive rows exceed what its terms alone explain, and the fewest rows of a pair.
+#: The size of the model: the most terms that are bound to the positive label by themselves, and that pairs add.
+MOST_TERMS, MOST_PAIRED = 4096, 1024
+#: Standard deviations by which a pair's positive rows exceed what its terms alone explain (more where more pairs are looked at), and the fewest rows of a pair.
 PAIR_Z, PAIR_ROWS = 5.0, 8
+#: Counts of pairs that are held at once: of as many terms with all others.
+PAIRS_AT_ONCE = 10_000_000
 FACTORS = 4
 ROUNDS = 200
 L2_WEIGHT, L2_FACTOR = 1e-4, 3e-3
@@ -102,24 +105,41 @@ def _log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.nd
     return np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
 
 
-def paired(x: np.ndarray, y: np.ndarray, most: int = MOST_PAIRED) -> np.ndarray:
-    """Columns of ``x`` (rows by terms, 0 or 1) in a pair that is positive more often than the terms' own log odds add up to."""
+def paired(rows: list[np.ndarray], n_terms: int, y: np.ndarray, most: int = MOST_PAIRED) -> np.ndarray:
+    """Terms (rows: the terms of each row) in a pair that is positive more often than the terms' own log odds add up to.
+
+    One of the two must be positive more often than a row in general; the other may be any term. All such pairs are looked at: the
+    first terms in blocks, each counted with all terms over the rows that hold one of the block.
+    """
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
-    both, both_pos = np.zeros((2, x.shape[1], x.shape[1]), dtype=np.float32)
-    for i in range(0, len(x), 1000):
-        some = x[i : i + 1000].astype(np.float32)
-        both += some.T @ some
-        some = some[y[i : i + 1000] == 1]
-        both_pos += some.T @ some
-    pos = np.diagonal(both_pos)
-    odds = _log_odds(pos, np.diagonal(both) - pos, n_pos, n_neg).astype(np.float32)
-    best = np.zeros(x.shape[1])
-    for k in range(x.shape[1]):
-        alone = 1 / (1 + np.exp(-np.clip(odds + odds[k] + np.log(n_pos / n_neg), -30, 30)))
-        z = (both_pos[k] - both[k] * alone) / np.sqrt(both[k] * alone * (1 - alone) + 1e-9)
-        z[(both[k] < PAIR_ROWS) | (np.arange(len(z)) == k)] = 0
-        best[k] = z.max(initial=0)
-    found = np.flatnonzero(best > PAIR_Z)
+    flat = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    count, pos = np.bincount(flat, minlength=n_terms), np.bincount(flat, weights=y[owner], minlength=n_terms)
+    odds = _log_odds(pos, count - pos, n_pos, n_neg)
+    first = np.flatnonzero((odds > 0) & (count >= PAIR_ROWS))
+    best, at_once = np.zeros(n_terms), max(16, PAIRS_AT_ONCE // max(1, n_terms))
+    for i in range(0, len(first), at_once):
+        block = first[i : i + at_once]
+        place = np.full(n_terms, -1)
+        place[block] = np.arange(len(block))
+        both, both_pos = np.zeros((2, len(block), n_terms), dtype=np.float32)
+        for r, label in zip(rows, y):
+            held = place[r]
+            held = held[held >= 0]
+            if len(held):
+                at = np.ix_(held, r)
+                both[at] += 1
+                if label:
+                    both_pos[at] += 1
+        z_least = max(PAIR_Z, np.sqrt(2 * np.log(max(2.0, len(first) * n_terms))))
+        for k, own in enumerate(block):
+            alone = 1 / (1 + np.exp(-np.clip(odds + odds[own] + np.log(n_pos / n_neg), -30, 30)))
+            z = (both_pos[k] - both[k] * alone) / np.sqrt(both[k] * alone * (1 - alone) + 1e-9)
+            z[(both[k] < PAIR_ROWS) | (np.arange(n_terms) == own)] = 0
+            z[z <= z_least] = 0
+            np.maximum(best, z, out=best)
+            best[own] = max(best[own], z.max(initial=0))
+    found = np.flatnonzero(best > 0)
     return np.sort(found[np.argsort(-best[found], kind="stable")[:most]])
 
 
@@ -185,24 +205,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     low = counts.withColumn("low", F.expr(f"{odds} - sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))"))
     few = 0.004 * n_pos
     strong = low.where(f"pos >= greatest(4, {few}) and low > 1.5").orderBy(F.desc(F.expr("low * sqrt(pos)")), "term").limit(MOST_TERMS).select("term")
-    common = counts.where(f"pos + neg >= greatest({PAIR_ROWS}, {few}) and pos + neg < {0.9 * (n_pos + n_neg)}").orderBy(F.desc(F.expr("pos + neg")), "term").limit(MOST_COMMON).select("term")
+    common = counts.where(f"pos + neg >= greatest({PAIR_ROWS}, {few})").select("term")  # of at most 2 * per_label rows
     own = {r["term"] for r in strong.collect()}
     terms = np.sort(np.array(sorted(own | {r["term"] for r in common.collect()}), dtype=np.int64).view(U))
     if not len(terms):
         dropped(found)
         return fit(np.zeros((n_pos + n_neg, 0)), np.repeat([0, 1], [n_neg, n_pos]), terms)
-    rows = found.mapInArrow(_slots(terms), "label int, slots array<int>").toArrow()  # at most 2 * per_label rows of MOST_TERMS + MOST_COMMON places
+    rows = found.mapInArrow(_slots(terms), "label int, slots array<int>").toArrow()  # at most 2 * per_label rows, of the terms that several of them have
     dropped(found)
     slots = rows["slots"].combine_chunks()
     at, flat = slots.offsets.to_numpy(), slots.values.to_numpy(zero_copy_only=False)
     both = sorted((int(k), flat[at[i] : at[i + 1]].tobytes()) for i, k in enumerate(rows["label"].to_pylist()))
-    x = np.zeros((len(both), len(terms)), dtype=np.uint8)
-    for i, (_, places) in enumerate(both):
-        x[i, np.frombuffer(places, dtype=np.int32)] = 1
-    y = np.array([k for k, _ in both])
+    rows_of, y = [np.frombuffer(places, dtype=np.int32) for _, places in both], np.array([k for k, _ in both])
     chosen = np.isin(terms.view(np.int64), np.array(sorted(own), dtype=np.int64))
-    chosen[paired(x, y)] = True
-    return fit(x[:, chosen], y, terms[chosen])
+    chosen[paired(rows_of, len(terms), y)] = True
+    place = np.cumsum(chosen) - 1
+    x = np.zeros((len(both), int(chosen.sum())), dtype=np.uint8)
+    for i, places in enumerate(rows_of):
+        x[i, place[places[chosen[places]]]] = 1
+    return fit(x, y, terms[chosen])
 
 
 def _score(shared):

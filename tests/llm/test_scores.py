@@ -51,9 +51,11 @@ def pair_rows(seed=0, n=4000):
 
 def test_pairs_of_neutral_terms_are_chosen():
     x, y = pair_rows()
-    assert {1, 2} <= set(toxicity.paired(x, y).tolist()) <= {0, 1, 2}
+    terms = lambda x: [np.flatnonzero(r) for r in x]
+    assert {1, 2} <= set(toxicity.paired(terms(x), x.shape[1], y).tolist()) <= {0, 1, 2}
     rng = np.random.default_rng(1)
-    assert not len(toxicity.paired(x[:, 3:], rng.integers(0, 2, len(x))))
+    assert not len(toxicity.paired(terms(x[:, 3:]), 58, rng.integers(0, 2, len(x))))
+    assert not len(toxicity.paired([], 0, np.zeros(0, int)))
 
 
 def test_factors_learn_pairs():
@@ -65,13 +67,14 @@ def test_factors_learn_pairs():
     assert one < 0 < both and model.bias + model.weights[0] > 0
 
 
-def test_neutral_second_term_counts(spark):
-    """Insult and group mention are positive together only; a third of the clean rows mention the group."""
+@pytest.mark.parametrize("fillers, n", [(60, 6000), (1200, 6000)])
+def test_neutral_second_term_counts(spark, fillers, n):
+    """Insult and group mention are positive together only; a third of the clean rows mention the group. Any number of other words is as frequent."""
     rng = np.random.default_rng(5)
     rows = []
-    for k in range(6000):
+    for k in range(n):
         severe, insult, group = (rng.random(3) < (0.10, 0.20, 0.30)).tolist()
-        words = ["severe"] * severe + ["insult"] * insult + ["group"] * group + [f"w{j:03d}" for j in rng.integers(0, 60, 12)]
+        words = ["severe"] * severe + ["insult"] * insult + ["group"] * group + [f"w{j:04d}" for j in rng.integers(0, fillers, fillers // 5)]
         rows.append((k, " ".join(words), int(severe or (insult and group))))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     scored = toxicity.toxicity(df, df.select("doc_id", "toxic"))
