@@ -8,7 +8,9 @@ So an edit reaches only the blocks of the features that it removes and adds, and
 principle the others stay equal: two lines are candidates when a block is equal. The number of blocks
 follows the line's length, a few features to a block; lines of lengths near a change of that
 number have the blocks of both numbers, short lines have several ways of dealing features to blocks,
-and of a long line's blocks the first BLOCKS are enough to meet by.
+and of a long line's blocks the first BLOCKS are enough to meet by. Lines of up to TINY characters, whose features
+are too few for that, also meet by what is left of them when one or two characters are deleted: two such
+lines that are similar enough always have such a rest in common.
 
 Candidates link when 1 - edit distance / longer length >= SIMILARITY. Of each connected group of
 lines the first occurrence, by doc_id and place, stays.
@@ -26,6 +28,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +51,10 @@ FEW_WORDS, SOME_WORDS = 7, 11
 RUN = 4
 #: Lines of one kind whose SimHashes in one block of 64 bits differ in more are no candidates.
 DISTANCE = 20
+#: Lines of up to so many characters meet by their rests too; the most edits between two of them follow from SIMILARITY.
+TINY = 14
+#: Classes of byte pairs whose counts bound an edit distance from below.
+PAIR_CLASSES = 1 << 12
 BLOOM_BITS = 26
 LETTERS = 32
 ROUNDS = 1
@@ -150,7 +157,46 @@ def _runs(w: Words, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(value), np.concatenate(([0], np.cumsum(runs)))
 
 
+def rests(line: str, similarity: float = SIMILARITY) -> list[int]:
+    """Hashes of what is left of a short line when as many characters are deleted as it may differ in from one of TINY characters at most.
+
+    A line that is compared to a longer one may differ by what the longer one's length allows.
+    """
+    n = len(line)
+    most = max((k for m in range(n, TINY + 1) for k in [int((1 - similarity) * m + 1e-9)] if m - n <= k), default=0)
+    found = last = {line}
+    for _ in range(most):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        found = found | last
+    return [xxhash.xxh64_intdigest(x.encode(), seed=TINY) for x in found]
+
+
+def _tiny_values(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The rests of the lines of up to TINY characters: (values, lines)."""
+    used = np.concatenate(([0], np.cumsum(w.end - w.start)))
+    size = used[w.first[1:]] - used[w.first[:-1]] + np.maximum(w.counts - 1, 0)
+    values, lines = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    known: dict[bytes, np.ndarray] = {}
+    for k in np.flatnonzero((w.counts > 0) & (size <= 4 * TINY)):
+        raw = b" ".join(w.text(j) for j in range(w.first[k], w.first[k + 1]))
+        found = known.get(raw)
+        if found is None:
+            text = raw.decode()
+            found = known[raw] = np.array(rests(text) if len(text) <= TINY else [], dtype=U)
+        if len(found):
+            values.append(found)
+            lines.append(np.full(len(found), k))
+    return np.concatenate(values), np.concatenate(lines)
+
+
 def block_values(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """What the documents of ``w`` (lines) meet by: their SimHash blocks, and the rests of the shortest: (values, lines)."""
+    values, lines = _simhash_blocks(w)
+    tiny, whose = _tiny_values(w)
+    return np.concatenate([values, tiny]), np.concatenate([lines, whose])
+
+
+def _simhash_blocks(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """The SimHash blocks of the documents of ``w`` (lines): (values, lines)."""
     h, first = _features(w)
     n = np.diff(first)
@@ -369,9 +415,23 @@ def distance_within(a: Sequence, b: Sequence, most: int) -> bool:
     return score <= most
 
 
+def _pairs(x: str) -> np.ndarray:
+    """How often each class of two neighbouring characters occurs."""
+    c = np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32)
+    return np.bincount((c[:-1] * np.uint32(61) + c[1:]) & np.uint32(PAIR_CLASSES - 1), minlength=PAIR_CLASSES)
+
+
+def too_far(x: str, y: str, most: int) -> bool:
+    """Whether the counts of neighbouring characters alone say that more than ``most`` edits are needed: an edit changes two of them at most."""
+    longer = max(len(x), len(y)) - 1
+    return longer > 2 * most and int(np.minimum(_pairs(x), _pairs(y)).sum()) < longer - 2 * most
+
+
 def similar(x: str, y: str, similarity: float) -> bool:
     """Whether 1 - edit distance / longer length is at least ``similarity``."""
     most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+    if too_far(x, y, most):
+        return False
     a, b = x.split(" "), y.split(" ")
     # Each word that changes, comes or goes takes no more edits than the longest word and its space have characters.
     longest = 1 + max(max(map(len, a)), max(map(len, b)))
@@ -461,7 +521,7 @@ def line_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     left = placed.select("key", "line_id", "component").join(marks, "line_id")
     left = written(left.join(left.groupBy("line_id").agg(F.collect_list("key").alias("keys")), "line_id"), "open")
     other = left.select("key", F.col("line_id").alias("to"), *[F.col(c).alias(f"other_{c}") for c in ("component", "size", "bag", "short", "simhash", "keys")])
-    near = f"(short <> other_short or bit_count(simhash ^ other_simhash) <= {DISTANCE})"
+    near = f"(least(size, other_size) <= {TINY} or short <> other_short or bit_count(simhash ^ other_simhash) <= {DISTANCE})"
     missing = "aggregate(zip_with(bag, other_bag, (x, y) -> greatest(x - y, 0)), 0, (s, x) -> s + x)"
     fits = f"abs(size - other_size) <= {most} and {near} and {missing} + greatest(other_size - size, 0) <= {most}"
     crossed = left.join(other, "key").where(f"component < other_component and {fits} and key = array_min(array_intersect(keys, other_keys))").select(F.least("line_id", "to").alias("a"), F.greatest("line_id", "to").alias("b"))

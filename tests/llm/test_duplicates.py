@@ -365,3 +365,45 @@ def test_embedding_dedup_dense_groups(spark):
 
 def test_embedding_dedup_empty(spark):
     assert embedding_dedup.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int, dim string, a long")).count() == 0
+
+
+def test_short_lines_all_join(spark):
+    """Lines of up to 14 characters, each with its edits, against all pairs; digits make many near neighbours."""
+    rnd = random.Random(21)
+    lines = {"p. 1", "a", "ab", "abc", "abcd", "Éte", "Étés 12"}
+    for _ in range(120):
+        base = "".join(rnd.choice("abc 12é") for _ in range(rnd.randint(3, 14)))
+        for _ in range(2):
+            at = rnd.randrange(len(base))
+            lines |= {base, base[:at] + rnd.choice("abcx") + base[at + 1 :], base[:at] + base[at + 1 :], base[:at] + "z" + base[at:]}
+    lines = sorted({" ".join(x.split()).lower() for x in lines if x.split() and len(" ".join(x.split())) <= 14})
+    rows = [(i, x) for i, x in enumerate(lines)]
+    seen, groups = line_dedup.line_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    of = {r["id"]: r["component"] for r in groups.collect()}
+    got = {r["doc_id"]: of.get(r["line_id"], r["line_id"]) for r in seen.collect()}
+
+    def distance(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
+        return d[-1]
+
+    want = union([i for i, _ in rows], [(i, j) for i, a in rows for j, b in rows if i < j and distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)])
+    assert len(set(want.values())) < len(rows)
+    for i, _ in rows:
+        for j, _ in rows:
+            assert (want[i] == want[j]) == (got[i] == got[j]), (rows[i], rows[j])
+
+
+def test_counts_of_neighbours_never_rule_out_a_near_pair():
+    rnd = random.Random(3)
+    for _ in range(3000):
+        a = "".join(rnd.choice("abcdeé ") for _ in range(rnd.randint(0, 60)))
+        b = list(a)
+        edits = rnd.randint(0, 12)
+        for _ in range(edits):
+            at = rnd.randint(0, len(b))
+            b[at : at + rnd.randint(0, 1)] = rnd.choice(["", "x", "a"])
+        assert not line_dedup.too_far(a, "".join(b), edits)
