@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import change_risk
 from ..storage import written
 
 #: Parts of a path's risk, and the ladder of a report.
@@ -141,3 +142,36 @@ def architecture(nodes: DataFrame, caps: dict[str, int] | None = None) -> DataFr
         rows = rows.select(F.lit(part).alias("part"), "name", "qname")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def reachable_sinks(paths: DataFrame) -> DataFrame:
+    """source, sink, paths, shortest (nodes): paths of ``dataflow_paths`` (or any with source, sink, path) by their sink."""
+    return paths.groupBy("source", "sink").agg(F.count("*").alias("paths"), F.min(F.size("path")).alias("shortest"))
+
+
+def suggested_owners(nodes: DataFrame, edges: DataFrame, changed: DataFrame, most: int = 5) -> DataFrame:
+    """owner: the first ``most`` distinct folders, by name, of files whose symbols call a changed one. nodes: id, file; a file without a folder has none."""
+    callers = edges.where("type = 'CALLS'").join(changed.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+    files = nodes.join(callers, "id", "left_semi").where(F.col("file").contains("/")).select(F.regexp_replace("file", "/[^/]*$", "").alias("owner")).distinct()
+    return files.orderBy("owner").limit(most)
+
+
+def change_report(nodes: DataFrame, edges: DataFrame, changed: DataFrame, depth: int = 3) -> DataFrame:
+    """One row: impacted, tests, routes, processes, files, level, risk, effort of a change (id) of nodes (id, label, name, qname, file, method, path).
+
+    impacted: who reaches a changed node over CALLS and IMPORTS within ``depth``. level: critical from 20 impacted or 3 processes on, high from 10 or 2,
+    medium from 3 or 1. effort: high over 10 changed files, medium over 5.
+    """
+    from .traverse import bfs
+
+    back = edges.where("type in ('CALLS', 'IMPORTS')").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    levels = bfs(back, changed.select("id").distinct(), depth).where("distance > 0")
+    own = nodes.join(changed.select("id").distinct(), "id", "left_semi")
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    row = one(levels, "impacted").crossJoin(one(affected_tests(nodes, edges, changed), "tests")).crossJoin(one(affected_routes(nodes, edges, changed), "routes"))  # single rows
+    row = row.crossJoin(one(affected_processes(nodes, edges, changed), "processes")).crossJoin(own.agg(F.count_distinct("file").alias("files"), F.count("*").alias("symbols")))
+    level = F.when(F.expr("impacted >= 20 or processes >= 3"), "critical").when(F.expr("impacted >= 10 or processes >= 2"), "high").when(F.expr("impacted >= 3 or processes >= 1"), "medium").otherwise("low")
+    row = row.withColumn("level", level)
+    risk = change_risk(F.col("level"), F.col("symbols"), F.col("impacted"), F.col("processes"), F.col("files"))
+    effort = F.when(F.col("files") > 10, "high").when(F.col("files") > 5, "medium").otherwise("low")
+    return row.withColumn("risk", risk).withColumn("effort", effort).drop("symbols")

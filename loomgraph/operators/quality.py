@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import iou
+from ..functions.scalars import chi2_survival, effect_size, iou
 from ..storage import dropped, written
 from . import intervals
 
@@ -28,6 +28,13 @@ def mcnemar(rows: DataFrame, first: str, second: str) -> DataFrame:
     return out.withColumn("chi2", F.when(a + b == 0, F.lit(0.0)).otherwise(F.pow(F.greatest(F.abs(a - b) - 1, F.lit(0)), F.lit(2)) / (a + b)))
 
 
+def mcnemar_test(rows: DataFrame, first: str, second: str, level: float = 0.05) -> DataFrame:
+    """As ``mcnemar``, with p, significant (p < ``level``) and effect (by the difference over all rows)."""
+    out = mcnemar(rows, first, second).crossJoin(rows.agg(F.count("*").alias("cases")))  # two single rows
+    out = out.withColumn("p", chi2_survival(F.col("chi2"))).withColumn("significant", F.col("p") < level)
+    return out.withColumn("effect", effect_size(F.col("only_first"), F.col("only_second"), F.col("cases"))).drop("cases")
+
+
 def bootstrap_interval(rows: DataFrame, value: str, key: str, replicates: int = 1000, level: float = 0.95) -> DataFrame:
     """low, high of the mean, each row counting a Poisson(1) number of times in each replicate, drawn from a hash of its key.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import token_estimate
 from . import intervals
 
 
@@ -105,3 +106,71 @@ def merge_comments(comments: DataFrame, least: int = 3) -> DataFrame:
     points = intervals.valid(short, keys)
     first = intervals.least_holding(points, short, keys, "id", "start", F.col("id")).unionByName(intervals.least_held(short, points, keys, "id", "start", F.col("id")))
     return comments.join(first.where("least < id").select("id").distinct(), "id", "left_anti")
+
+
+def project_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """project, kind (label, language, edge), value, n: how often each occurs in each project. nodes: id, project, label, language; an edge counts for its source's project."""
+    by = lambda df, kind, col: df.groupBy("project", F.col(col).alias("value")).agg(F.count("*").alias("n")).select("project", F.lit(kind).alias("kind"), "value", "n")
+    # Edges are counted by source and type first, so that a source with most of them is one row.
+    typed = edges.groupBy("src", "type").agg(F.count("*").alias("c")).join(nodes.select(F.col("id").alias("src"), "project"), "src")
+    types = typed.groupBy("project", F.col("type").alias("value")).agg(F.sum("c").alias("n")).select("project", F.lit("edge").alias("kind"), "value", "n")
+    return by(nodes, "label", "label").unionByName(by(nodes.where("language is not null"), "language", "language")).unionByName(types)
+
+
+def clusters(nodes: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """cluster, n, language: nodes (id, language) of each cluster and the language of the first by id that has one."""
+    return nodes.where(F.col(cluster).isNotNull()).groupBy(F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"), F.min_by("language", F.when(F.col("language").isNotNull(), F.col("id"))).alias("language"))
+
+
+def by_module(stats: DataFrame) -> DataFrame:
+    """module, files, added, removed of files (file, added, removed) by their first folder (``.`` without one)."""
+    module = F.when(F.col("file").contains("/"), F.regexp_extract("file", "^/?([^/]+)/", 1)).otherwise(".")
+    return stats.groupBy(module.alias("module")).agg(F.count_distinct("file").alias("files"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+
+
+#: Buckets of complexity, by their first value.
+BUCKETS = {"1-5": 1, "6-10": 6, "11-20": 11, "21-50": 21, "50+": 51}
+
+
+def complexity_distribution(scores: DataFrame) -> DataFrame:
+    """bucket, n, percent (whole), low, high, mean (two places) of scores (id, score) over 0, by BUCKETS."""
+    bucket = F.lit(None).cast("string")
+    for name, least in BUCKETS.items():
+        bucket = F.when(F.col("score") >= least, name).otherwise(bucket)
+    rows = scores.where("score > 0").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"), F.round(F.avg("score"), 2).alias("mean"))
+    return rows.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy())).cast("int"))  # at most five rows
+
+
+def package_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """a, b, a < b: first folders of files that IMPORTS and CALLS join both ways. nodes: id, file."""
+    top = F.regexp_extract("file", "^/?([^/]+)/", 1)
+    of = nodes.where(top != "").select("id", top.alias("package"))
+    e = edges.where("type in ('IMPORTS', 'CALLS')").select("src", "dst").distinct().join(of.select(F.col("id").alias("src"), F.col("package").alias("a")), "src").join(of.select(F.col("id").alias("dst"), F.col("package").alias("b")), "dst")
+    steps = e.where("a <> b").select("a", "b").distinct()
+    return steps.where("a < b").join(steps.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
+
+
+def implementations(nodes: DataFrame, edges: DataFrame, of: DataFrame) -> DataFrame:
+    """interface, class, methods: what has an IMPLEMENTS edge to an interface (id), with how many HAS_METHOD edges leave it."""
+    found = edges.where("type = 'IMPLEMENTS'").join(of.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select(F.col("dst").alias("interface"), F.col("src").alias("class")).distinct()
+    methods = edges.where("type = 'HAS_METHOD'").select("src", "dst").distinct().groupBy(F.col("src").alias("class")).agg(F.count("*").alias("methods"))
+    return found.join(nodes.select(F.col("id").alias("class")), "class", "left_semi").join(methods, "class", "left").select("interface", "class", F.coalesce("methods", F.lit(0)).alias("methods"))
+
+
+def external_symbols(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, uses: ends of edges that are no node of the project, and how many edges lead there."""
+    return edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("uses")).join(nodes.select("id"), "id", "left_anti")
+
+
+def compressed_turns(turns: DataFrame, prefix: int = 1, recent: int = 2) -> DataFrame:
+    """conv_id, zone, n, tokens: the first ``prefix`` turns (frozen), the last ``recent`` of the others (recent), and what stands between (middle). turns: conv_id, turn, text."""
+    w = Window.partitionBy("conv_id")
+    zone = F.when(F.row_number().over(w.orderBy("turn")) <= prefix, "frozen").when(F.row_number().over(w.orderBy(F.desc("turn"))) <= recent, "recent").otherwise("middle")
+    rows = turns.select("conv_id", zone.alias("zone"), token_estimate(F.col("text")).alias("tokens"))
+    return rows.groupBy("conv_id", "zone").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
+def report_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """id, change (added, removed) of the findings of two reports."""
+    a, b = before.select("id").distinct(), after.select("id").distinct()
+    return b.join(a, "id", "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, "id", "left_anti").withColumn("change", F.lit("removed")))

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scalars
 from loomgraph.operators import retrieval
 
-from loomgraph.plans import analysis, catalogue, derive, programs, repos
+from loomgraph.plans import analysis, catalogue, derive, measures, programs, repos
 from loomgraph.streaming import windows
 
-PLANS = [catalogue, analysis, programs, repos]
+PLANS = [catalogue, analysis, programs, repos, measures]
 QUERIES = {k: q for plan in PLANS for k, q in plan.QUERIES.items()}
 ORACLES = {k: q for plan in PLANS for k, q in plan.ORACLES.items()}
 
