@@ -238,7 +238,8 @@ def _write(folder: str, width: int):
                     yield end(open_)
                     open_ = None
                 if not open_:
-                    open_ = (bucket, ShardWriter(f"{folder}/shard-{bucket:06d}.sst", width))
+                    # A second attempt of the task writes a file of its own; the table of shards names that of the attempt that counted.
+                    open_ = (bucket, ShardWriter(f"{folder}/shard-{bucket:06d}-{uuid.uuid4().hex}.sst", width))
                 open_[1].add(key_of(doc_id), expand.decompress(ids.as_buffer()))
         if open_:
             yield end(open_)
