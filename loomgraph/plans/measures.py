@@ -115,7 +115,7 @@ def caller_owners(nodes, edges, changed):
     return impact.suggested_owners(nodes, edges, changed)
 
 
-@query("select id, case when direct > 0 then round(least(1.0, 0.9 + least(direct, 5) * 0.02 + case when heuristic > 0 then 0.03 else 0 end + case when heuristic > 0 and inferred > 0 then 0.02 else 0 end), 3) when heuristic > 0 then round(least(1.0, 0.7 + least(heuristic, 10) * 0.019 + case when inferred > 0 then 0.02 else 0 end), 3) when inferred > 0 then round(0.5 + least(inferred, 10) * 0.019, 3) else 0.0 end as confidence from found",
+@query("select id, cast(case when direct > 0 then round(least(1.0, 0.9 + least(direct, 5) * 0.02 + case when heuristic > 0 then 0.03 else 0 end + case when heuristic > 0 and inferred > 0 then 0.02 else 0 end), 3) when heuristic > 0 then round(least(1.0, 0.7 + least(heuristic, 10) * 0.019 + case when inferred > 0 then 0.02 else 0 end), 3) when inferred > 0 then round(0.5 + least(inferred, 10) * 0.019, 3) else 0.0 end as double) as confidence from found",
     found="select p_partkey as id, p_size % 4 as direct, p_size % 3 as heuristic, p_size % 5 as inferred from {part}")
 def evidence_confidence(found):
     return found.select("id", S.evidence_confidence(F.col("direct"), F.col("heuristic"), F.col("inferred")).alias("confidence"))

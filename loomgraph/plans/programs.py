@@ -234,7 +234,7 @@ SYMBOLS = """select distinct p_brand as repo, case when p_size % 3 = 0 then subs
 
 @query(
     """select a.repo as source_repo, a.qname as source, b.repo as target_repo, b.qname as target, case when a.name = b.name then 'exact_name' when levenshtein(lower(a.name), lower(b.name)) <= 2 then 'similar_name' else 'api_pattern' end as rule,
-    case when a.name = b.name then 1.0 when levenshtein(lower(a.name), lower(b.name)) <= 2 then 0.7 else 0.85 end as confidence
+    cast(case when a.name = b.name then 1.0 when levenshtein(lower(a.name), lower(b.name)) <= 2 then 0.7 else 0.85 end as double) as confidence
     from symbols a join symbols b on a.repo < b.repo where a.name = b.name or levenshtein(lower(a.name), lower(b.name)) <= 2 or (a.route <> '' and a.route = b.route)""",
     symbols=SYMBOLS,
 )
