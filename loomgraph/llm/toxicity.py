@@ -32,8 +32,6 @@ ROWS_PER_LABEL = 3000
 MOST_TERMS, MOST_PAIRED = 4096, 1024
 #: Standard deviations by which a pair's positive rows exceed what its terms alone explain (more where more pairs are looked at), and the fewest rows of a pair.
 PAIR_Z, PAIR_ROWS = 5.0, 8
-#: Counts of pairs that are held at once: of as many terms with all others.
-PAIRS_AT_ONCE = 10_000_000
 FACTORS = 4
 ROUNDS = 200
 L2_WEIGHT, L2_FACTOR = 1e-4, 3e-3
@@ -108,37 +106,30 @@ def _log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.nd
 def paired(rows: list[np.ndarray], n_terms: int, y: np.ndarray, most: int = MOST_PAIRED) -> np.ndarray:
     """Terms (rows: the terms of each row) in a pair that is positive more often than the terms' own log odds add up to.
 
-    One of the two must be positive more often than a row in general; the other may be any term. All such pairs are looked at: the
-    first terms in blocks, each counted with all terms over the rows that hold one of the block.
+    One of the two must be positive more often than a row in general, by a standard error; the other may be any term. All such pairs are
+    looked at: each first term is counted with all terms over the rows that hold it.
     """
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
     flat = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     count, pos = np.bincount(flat, minlength=n_terms), np.bincount(flat, weights=y[owner], minlength=n_terms)
     odds = _log_odds(pos, count - pos, n_pos, n_neg)
-    first = np.flatnonzero((odds > 0) & (count >= PAIR_ROWS))
-    best, at_once = np.zeros(n_terms), max(16, PAIRS_AT_ONCE // max(1, n_terms))
-    for i in range(0, len(first), at_once):
-        block = first[i : i + at_once]
-        place = np.full(n_terms, -1)
-        place[block] = np.arange(len(block))
-        both, both_pos = np.zeros((2, len(block), n_terms), dtype=np.float32)
-        for r, label in zip(rows, y):
-            held = place[r]
-            held = held[held >= 0]
-            if len(held):
-                at = np.ix_(held, r)
-                both[at] += 1
-                if label:
-                    both_pos[at] += 1
-        z_least = max(PAIR_Z, np.sqrt(2 * np.log(max(2.0, len(first) * n_terms))))
-        for k, own in enumerate(block):
-            alone = 1 / (1 + np.exp(-np.clip(odds + odds[own] + np.log(n_pos / n_neg), -30, 30)))
-            z = (both_pos[k] - both[k] * alone) / np.sqrt(both[k] * alone * (1 - alone) + 1e-9)
-            z[(both[k] < PAIR_ROWS) | (np.arange(n_terms) == own)] = 0
-            z[z <= z_least] = 0
-            np.maximum(best, z, out=best)
-            best[own] = max(best[own], z.max(initial=0))
+    first = np.flatnonzero((odds > np.sqrt(1 / (pos + 0.5) + 1 / (count - pos + 0.5))) & (count >= PAIR_ROWS))
+    best, z_least = np.zeros(n_terms), max(PAIR_Z, np.sqrt(2 * np.log(max(2.0, len(first) * n_terms))))
+    order = np.argsort(flat, kind="stable")
+    edges = np.searchsorted(flat[order], np.arange(n_terms + 1))
+    for own in first:
+        held = owner[order[edges[own] : edges[own + 1]]]
+        true, false = (np.bincount(np.concatenate([np.zeros(0, np.int32), *(rows[r] for r in some)]), minlength=n_terms) for some in (held[y[held] == 1], held[y[held] == 0]))
+        n = true + false
+        often = np.flatnonzero(n >= PAIR_ROWS)
+        often = often[often != own]
+        n, n_true = n[often], true[often]
+        alone = 1 / (1 + np.exp(-np.clip(odds[often] + odds[own] + np.log(n_pos / n_neg), -30, 30)))
+        z = (n_true - n * alone) / np.sqrt(n * alone * (1 - alone) + 1e-9)
+        z[z <= z_least] = 0
+        best[often] = np.maximum(best[often], z)
+        best[own] = max(best[own], z.max(initial=0))
     found = np.flatnonzero(best > 0)
     return np.sort(found[np.argsort(-best[found], kind="stable")[:most]])
 
