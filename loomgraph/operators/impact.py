@@ -175,3 +175,17 @@ def change_report(nodes: DataFrame, edges: DataFrame, changed: DataFrame, depth:
     risk = change_risk(F.col("level"), F.col("symbols"), F.col("impacted"), F.col("processes"), F.col("files"))
     effort = F.when(F.col("files") > 10, "high").when(F.col("files") > 5, "medium").otherwise("low")
     return row.withColumn("risk", risk).withColumn("effort", effort).drop("symbols")
+
+
+def context(nodes: DataFrame, edges: DataFrame, ids: DataFrame, most: int = 50) -> DataFrame:
+    """id, way (in, out), type, other, name: of each node (id) its first ``most`` neighbours each way, by edge type and id.
+
+    Neighbours are ranked in parts before they are ranked as a whole, so a node with most of the edges is no one task's work.
+    """
+    e = edges.select("src", "dst", "type").distinct()
+    both = e.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit("out").alias("way"), "type").unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit("in").alias("way"), "type"))
+    rows = both.join(ids.select("id").distinct(), "id", "left_semi").join(nodes.select(F.col("id").alias("other"), "name"), "other")
+    part = F.pmod(F.xxhash64("other"), F.lit(64))
+    for keys in (["id", "way", part], ["id", "way"]):
+        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("type", "other"))).where(F.col("r") <= most).drop("r")
+    return rows.select("id", "way", "type", "other", "name")

@@ -203,3 +203,8 @@ def hashed_embedding(docs: DataFrame, dim: int = 768, id_col: str = "doc_id", te
     sums = grams.select("id", F.pmod(h, F.lit(dim)).alias("bucket"), F.when(F.pmod(F.shiftrightunsigned(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")).groupBy("id", "bucket").agg(F.sum("sign").alias("value"))
     norm = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     return sums.join(norm.where("norm > 0"), "id").select("id", "bucket", (F.col("value") / F.col("norm")).alias("value"))
+
+
+def embed_missing(docs: DataFrame, stored: DataFrame, dim: int = 768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Hashed embeddings (id, bucket, value) of the documents that ``stored`` (id, ...) has none of; the others are not read into features."""
+    return hashed_embedding(docs.join(stored.select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti"), dim, id_col, text_col)

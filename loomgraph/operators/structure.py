@@ -82,3 +82,98 @@ def graph_findings(nodes: DataFrame, edges: DataFrame, most_coupled: int = 10, e
     back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     cyclic = e.join(back, ["src", "dst"], "left_semi").where("src < dst").select(F.col("src").alias("id"), F.lit("cycle").alias("rule"), F.col("dst").alias("value"))
     return coupled.unionByName(dead).unionByName(cyclic)
+
+
+#: The keywords of constructs, of jumps and of what follows a closing brace.
+HEADS = {"if": r"(?:else\s+)?if\b", "loop": r"(?:for|while)\b", "switch": r"switch\b", "try": r"try\b", "else": r"(?:else|finally)\b", "catch": r"catch\b"}
+
+
+def flow_edges(text: str) -> list[tuple[int, int, str]]:
+    """(src, dst, kind) between the lines of one text of a language with braces, a statement a line: 0 is the entry, one past the last line the exit.
+
+    kind: next, true and false of a branch or loop, case and default of a switch, back to a loop's head, throw from a try to its catch.
+    Lines of closing braces alone are no blocks. A jump that nothing encloses goes to the exit.
+    """
+    import re
+
+    lines = text.split("\n")
+    edges: set[tuple[int, int, str]] = set()
+    exit_, live, stack = len(lines) + 1, [(0, "next")], []
+
+    def enter(i: int) -> None:
+        edges.update((s, i, kind) for s, kind in live)
+
+    def around(*kinds: str) -> dict | None:
+        return next((c for c in reversed(stack) if c["kind"] in kinds), None)
+
+    for i, code in enumerate(lines, 1):
+        s, closed = code.strip(), None
+        while s.startswith("}") and stack:
+            closed, s = stack.pop(), s[1:].strip(" ;)")
+            follows = re.match(r"(?:else|catch|finally)\b", s)
+            if closed["kind"] == "loop":
+                edges.update((src, closed["head"], "back") for src, _ in live)
+                live = [(closed["head"], "false"), *closed["leave"]]
+            elif closed["kind"] == "switch":
+                live = live + closed["leave"] + ([] if closed["default"] else [(closed["head"], "default")])
+            elif closed["kind"] == "if" and follows:
+                closed["after"], live = closed["after"] + live, [(closed["head"], "false")]
+            elif closed["kind"] == "if":
+                live = live + closed["after"] + [(closed["head"], "false")]
+            elif closed["kind"] == "try" and follows:
+                closed["after"], live = closed["after"] + live, [(closed["head"], "throw")]
+            else:
+                live = live + closed["after"]
+            if not follows:
+                closed = None
+        s = s.lstrip("}")
+        if not s:
+            continue
+        if re.match(r"(?:case\b|default\s*:)", s) and (c := around("switch")):
+            c["default"] |= s.startswith("default")
+            live = live + [(c["head"], "default" if s.startswith("default") else "case")]
+        enter(i)
+        live = [(i, "next")]
+        kind = next((k for k, p in HEADS.items() if re.match(p, s)), "block")
+        if s.endswith("{"):
+            after = closed["after"] if closed else []
+            stack.append({"kind": kind, "head": i, "after": after, "leave": [], "default": False})
+            live = {"if": [(i, "true")], "loop": [(i, "true")], "switch": []}.get(kind, live)
+        elif re.match(r"(?:return|throw)\b", s):
+            edges.add((i, exit_, "next"))
+            live = []
+        elif re.match(r"break\b", s) or re.match(r"continue\b", s):
+            c = around("loop") if s.startswith("continue") else around("loop", "switch")
+            if c is None:
+                edges.add((i, exit_, "next"))
+            elif s.startswith("continue"):
+                edges.add((i, c["head"], "back"))
+            else:
+                c["leave"].append((i, "next"))
+            live = []
+    enter(exit_)
+    return sorted(edges)
+
+
+def control_flow(files: DataFrame) -> DataFrame:
+    """fn, src, dst, kind: the control flow of each text (path, text) as ``flow_edges`` has it; fn is the path. A null text has one edge, from entry to exit.
+
+    One row is one file, so a task holds one text at a time. The result is what ``dataflow`` takes as edges.
+    """
+    import pandas as pd
+
+    def run(frames):
+        for pdf in frames:
+            rows = [(p, *e) for p, t in zip(pdf["path"], pdf["text"]) for e in flow_edges(t if isinstance(t, str) else "")]
+            yield pd.DataFrame(rows, columns=["fn", "src", "dst", "kind"])
+
+    return files.select("path", "text").mapInPandas(run, "fn string, src long, dst long, kind string")
+
+
+#: Labels of nodes that hotspots are looked for among.
+STRUCTURAL = ("Function", "Method", "Class", "Interface", "Module", "Component", "Service", "Controller", "Handler", "Route", "Endpoint", "Resolver")
+
+
+def structural(nodes: DataFrame, labels: tuple[str, ...] = STRUCTURAL) -> DataFrame:
+    """Nodes with a structural label."""
+    return nodes.where(F.col("label").isin(*labels))

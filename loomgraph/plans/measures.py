@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import impact, quality, reports
+from ..operators import impact, quality, reports, structure
 from .registry import registry
 from .repos import CHANGED, DEPTH, FLOW, NODES, TYPED, _levels
 
@@ -152,3 +152,17 @@ def change_risk(found):
 )
 def change_report(nodes, edges, changed):
     return impact.change_report(nodes, edges, changed, 2)
+
+
+@query("select id, label from nodes where label in ('Class', 'Function', 'Module', 'Route')", nodes=NODES)
+def structural_nodes(nodes):
+    return structure.structural(nodes).select("id", "label")
+
+
+@query(
+    """, b as (select src as id, dst as other, 'out' as way, type from edges union select dst, src, 'in', type from edges), n as (select b.*, x.name from b join nodes x on x.id = b.other where b.id in (select id from changed)),
+    f as (select * from n qualify row_number() over (partition by id, way order by type, other) <= 5) select id, way, type, other, name from f""",
+    nodes=NODES, edges=TYPED, changed="select p_partkey as id from {part}",
+)
+def symbol_context(nodes, edges, changed):
+    return impact.context(nodes, edges, changed, 5)

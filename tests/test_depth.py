@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import changes, community, rank, review, sketches, structure
+from loomgraph.operators import changes, community, dataflow, rank, retrieval, review, sketches, structure
 from loomgraph.streaming.reindex import FileIndex
 
 
@@ -273,3 +273,55 @@ def test_a_batch_run_again_leaves_the_same_tables(spark, tmp_path):
     assert rows(small.current("symbols"), "path", "label", "name", "line") == seen[2][0]
     small.apply(spark.createDataFrame([("c.js", "x", 9)], kind), 3)
     assert rows(small.current("symbols"), "path", "name") == {("b.py", "Two")}
+
+
+FLOW = """start
+if (a) {
+  b
+} else if (c) {
+  return d
+} else {
+  e
+}
+while (f) {
+  if (g) {
+    break
+  }
+  continue
+}
+switch (h) {
+  case 1:
+    i
+    break
+  default:
+    j
+}
+try {
+  k
+} catch (l) {
+  m
+}
+end"""
+
+
+def test_control_flow_of_lines(spark):
+    want = {
+        (0, 1, "next"), (1, 2, "next"), (2, 3, "true"), (2, 4, "false"), (4, 5, "true"), (5, 28, "next"), (4, 6, "false"), (6, 7, "next"), (3, 9, "next"), (7, 9, "next"),
+        (9, 10, "true"), (10, 11, "true"), (10, 13, "false"), (13, 9, "back"), (9, 15, "false"), (11, 15, "next"),
+        (15, 16, "case"), (16, 17, "next"), (17, 18, "next"), (15, 19, "default"), (19, 20, "next"), (18, 22, "next"), (20, 22, "next"),
+        (22, 23, "next"), (22, 24, "throw"), (24, 25, "next"), (23, 27, "next"), (25, 27, "next"), (27, 28, "next"),
+    }
+    files = spark.createDataFrame([("f", FLOW), ("none", None), ("odd", "} }\nbreak\n{\n}")], "path string, text string")
+    got = structure.control_flow(files)
+    assert rows(got.where("fn = 'f'"), "src", "dst", "kind") == want
+    assert rows(got.where("fn = 'none'"), "src", "dst") == {(0, 2)}
+    assert got.where("fn = 'odd'").count() > 0
+    blocks = spark.createDataFrame([("f", i) for i in range(29)], "fn string, block long")
+    tree = {r["block"]: r["idom"] for r in dataflow.dominator_tree(dataflow.dominator_sets(got, blocks)).where("fn = 'f'").collect()}
+    assert tree[9] == 2 and tree[15] == 9 and tree[22] == 15 and tree[28] == 2 and tree[27] == 22
+
+
+def test_only_missing_documents_are_embedded(spark):
+    docs = spark.createDataFrame([(1, "abc"), (2, "xyz"), (3, None)], "doc_id long, text string")
+    got = retrieval.embed_missing(docs, spark.createDataFrame([(1,), (1,)], "id long"), 16)
+    assert {r["id"] for r in got.collect()} == {2}
