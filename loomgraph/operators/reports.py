@@ -9,11 +9,19 @@ from ..functions.scalars import token_estimate
 from . import intervals
 
 
+#: From where on a file is risky (total complexity, symbols), a folder's effort is high or medium (files), and a change has a
+#: reason of risk (direct, indirect, tests, processes, direct and indirect together) or is of high or medium risk (reasons).
+RISKY_TOTAL, RISKY_SYMBOLS = 10, 20
+EFFORT = {"high": 10, "medium": 5}
+MANY_DIRECT, MANY_INDIRECT, MANY_TESTS, SOME_PROCESSES, WIDE = 10, 20, 5, 1, 31
+CLASSES = {"high": 3, "medium": 1}
+
+
 def file_rollup(symbols: DataFrame) -> DataFrame:
     """Per file: symbols, total and average complexity; risky over a total of 10 or over 20 symbols."""
     c = F.coalesce("complexity", F.lit(0))
     out = symbols.groupBy("file").agg(F.count("*").alias("symbols"), F.sum(c).alias("total"), F.avg(c).alias("average"))
-    return out.withColumn("risky", (F.col("total") > 10) | (F.col("symbols") > 20))
+    return out.withColumn("risky", (F.col("total") > RISKY_TOTAL) | (F.col("symbols") > RISKY_SYMBOLS))
 
 
 def hotspots(nodes: DataFrame, degree: DataFrame, most: int = 50, least: int = 10) -> DataFrame:
@@ -25,7 +33,7 @@ def hotspots(nodes: DataFrame, degree: DataFrame, most: int = 50, least: int = 1
 def change_clusters(changed: DataFrame) -> DataFrame:
     """Changed files (path) by folder: their number, and the effort it means."""
     folder = F.regexp_replace("path", "/[^/]*$", "")
-    return changed.groupBy(folder.alias("folder")).agg(F.count("*").alias("files")).withColumn("effort", F.when(F.col("files") > 10, "high").when(F.col("files") > 5, "medium").otherwise("low"))
+    return changed.groupBy(folder.alias("folder")).agg(F.count("*").alias("files")).withColumn("effort", F.when(F.col("files") > EFFORT["high"], "high").when(F.col("files") > EFFORT["medium"], "medium").otherwise("low"))
 
 
 def rolling(reports: DataFrame, key: str, order: str, value: str, n: int) -> DataFrame:
@@ -53,9 +61,9 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
 def risk(counts: DataFrame) -> DataFrame:
     """Per id, from (id, direct, indirect, tests, processes): the reasons that hold, and the class of their number."""
     total = F.col("direct") + F.col("indirect")
-    flags = [(F.col("direct") >= 10, "many direct"), (F.col("indirect") >= 20, "many indirect"), (F.col("tests") >= 5, "many tests"), (F.col("processes") > 0, "in a process"), (total > 30, "wide")]
+    flags = [(F.col("direct") >= MANY_DIRECT, "many direct"), (F.col("indirect") >= MANY_INDIRECT, "many indirect"), (F.col("tests") >= MANY_TESTS, "many tests"), (F.col("processes") >= SOME_PROCESSES, "in a process"), (total >= WIDE, "wide")]
     reasons = F.array_compact(F.array(*[F.when(test, name) for test, name in flags]))
-    return counts.select("id", F.array_join(reasons, ", ").alias("reasons"), F.size(reasons).alias("n_reasons"), F.when(F.size(reasons) >= 3, "high").when(F.size(reasons) >= 1, "medium").otherwise("low").alias("class"))
+    return counts.select("id", F.array_join(reasons, ", ").alias("reasons"), F.size(reasons).alias("n_reasons"), F.when(F.size(reasons) >= CLASSES["high"], "high").when(F.size(reasons) >= CLASSES["medium"], "medium").otherwise("low").alias("class"))
 
 
 def shared_contracts(symbols: DataFrame) -> DataFrame:
