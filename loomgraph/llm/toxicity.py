@@ -110,16 +110,17 @@ def paired(rows: list[np.ndarray], n_terms: int, y: np.ndarray, most: int = MOST
     looked at: each first term is counted with all terms over the rows that hold it.
     """
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
-    flat = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     count, pos = np.bincount(flat, minlength=n_terms), np.bincount(flat, weights=y[owner], minlength=n_terms)
     odds = _log_odds(pos, count - pos, n_pos, n_neg)
     first = np.flatnonzero((odds > np.sqrt(1 / (pos + 0.5) + 1 / (count - pos + 0.5))) & (count >= PAIR_ROWS))
     best, z_least = np.zeros(n_terms), max(PAIR_Z, np.sqrt(2 * np.log(max(2.0, len(first) * n_terms))))
-    order = np.argsort(flat, kind="stable")
-    edges = np.searchsorted(flat[order], np.arange(n_terms + 1))
+    owner = owner[np.argsort(flat, kind="stable")]
+    edges = np.concatenate(([0], np.cumsum(count)))
+    del flat
     for own in first:
-        held = owner[order[edges[own] : edges[own + 1]]]
+        held = owner[edges[own] : edges[own + 1]]
         true, false = (np.bincount(np.concatenate([np.zeros(0, np.int32), *(rows[r] for r in some)]), minlength=n_terms) for some in (held[y[held] == 1], held[y[held] == 0]))
         n = true + false
         often = np.flatnonzero(n >= PAIR_ROWS)
@@ -197,8 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     few = 0.004 * n_pos
     strong = low.where(f"pos >= greatest(4, {few}) and low > 1.5").orderBy(F.desc(F.expr("low * sqrt(pos)")), "term").limit(MOST_TERMS).select("term")
     common = counts.where(f"pos + neg >= greatest({PAIR_ROWS}, {few})").select("term")  # of at most 2 * per_label rows
-    own = {r["term"] for r in strong.collect()}
-    terms = np.sort(np.array(sorted(own | {r["term"] for r in common.collect()}), dtype=np.int64).view(U))
+    own, others = (np.unique(x.toArrow()["term"].to_numpy()) for x in (strong, common))
+    terms = np.sort(np.union1d(own, others).astype(np.int64).view(U))
     if not len(terms):
         dropped(found)
         return fit(np.zeros((n_pos + n_neg, 0)), np.repeat([0, 1], [n_neg, n_pos]), terms)
@@ -208,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     at, flat = slots.offsets.to_numpy(), slots.values.to_numpy(zero_copy_only=False)
     both = sorted((int(k), flat[at[i] : at[i + 1]].tobytes()) for i, k in enumerate(rows["label"].to_pylist()))
     rows_of, y = [np.frombuffer(places, dtype=np.int32) for _, places in both], np.array([k for k, _ in both])
-    chosen = np.isin(terms.view(np.int64), np.array(sorted(own), dtype=np.int64))
+    chosen = np.isin(terms.view(np.int64), own)
     chosen[paired(rows_of, len(terms), y)] = True
     place = np.cumsum(chosen) - 1
     x = np.zeros((len(both), int(chosen.sum())), dtype=np.uint8)
