@@ -157,3 +157,20 @@ def test_propagation_along_a_long_chain(spark):
     flows = spark.createDataFrame([(i, i + 1, 1 << (i % 3)) for i in range(16)], "src long, dst long, mask int")
     got = rows(security.propagate(spark.createDataFrame([(0, 0)], "origin long, place long"), flows), "place", "mask")
     assert got == {(i, (1 << min(i, 3)) - 1) for i in range(17)}
+
+
+def test_summary_taint_composes_as_deep_as_its_sql(spark):
+    from loomgraph.operators import summaries
+    from loomgraph.plans.programs import summary_taint
+
+    flows, calls = [], []
+    for first, deep in ((100, 3), (200, 4)):  # a source's value comes back through calls that lie in each other
+        flows += [(first, "source", first, "arg", first, 0, 0), (first, "result", first, "sink", first, 1, 0), (first + deep, "param", 0, "return", 0, 0, 0)]
+        for k in range(deep):
+            calls.append((first + k, first + k, first + k + 1))
+            if k:
+                flows += [(first + k, "param", 0, "arg", first + k, 0, 0), (first + k, "result", first + k, "return", 0, 0, 0)]
+    flows = spark.createDataFrame(flows, "fn long, src_kind string, src long, dst_kind string, dst long, arg int, mask int")
+    calls = spark.createDataFrame(calls, "call long, fn long, callee long")
+    assert [r["source"] for r in summary_taint(flows, calls).collect()] == [100]
+    assert sorted(r["source"] for r in summaries.findings(flows, calls).collect()) == [100, 200]
