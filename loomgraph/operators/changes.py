@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,28 +94,67 @@ def near_names(a: DataFrame, b: DataFrame, most: int = 2) -> DataFrame:
 SHORT_NAME = 24
 
 
-def _deletions(name: Column, most: int) -> Column:
-    """All that is left of a string when up to ``most`` of its letters are deleted, itself included."""
+def _deletions(name: Column, lost: int) -> Column:
+    """What is left of a string when ``lost`` of its letters, or all it has, are deleted."""
     def less(x: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
 
-    all_, last = F.array(name), F.array(name)
-    for _ in range(most):
-        last = F.array_distinct(F.flatten(F.transform(last, lambda x: F.when(F.length(x) > 0, less(x)).otherwise(F.array().cast("array<string>")))))
-        all_ = F.concat(all_, last)
-    return F.array_distinct(all_)
+    left = F.array(name)
+    for _ in range(lost):
+        left = F.array_distinct(F.flatten(F.transform(left, lambda x: F.when(F.length(x) > 0, less(x)).otherwise(F.array(x)))))
+    return left
+
+
+def _gaps(name: Column, gaps: int) -> Column:
+    """Array of (at, rest, out) for every choice of one or two places of a string: the places, what is left, and the letters there."""
+    n = F.length(name)
+    cut = lambda x, i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1))
+    letter = lambda i: F.substr(name, i, F.lit(1))
+    places = F.when(n >= gaps, F.sequence(F.lit(1), n - gaps + 1)).otherwise(F.array().cast("array<int>"))
+    if gaps == 1:
+        return F.transform(places, lambda i: F.struct(F.array(i).alias("at"), cut(name, i).alias("rest"), F.array(letter(i)).alias("out")))
+    two = lambda i, j: F.struct(F.array(i, j).alias("at"), cut(cut(name, j), i).alias("rest"), F.array(letter(i), letter(j)).alias("out"))
+    return F.flatten(F.transform(places, lambda i: F.transform(F.sequence(i + 1, n), lambda j: two(i, j))))
+
+
+def _substituted(left: DataFrame, right: DataFrame, gaps: int) -> DataFrame:
+    """(left, right, distance) of names of one length that differ in just one or two places: they meet only by those places, so once."""
+    def keyed(df: DataFrame, c: str) -> DataFrame:
+        return df.select(F.col("name").alias(c), F.length("name").alias("n"), F.explode(_gaps(F.col("name"), gaps)).alias("g")).select(c, "n", "g.at", "g.rest", F.col("g.out").alias(f"{c}_out"))
+
+    pairs = keyed(left, "left").join(keyed(right, "right"), ["n", "at", "rest"])
+    for k in range(gaps):
+        pairs = pairs.where(F.col("left_out")[k] != F.col("right_out")[k])
+    return pairs.select("left", "right", F.lit(gaps).cast("int").alias("distance"))
 
 
 def near_names_by_deletion(a: DataFrame, b: DataFrame, most: int = 2) -> DataFrame:
     """(left, right, distance) of distinct names (name) of two tables at an edit distance of 1 to ``most``: the result of ``near_names``.
 
-    Two strings at that distance have a common rest when each loses up to ``most`` letters. A rest is a key of its own, so no length or
+    Names of one length that differ in one or two places meet by the other places, once for each pair. Of all others the longer one
+    and the shorter one have a common rest when they lose ``most`` letters and as many less as they differ in length; those of one length
+    one letter less, since a letter is both put in and left out. A rest is a key of its own, so no length or
     piece that many names share gathers them. Names longer than SHORT_NAME, whose rests would be too many, meet by pieces.
     """
     left, right = a.select("name").where("isnotnull(name)").distinct(), b.select("name").where("isnotnull(name)").distinct()
-    keyed = lambda df, c: df.where(F.length("name") <= SHORT_NAME).select(F.col("name").alias(c), F.explode(_deletions(F.col("name"), most)).alias("rest"))
-    short = keyed(left, "left").join(keyed(right, "right"), "rest").where("left <> right").select("left", "right").distinct()
-    short = short.withColumn("distance", F.levenshtein("left", "right", most)).where("distance > 0")
+    brief = lambda df: df.where(F.length("name") <= SHORT_NAME)
+    n = F.length("name")
+
+    def rests(df: DataFrame, c: str, lost: int, longer: int = 0) -> DataFrame:
+        return brief(df).select(F.col("name").alias(c), (n + longer).alias("n"), F.explode(_deletions(F.col("name"), lost)).alias("rest"))
+
+    short = None
+    for gaps in range(1, min(most, 2) + 1):
+        part = _substituted(brief(left), brief(right), gaps)
+        short = part if short is None else short.unionByName(part)
+    other = rests(left, "left", most - 1).join(rests(right, "right", most - 1), ["n", "rest"])
+    apart = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: F.substr("left", i, F.lit(1)) != F.substr("right", i, F.lit(1)))
+    met = [other.where("left <> right").where(F.size(apart) > min(most, 2)).select("left", "right")]
+    for by in range(1, most + 1):
+        for one, two, x, y in ((left, right, "left", "right"), (right, left, "right", "left")):
+            met.append(rests(one, x, most).join(rests(two, y, most - by, by), ["n", "rest"]).select("left", "right"))
+    pairs = reduce(DataFrame.unionByName, met).withColumn("distance", F.levenshtein("left", "right", most)).where("distance > 0")
+    short = short.unionByName(pairs.distinct())
     tail = lambda df: df.where(F.length("name") > SHORT_NAME - most)
     long = near_names(tail(left), tail(right), most).where(F.greatest(F.length("left"), F.length("right")) > SHORT_NAME)
     return short.unionByName(long)

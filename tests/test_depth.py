@@ -325,3 +325,11 @@ def test_only_missing_documents_are_embedded(spark):
     docs = spark.createDataFrame([(1, "abc"), (2, "xyz"), (3, None)], "doc_id long, text string")
     got = retrieval.embed_missing(docs, spark.createDataFrame([(1,), (1,)], "id long"), 16)
     assert {r["id"] for r in got.collect()} == {2}
+
+
+def test_names_that_differ_in_two_places_meet_once(spark):
+    names = [f"Clerk{k:03d}" for k in range(0, 1000, 3)]
+    a = spark.createDataFrame([(n,) for n in names], "name string")
+    got = [(r["left"], r["right"]) for r in changes._substituted(a, a, 2).collect()]
+    apart = lambda x, y: sum(p != q for p, q in zip(x, y))
+    assert len(got) == len(set(got)) and set(got) == {(x, y) for x in names for y in names if apart(x, y) == 2}
