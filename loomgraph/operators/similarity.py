@@ -2,17 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
 
 
+NO_ITEM = (1 << 63) - 1
+#: Items that are hashed at a time, so that what is worked on stays in a core's cache.
+AT_ONCE = 1 << 15
+
+
+def _signatures(hashes: Column, places: int) -> Column:
+    """Of 64-bit hashes, as xxhash64(item), for each seed the least xxhash64(item, seed): the seed's four bytes are hashed on from there."""
+
+    @F.pandas_udf("array<long>")
+    def least(sets: pd.Series) -> pd.Series:
+        p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+        shift = [np.uint64(k) for k in range(64)]
+        full = [k for k, x in enumerate(sets) if x is not None and len(x)]
+        out = np.full((len(sets), places), NO_ITEM, dtype=np.int64)
+        at = 0
+        while at < len(full):
+            stop, size = at, 0
+            while stop < len(full) and (stop == at or size + len(sets.iloc[full[stop]]) <= AT_ONCE):
+                size += len(sets.iloc[full[stop]])
+                stop += 1
+            some = [np.asarray(sets.iloc[k], dtype=np.int64) for k in full[at:stop]]
+            starts = np.cumsum([0] + [len(x) for x in some[:-1]])
+            base = np.concatenate(some).view(np.uint64) + p5 + np.uint64(4)
+            for seed in range(places):
+                x = base ^ np.multiply(np.uint64(seed), p1, dtype=np.uint64)
+                x = ((x << shift[23]) | (x >> shift[41])) * p2 + p3
+                x ^= x >> shift[33]
+                x *= p2
+                x ^= x >> shift[29]
+                x *= p3
+                x ^= x >> shift[32]
+                out[full[at:stop], seed] = np.minimum.reduceat(x.view(np.int64), starts)
+            at = stop
+        return pd.Series(list(out))
+
+    return least(hashes)
+
+
 def minhash(rows: DataFrame, hashes: int = 128, id_col: str = "id", items_col: str = "items") -> DataFrame:
     """(id, signature): for each of the seeds the least hash of the items; an empty set has the largest value throughout."""
-    seeds = F.sequence(F.lit(0), F.lit(hashes - 1))
-    least = F.transform(seeds, lambda s: F.coalesce(F.array_min(F.transform(items_col, lambda x: F.xxhash64(x, s))), F.lit((1 << 63) - 1)))
-    return rows.select(F.col(id_col).alias("id"), least.alias("signature"))
+    return rows.select(F.col(id_col).alias("id"), _signatures(F.transform(items_col, lambda x: F.xxhash64(x)), hashes).alias("signature"))
 
 
 def estimate(a, b):
@@ -30,9 +68,13 @@ def band_pairs(signatures: DataFrame, bands: int, rows_per_band: int) -> DataFra
 
 
 def similar_pairs(rows: DataFrame, threshold: float, bands: int = 16, rows_per_band: int = 8, id_col: str = "id", items_col: str = "items") -> DataFrame:
-    """(a, b, similarity): banded candidates, then exact Jaccard at or above the threshold. Empty sets are like none."""
-    sets = written(rows.select(F.col(id_col).alias("id"), F.array_distinct(items_col).alias("items")).where("size(items) > 0"), "sets")
-    pairs = band_pairs(minhash(sets, bands * rows_per_band), bands, rows_per_band)
+    """(a, b, similarity): banded candidates, then Jaccard at or above the threshold. Empty sets are like none.
+
+    Items are hashed to 64 bits once; sets are kept and compared by these.
+    """
+    hashed = F.array_distinct(F.transform(items_col, lambda x: F.xxhash64(x)))
+    sets = written(rows.select(F.col(id_col).alias("id"), hashed.alias("items")).where("size(items) > 0"), "sets")
+    pairs = band_pairs(sets.select("id", _signatures(F.col("items"), bands * rows_per_band).alias("signature")), bands, rows_per_band)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)

@@ -1,5 +1,7 @@
 """Operators of retrieval, taint and reports on small rows."""
 
+from pyspark.sql import functions as F
+
 from loomgraph.operators import reports, retrieval, security, similarity
 
 
@@ -44,3 +46,12 @@ def test_as_of_and_merge(spark):
     assert {(r["k"], r["t"], r["v"]) for r in reports.as_of(left, right, "k", "t", "v").collect()} == {("a", 5, 10), ("a", 1, 10), ("b", 9, None)}
     comments = spark.createDataFrame([(1, "f", "c", 1, 4), (2, "f", "c", 2, 8), (3, "f", "c", 7, 9), (4, "f", "d", 1, 4)], "id long, path string, category string, start long, end long")
     assert {r["id"] for r in reports.merge_comments(comments).collect()} == {1, 3, 4}
+
+
+def test_signatures_hash_each_item_once(spark):
+    rows = [(k, [f"w{j}" for j in range(k)]) for k in range(6)] + [(7, ["a", None]), (8, None), (9, ["x" * 9 + str(j) for j in range(40000)])]
+    df = spark.createDataFrame(rows, "id long, items array<string>")
+    got = {r["id"]: r["signature"] for r in similarity.minhash(df, 5).collect()}
+    plain = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda s: F.coalesce(F.array_min(F.transform("items", lambda x: F.xxhash64(x, s))), F.lit((1 << 63) - 1)))
+    assert got == {r["id"]: r["s"] for r in df.select("id", plain.alias("s")).collect()}
+    assert "ArrowEvalPython" in similarity.minhash(df, 5)._jdf.queryExecution().executedPlan().toString()
