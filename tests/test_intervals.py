@@ -102,3 +102,10 @@ def test_greedy_merge_is_the_sequential_one(spark):
     got = sorted((r["seed"], r["id"], r["start"], r["end"], r["merged"]) for r in review.merge_similar(df).collect())
     assert got == sorted(want)
     assert any(w[4] > 1 for w in want)
+
+
+def test_exploded_ranges_are_not_sent_through_the_driver(spark):
+    points = spark.range(100).selectExpr("id % 3 as k", "id as at")
+    ranges = spark.range(100).selectExpr("id % 3 as k", "id as start", "id + 5 as `end`", "id as r")
+    plan = intervals.stab(points, ranges, ["k"], "at")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
