@@ -17,8 +17,8 @@ lines the first occurrence, by doc_id and place, stays.
 
 Each task sends one entry for each of its block values, packed, to the task where equal values meet,
 and lines that meet inside one task at once; so a block value that most lines share is one entry from
-each task. Where lines meet, each is first compared to the most frequent of them. What the found
-links join needs no more comparison, and all other pairs are then compared.
+each task. Where lines meet, each is first compared to the most frequent of them and, while very many pairs
+are open, to some lines of the largest group. What the found links join needs no more comparison, and all other pairs are then compared.
 """
 
 from __future__ import annotations
@@ -57,7 +57,10 @@ TINY = 14
 PAIR_CLASSES = 1 << 12
 BLOOM_BITS = 26
 LETTERS = 32
-ROUNDS = 1
+#: With how many lines of each block value the others are compared in a round; a further round is made while more than OPEN pairs for each line and block value are left.
+CENTRES, OPEN = (1, 32), 8
+#: Words of 64 bits that edit distances are worked out in at once, entries of their tables, and the fewest words for which that pays.
+MOST_WORDS, MOST_MASKS, LEAST_WORDS = 1 << 12, 1 << 18, 160
 #: Entries that a task holds before it sends them.
 MOST_ENTRIES = 1 << 21
 #: Rows of packed entries for each partition that they are dealt to.
@@ -438,10 +441,127 @@ def similar(x: str, y: str, similarity: float) -> bool:
     return distance_within(a, b, most // longest) or distance_within(x, y, most)
 
 
+def _points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+
+
+def _filled(points: np.ndarray, used: np.ndarray, fill: int) -> np.ndarray:
+    """A matrix with the points, in order, at the places of ``used``."""
+    out = np.full(used.shape, fill, dtype=np.int64)
+    out[used] = points
+    return out
+
+
+def distances(xs: list[str], ys: list[str]) -> np.ndarray:
+    """Edit distances of pairs of texts."""
+    return _distances(_points(xs), np.array([len(x) for x in xs]), _points(ys), np.array([len(x) for x in ys]))
+
+
+def _word_codes(xs: list[str], ys: list[str]) -> tuple[np.ndarray, ...]:
+    """The words of pairs of texts as small numbers, each pair's its own; how many each has; the size of its longest word with a space."""
+    a, b, m, n, sizes = [], [], [], [], []
+    for x, y in zip(xs, ys):
+        code: dict[str, int] = {}
+        x, y = x.split(" "), y.split(" ")
+        a += [code.setdefault(w, len(code)) for w in x]
+        b += [code.setdefault(w, len(code)) for w in y]
+        m.append(len(x))
+        n.append(len(y))
+        sizes.append(1 + max(map(len, code)))
+    return np.array(a), np.array(m), np.array(b), np.array(n), np.array(sizes)
+
+
+def _distances(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs of sequences, m and n long, of the small numbers that ``a`` and ``b`` have in order: Myers' bit vectors in words of 64 bits, of all pairs at once.
+
+    The k-th word of a pair is a column behind the word before, whose carry it takes. Sequences are filled up in front,
+    with columns that change nothing, so that all end together.
+    """
+    pairs, words, columns = len(m), max(1, -(-int(m.max()) // 64)), int(n.max())
+    known = np.unique(a)
+    code = np.full(int(max(a.max(initial=0), b.max(initial=0))) + 1, len(known), dtype=np.int64)
+    code[known] = np.arange(len(known))
+    some = np.arange(64 * words) < m[:, None]
+    pattern = _filled(code[a], some, len(known)).reshape(pairs, words, 64).transpose(1, 0, 2)
+    base = np.arange(words * pairs).reshape(words, pairs) * (len(known) + 1)
+    masks = np.zeros(words * pairs * (len(known) + 1), dtype=U)
+    for k in range(64):
+        masks[base + pattern[:, :, k]] |= U(1 << k)
+    masks[base + len(known)] = 0
+    real = np.arange(columns) >= columns - n[:, None]
+    text = np.ascontiguousarray(_filled(code[b], real, len(known)).T[::-1])
+    first = np.ascontiguousarray(real.T).astype(U)
+    up, down = np.full((words, pairs), U(0xFFFFFFFFFFFFFFFF)), np.zeros((words, pairs), dtype=U)
+    more, less = np.zeros((words + 1, pairs), dtype=U), np.zeros((words + 1, pairs), dtype=U)
+    one, top = U(1), U(63)
+    for t in range(columns + words - 1):
+        low, high = max(0, t - columns + 1), min(words, t + 1)
+        if t < columns:
+            more[0] = first[t]
+        p, q, u, d = more[low:high], less[low:high], up[low:high], down[low:high]
+        same = masks.take(base[low:high] + text[columns - 1 - t + low : columns - 1 - t + high])
+        v = same | d
+        same |= q
+        h = same & u
+        h += u
+        h ^= u
+        h |= same
+        plus = ~(h | u)
+        plus |= d
+        h &= u
+        carry_plus, carry_minus = plus >> top, h >> top
+        plus <<= one
+        plus |= p
+        h <<= one
+        h |= q
+        np.bitwise_and(plus, v, out=d)
+        plus |= v
+        np.invert(plus, out=plus)
+        np.bitwise_or(plus, h, out=u)
+        more[low + 1 : high + 1], less[low + 1 : high + 1] = carry_plus, carry_minus
+    rows = np.packbits(some.reshape(pairs, words, 64), axis=2, bitorder="little").view(U)[:, :, 0].T
+    return n + np.bitwise_count(up & rows).sum(axis=0, dtype=np.int64) - np.bitwise_count(down & rows).sum(axis=0, dtype=np.int64)
+
+
+def similar_pairs(xs: list[str], ys: list[str], similarity: float) -> np.ndarray:
+    """``similar`` of many pairs: those of like lengths together."""
+    short, long = np.minimum(*(s := [np.array([len(x) for x in v], dtype=np.int64) for v in (xs, ys)])), np.maximum(*s)
+    most = ((1 - similarity) * long + 1e-9).astype(np.int64)
+    hit = np.zeros(len(xs), dtype=bool)
+    left = np.flatnonzero(long - short <= most)
+    left = left[np.argsort(-short[left], kind="stable")]
+    at = 0
+    while at < len(left):
+        words = max(1, -(-int(short[left[at]]) // 64))
+        end = min(len(left), at + max(1, MOST_WORDS // words))
+        end = at + int(np.searchsorted(-short[left[at:end]], -0.7 * short[left[at]], side="right"))
+        own = left[at:end].tolist()
+        a, b = [], []
+        for k in own:
+            x, y = xs[k], ys[k]
+            a.append(x if len(x) <= len(y) else y)
+            b.append(y if len(x) <= len(y) else x)
+        letters = len(set().union(*a))
+        size = max(1, MOST_MASKS // (words * (letters + 1)))
+        for i in range(0, len(own), size):
+            k, x, y = np.array(own[i : i + size]), a[i : i + size], b[i : i + size]
+            if len(k) * words < LEAST_WORDS:
+                hit[k] = [similar(u, v, similarity) for u, v in zip(x, y)]
+                continue
+            # Each word that changes, comes or goes takes no more edits than the longest word and its space have characters.
+            *codes, longest = _word_codes(x, y)
+            hit[k] = _distances(*codes) * longest <= most[k]
+            open_ = np.flatnonzero(~hit[k])
+            if len(open_):
+                hit[k[open_]] = distances([x[j] for j in open_], [y[j] for j in open_]) <= most[k[open_]]
+        at = end
+    return hit
+
+
 def _similar(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = [similar(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            hit = similar_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similarity)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     return run
@@ -498,23 +618,32 @@ def line_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     sized = written(entries.join(marks.select("line_id", "size"), "line_id"), "met")
     most = f"{1 - similarity:.9f} * greatest(size, other_size) + 1e-6"
     placed = sized.withColumn("component", F.col("line_id")).withColumn("weight", F.col("copies"))
-    for k in range(ROUNDS):
-        # For each block value the most frequent line, then a line of the largest group.
-        centre = placed.groupBy("key").agg(F.max(F.struct("weight", "copies", F.xxhash64("line_id", F.lit(k)), "line_id", "component", "size")).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", F.col("c.line_id").alias("to"), F.col("c.component").alias("other"), F.col("c.size").alias("other_size"))
+    for k, centres in enumerate(CENTRES):
+        # For each block value the most frequent line, then lines of the largest group, some of a value's shares of its lines each.
+        draw = F.xxhash64("line_id", "key", F.lit(k))
+        share = F.pmod(draw, F.lit(centres))
+        centre = placed.groupBy("key", share.alias("share")).agg(F.max(F.struct("weight", "copies", F.xxhash64("line_id", F.lit(k)) if not k else draw, "line_id", "component", "size")).alias("c")).select("key", F.col("c.line_id").alias("to"), F.col("c.component").alias("other"), F.col("c.size").alias("other_size"))
         star = placed.join(centre, "key").where(f"component <> other and abs(size - other_size) <= {most}").select(F.col("line_id").alias("from"), F.least("line_id", "to").alias("a"), F.greatest("line_id", "to").alias("b"))
-        star = star.groupBy("from", "a", "b").agg(F.count("*").alias("shared"))
-        star = star if tested is None else star.join(tested, ["a", "b"], "left_anti")
-        best = written(star.groupBy("from").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
+        if k:
+            best = star.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        else:
+            best = star.groupBy("from", "a", "b").agg(F.count("*").alias("shared")).groupBy("from").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        best = written(best, "pairs")
         found = _compare(best, lines, similarity)
         links, tested = (found, best) if links is None else (links.unionByName(found), tested.unionByName(best))
         dropped(groups)
         groups = written(components(links), "groups")
         members = groups.groupBy("component").agg(F.count("*").alias("weight"))
         placed = sized.join(groups.join(members, "component").withColumnRenamed("id", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id")).withColumn("weight", F.coalesce("weight", F.lit(1)))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        last, placed = sized, written(placed.join(mixed, "key"), "open")
-        dropped(last)
+        counts = placed.groupBy("key", "component").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") ** 2).alias("joined"), F.count("*").alias("groups")).where("groups > 1")
+        counts = written(counts, "counts")
+        size, pairs = counts.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum((F.col("n") ** 2 - F.col("joined")) / 2), F.lit(0.0))).first()
+        last, placed = sized, written(placed.join(counts.select("key"), "key"), "open")
+        dropped(last, counts)
         sized = placed.select("key", "line_id", "copies", "size")
+        sized.__dict__["_folder"] = placed.__dict__.pop("_folder")
+        if pairs <= OPEN * size:
+            break
     # Each pair of lines once: at the least of the block values that they share. A line has a bounded number of those.
     # Lines of one kind whose whole SimHashes lie far apart are not candidates, and a line of which another
     # lacks more letters than edits are allowed cannot link to it.

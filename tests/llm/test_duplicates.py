@@ -407,3 +407,21 @@ def test_counts_of_neighbours_never_rule_out_a_near_pair():
             at = rnd.randint(0, len(b))
             b[at : at + rnd.randint(0, 1)] = rnd.choice(["", "x", "a"])
         assert not line_dedup.too_far(a, "".join(b), edits)
+
+
+def test_distances_of_many_pairs():
+    """Edit distances of all pairs at once, over several words of 64 bits and texts of other lengths, against one pair at a time."""
+    rnd = random.Random(12)
+    xs, ys = [], []
+    for _ in range(150):
+        x = "".join(rnd.choice("abé 中\U0001f600") for _ in range(rnd.choice([0, 1, 63, 64, 65, 130, rnd.randint(1, 200)])))
+        y = list(x)
+        for _ in range(rnd.randint(0, 60)):
+            at = rnd.randint(0, len(y))
+            y[at : at + rnd.randint(0, 2)] = rnd.choice(["", "q", "ab"])
+        xs.append(x)
+        ys.append("".join(y))
+    for x, y, d in zip(xs, ys, line_dedup.distances(xs, ys).tolist()):
+        assert line_dedup.distance_within(x, y, d) and (not d or not line_dedup.distance_within(x, y, d - 1))
+    assert line_dedup.similar_pairs(xs, ys, 0.8).tolist() == [line_dedup.similar(x, y, 0.8) for x, y in zip(xs, ys)]
+    assert line_dedup.similar_pairs([], [], 0.8).tolist() == []
