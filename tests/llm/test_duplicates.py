@@ -425,3 +425,21 @@ def test_distances_of_many_pairs():
         assert line_dedup.distance_within(x, y, d) and (not d or not line_dedup.distance_within(x, y, d - 1))
     assert line_dedup.similar_pairs(xs, ys, 0.8).tolist() == [line_dedup.similar(x, y, 0.8) for x, y in zip(xs, ys)]
     assert line_dedup.similar_pairs([], [], 0.8).tolist() == []
+
+
+def test_a_large_near_group_is_not_compared_in_all_pairs(spark, monkeypatch):
+    """Lines that are mostly too far from the most frequent one, but join through others: some comparisons each, not one with each other."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(60)]
+    rows = []
+    for i in range(900):
+        line = list(base)
+        for at in rnd.sample(range(60), rnd.randint(8, 9)):
+            line[at] = word()
+        rows.append((i, " ".join(line)))
+    compared, compare = [], line_dedup._compare
+    monkeypatch.setattr(line_dedup, "_compare", lambda pairs, *rest: (compared.append(pairs.count()), compare(pairs, *rest))[1])
+    groups = line_dedup.line_links(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2))[1].collect()
+    assert len(groups) > 890 and len({r["component"] for r in groups}) == 1
+    assert sum(compared) < 80 * 900
