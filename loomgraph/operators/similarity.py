@@ -58,26 +58,48 @@ def estimate(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
+#: Members of a class that are joined with as many of another at a time, so that a large class is many keys.
+COPIES = 1000
+
+
+def _members(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The columns of pairs (a, b, ...) of representatives, for all members of their classes, as a < b. classes: id, rep; a pair may be of one class with itself."""
+    sizes = classes.groupBy("rep").agg(F.ceil(F.count("*") / COPIES).cast("int").alias("parts"))
+    dealt = classes.join(sizes, "rep").select("rep", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    parts = lambda c: sizes.select(F.col("rep").alias(c), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"{c}_part"))
+    ids = lambda c: dealt.select(F.col("rep").alias(c), F.col("part").alias(f"{c}_part"), F.col("id").alias(f"{c}_id"))
+    every = pairs.join(parts("a"), "a").join(parts("b"), "b").join(ids("a"), ["a", "a_part"]).join(ids("b"), ["b", "b_part"]).where("a <> b or a_id < b_id")
+    return every.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), *rest)
+
+
 def band_pairs(signatures: DataFrame, bands: int, rows_per_band: int) -> DataFrame:
-    """(a, b), a < b: ids that share all places of a band. Equal signatures meet through their least id only."""
-    one = signatures.groupBy("signature").agg(F.min("id").alias("id"), F.sort_array(F.collect_set("id")).alias("ids"))
+    """(a, b), a < b: all ids that share all places of a band. Equal signatures meet others by their least id, for which then all its ids are put in."""
+    one = written(signatures.groupBy("signature").agg(F.min("id").alias("id"), F.collect_set("id").alias("ids")), "signatures")
     keyed = one.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(F.slice("signature", k * rows_per_band + 1, rows_per_band)))).alias("band", "key"))
     found = keyed.alias("x").join(keyed.alias("y"), ["band", "key"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    same = one.where("size(ids) > 1").select(F.col("id").alias("a"), F.explode("ids").alias("b")).where("a < b")
-    return found.unionByName(same).distinct()
+    same = one.where("size(ids) > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return _members(found.unionByName(same), one.select(F.explode("ids").alias("id"), F.col("id").alias("rep")))
 
 
 def similar_pairs(rows: DataFrame, threshold: float, bands: int = 16, rows_per_band: int = 8, id_col: str = "id", items_col: str = "items") -> DataFrame:
     """(a, b, similarity): banded candidates, then Jaccard at or above the threshold. Empty sets are like none.
 
-    Items are hashed to 64 bits once; sets are kept and compared by these.
+    Items are hashed to 64 bits once; sets are kept and compared by these. Equal sets (by two 64-bit hashes of the whole) are compared
+    as one, for which then all its ids are put in: every pair of copies, and every pair of two sets' copies.
     """
-    hashed = F.array_distinct(F.transform(items_col, lambda x: F.xxhash64(x)))
-    sets = written(rows.select(F.col(id_col).alias("id"), hashed.alias("items")).where("size(items) > 0"), "sets")
-    pairs = band_pairs(sets.select("id", _signatures(F.col("items"), bands * rows_per_band).alias("signature")), bands, rows_per_band)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    hashed = F.sort_array(F.array_distinct(F.transform(items_col, lambda x: F.xxhash64(x))))
+    sets = rows.select(F.col(id_col).alias("id"), hashed.alias("items")).where("size(items) > 0")
+    sets = written(sets.select("id", "items", F.struct(F.xxhash64("items"), F.xxhash64(F.lit(1), "items"), F.size("items")).alias("whole")), "sets")
+    least = sets.groupBy("whole").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    classes = written(sets.select("id", "whole").join(least, "whole").select("id", "rep", "n"), "classes")
+    one = sets.select("id", "items").join(classes.where("id = rep").select("id"), "id", "left_semi")
+    pairs = band_pairs(one.select("id", _signatures(F.col("items"), bands * rows_per_band).alias("signature")), bands, rows_per_band)
+    both = pairs.join(one.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(one.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+    near = both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+    copies = classes.where("id = rep and n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return _members(near.unionByName(copies), classes.select("id", "rep"))
 
 
 def overlap_pairs(memberships: DataFrame, threshold: float, least_shared: int, measure: str = "jaccard", owner: str = "owner", item: str = "item") -> DataFrame:

@@ -40,6 +40,21 @@ def test_near_clones_against_all_pairs(spark):
     assert want - got == set() == got - want
 
 
+def test_near_clones_of_copies_are_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "COPIES", 2, raising=False)  # so that a class of five is three parts
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, words[::-1] if k % 2 else words) for k in (4, 1, 9, 7, 2)] + [(k, words[:-1] + ["x"]) for k in (3, 8, 5)] + [(6, ["y"])]
+    got = [tuple(r) for r in similarity.similar_pairs(spark.createDataFrame(rows, "id long, items array<string>"), 0.9, 18, 7).collect()]
+    want = {(a, b, len({*x} & {*y}) / len({*x} | {*y})) for a, x in rows for b, y in rows if a < b and 6 not in (a, b)}
+    assert sorted(got) == sorted(want) and len(want) == 28
+
+
+def test_ids_of_one_signature_all_meet(spark):
+    rows = [(1, [1, 2, 3, 4]), (2, [1, 2, 3, 4]), (3, [1, 2, 3, 4]), (4, [1, 2, 9, 9]), (5, [1, 2, 9, 9]), (6, [7, 7, 7, 7])]
+    got = [tuple(r) for r in similarity.band_pairs(spark.createDataFrame(rows, "id long, signature array<long>"), 2, 2).collect()]
+    assert sorted(got) == [(a, b) for a in range(1, 6) for b in range(a + 1, 6)]
+
+
 def test_as_of_and_merge(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9)], "k string, t long")
     right = spark.createDataFrame([("a", 1, 10), ("a", 6, 20)], "k string, t long, v long")
