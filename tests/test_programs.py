@@ -175,6 +175,25 @@ def test_summary_taint_composes_as_deep_as_its_sql(spark):
     assert sorted(r["source"] for r in summaries.findings(flows, calls).collect()) == [100, 200]
 
 
+def test_a_bounded_graph_settles_in_tasks_as_by_joins(spark, monkeypatch):
+    rnd = random.Random(3)
+    made = sorted({(rnd.randrange(40), rnd.randrange(40), rnd.choice([0, 1, 2, 4, 5])) for _ in range(90)} | {(900, 901, 0)})
+    flows = spark.createDataFrame(made, "src long, dst long, mask int")
+    seeds = spark.createDataFrame([(o, o % 45, o % 3 % 2 * 2) for o in range(150)] + [(3, 7, 1), (3, 3, 0)], "origin long, place long, mask int")
+    tables = []
+
+    def counted(df, name="step", keep=security.written):
+        tables.append(name)
+        return keep(df, name)
+
+    monkeypatch.setattr(security, "written", counted)
+    got = sorted(tuple(r) for r in security.propagate(seeds, flows).collect())
+    assert "states" not in tables  # no rounds of joins
+    monkeypatch.setattr(security, "FLOWS_IN_TASK", 0)
+    assert got == sorted(tuple(r) for r in security.propagate(seeds, flows).collect()) and "states" in tables
+    assert (44, 44, 0) in got and len(got) > 1000
+
+
 def test_origins_of_one_state_travel_as_bits(spark, monkeypatch):
     tables = {}
 
