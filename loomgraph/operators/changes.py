@@ -86,7 +86,7 @@ def near_names(a: DataFrame, b: DataFrame, most: int = 2) -> DataFrame:
         return df.select(F.col("name").alias("right"), F.explode(F.array_distinct(keys)).alias("key"))
 
     left, right = a.select("name").where("isnotnull(name)").distinct(), b.select("name").where("isnotnull(name)").distinct()
-    pairs = cut(left, False).join(cut(right, True), "key").select("left", "right").distinct()
+    pairs = cut(left, False).join(cut(right, True).hint("merge"), "key").select("left", "right").distinct()
     return pairs.withColumn("distance", F.levenshtein("left", "right", most)).where("distance > 0")
 
 
@@ -122,7 +122,7 @@ def _substituted(left: DataFrame, right: DataFrame, gaps: int) -> DataFrame:
     def keyed(df: DataFrame, c: str) -> DataFrame:
         return df.select(F.col("name").alias(c), F.length("name").alias("n"), F.explode(_gaps(F.col("name"), gaps)).alias("g")).select(c, "n", "g.at", "g.rest", F.col("g.out").alias(f"{c}_out"))
 
-    pairs = keyed(left, "left").join(keyed(right, "right"), ["n", "at", "rest"])
+    pairs = keyed(left, "left").join(keyed(right, "right").hint("merge"), ["n", "at", "rest"])
     for k in range(gaps):
         pairs = pairs.where(F.col("left_out")[k] != F.col("right_out")[k])
     return pairs.select("left", "right", F.lit(gaps).cast("int").alias("distance"))
@@ -147,12 +147,12 @@ def near_names_by_deletion(a: DataFrame, b: DataFrame, most: int = 2) -> DataFra
     for gaps in range(1, min(most, 2) + 1):
         part = _substituted(brief(left), brief(right), gaps)
         short = part if short is None else short.unionByName(part)
-    other = rests(left, "left", most - 1).join(rests(right, "right", most - 1), ["n", "rest"])
+    other = rests(left, "left", most - 1).join(rests(right, "right", most - 1).hint("merge"), ["n", "rest"])
     apart = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: F.substr("left", i, F.lit(1)) != F.substr("right", i, F.lit(1)))
     met = [other.where("left <> right").where(F.size(apart) > min(most, 2)).select("left", "right")]
     for by in range(1, most + 1):
         for one, two, x, y in ((left, right, "left", "right"), (right, left, "right", "left")):
-            met.append(rests(one, x, most).join(rests(two, y, most - by, by), ["n", "rest"]).select("left", "right"))
+            met.append(rests(one, x, most).join(rests(two, y, most - by, by).hint("merge"), ["n", "rest"]).select("left", "right"))
     pairs = reduce(DataFrame.unionByName, met).withColumn("distance", F.levenshtein("left", "right", most)).where("distance > 0")
     short = short.unionByName(pairs.distinct())
     tail = lambda df: df.where(F.length("name") > SHORT_NAME - most)

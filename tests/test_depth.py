@@ -117,6 +117,12 @@ def test_near_names_by_deletion_are_all_pairs(spark):
     assert rows(changes.near_names_by_deletion(a, a), "left", "right", "distance") == want
 
 
+def test_near_names_are_shuffled_and_never_broadcast(spark):
+    names = spark.createDataFrame([(f"Clerk{n}",) for n in range(20)], "name string")
+    plan = changes.near_names_by_deletion(names, names)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
 def test_symbols_match_by_the_first_rule(spark):
     made = [("r1", "Get", "a.Get", "/x"), ("r2", "Get", "b.Get", "/x"), ("r2", "get", "b.get", ""), ("r2", "Gets", "b.Gets", "/x"), ("r3", "fetchAll", "c.fetchAll", "/x"), ("r1", "other", "a.other", None), ("r3", "z", "c.z", "")]
     got = rows(changes.match_symbols(spark.createDataFrame(made, "repo string, name string, qname string, route string")), "source", "target", "rule")
