@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,36 @@ def distance(a, b):
     return d[-1]
 
 
+def test_communities_in_one_task_are_those_of_the_joins(spark, monkeypatch):
+    from loomgraph.operators import settle
+
+    ids = [0, 1, -5, 77, 1 << 40, 123456789012345]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    for r in (0, 7):
+        assert settle.turns(np.array(ids), r).tolist() == [x[0] for x in df.select(F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0).collect()]
+    rnd = random.Random(11)
+    made = sorted({(a, b) for a, b in itertools.combinations(range(60), 2) if rnd.random() < (0.5 if a // 10 == b // 10 else 0.03)} | {(k, k + 1) for k in range(59)})
+    edges = spark.createDataFrame([(a, b, float(rnd.randint(1, 3))) for a, b in made] + [(4, 4, 2.0)], "src long, dst long, weight double")
+    tables = []
+
+    def counted(df, name="step", keep=community.written):
+        tables.append(name)
+        return keep(df, name)
+
+    monkeypatch.setattr(community, "written", counted)
+    for method in (community.louvain, community.leiden):
+        del tables[:]
+        monkeypatch.setattr(community, "EDGES_IN_TASK", 10_000)
+        want = rows(method(edges), "id", "community")
+        assert "state" not in tables and len(want) == 60  # no rounds of joins
+        monkeypatch.setattr(community, "EDGES_IN_TASK", 400)  # the first level by joins, what is merged in a task
+        assert rows(method(edges), "id", "community") == want and "state" in tables and tables[-1] != "state"
+    # Components settle each by itself, small ones dealt together; a large one among them by joins.
+    far = edges.unionByName(spark.createDataFrame([(1000 + 10 * c + i, 1000 + 10 * c + j, 1.0) for c in range(9) for i, j in itertools.combinations(range(4), 2)], "src long, dst long, weight double"))
+    of = {r["id"]: r["community"] for r in community.leiden(far).collect()}
+    assert len(of) == 96 and all(of[1000 + 10 * c + i] == 1000 + 10 * c for c in range(9) for i in range(4))
+
+
 def test_near_names_by_deletion_are_all_pairs(spark):
     rnd = random.Random(7)
     names = {"", "a", "ab", "abc"} | {"".join(rnd.choice("ab") for _ in range(rnd.randint(1, 6))) for _ in range(30)}
