@@ -6,28 +6,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import change_risk
-from ..storage import written
+from ..storage import dropped, written
 
 #: Parts of a path's risk, and the ladder of a report.
 STEP_RISK, STEPS_RISK, SINK_RISK, SOURCE_RISK = 10, 50, 30, 20
 LADDER = [(90, "critical"), (70, "high"), (40, "medium")]
 
 
+def _towards(hops: DataFrame, sinks: DataFrame, max_depth: int) -> DataFrame:
+    """src, dst, left: the hops (src, dst) from whose end a sink (id) is less than ``max_depth`` hops away, and how many. A table that ``written`` made goes."""
+    near = fresh = written(sinks.select(F.col("id").alias("dst"), F.lit(0).alias("left")), "near")
+    for k in range(1, max_depth):
+        back = hops.join(fresh.select("dst"), "dst").select(F.col("src").alias("dst")).distinct().join(near.select("dst"), "dst", "left_anti")
+        fresh = written(back.withColumn("left", F.lit(k)), "near")
+        if fresh.isEmpty():
+            break
+        near = near.unionByName(fresh)
+    out = written(hops.join(near, "dst").select("src", "dst", "left"), "hops")
+    dropped(hops)
+    return out
+
+
 def dataflow_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame, max_depth: int = 10) -> DataFrame:
     """source, sink, path, sanitized, risk: for each source and each sink it reaches within ``max_depth`` edges, the first of its shortest paths.
 
     All of edges (src, dst), sources, sinks and sanitizers (id). A sink ends its path. A node keeps one path for each source: of the
     level on which it is first met the least by its ids; so what a longer or later path would pass does not count. A path with a
     sanitizer on it (a sink that is one as well counts) has half the risk.
+
+    A level goes only to nodes from which a sink is near enough for the levels that are left, so the last goes to sinks only. That leaves out no
+    path: what is too far when it is first met is too far on every later level.
     """
-    hops = written(edges.select("src", "dst").where("src <> dst").distinct(), "hops")
+    hops = _towards(written(edges.select("src", "dst").where("src <> dst").distinct(), "hops"), sinks.select("id").distinct(), max_depth)
     ends = sinks.select(F.col("id").alias("node"), F.lit(True).alias("sink")).distinct()
     clean = sanitizers.select(F.col("id").alias("node"), F.lit(True).alias("clean")).distinct()
     front = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.array("id").alias("path"), F.lit(False).alias("sanitized")).distinct()
     seen = front = written(front, "front")
     found = None
-    for _ in range(max_depth):
-        step = front.join(hops.withColumnRenamed("src", "node"), "node").select("source", F.col("dst").alias("node"), "path", "sanitized")
+    for level in range(1, max_depth + 1):
+        step = front.join(hops.where(F.col("left") <= max_depth - level).withColumnRenamed("src", "node"), "node").select("source", F.col("dst").alias("node"), "path", "sanitized")
         step = step.join(seen.select("source", "node"), ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min(F.struct("path", "sanitized")).alias("p"))
         met = step.join(ends, "node", "left").join(clean, "node", "left")
         met = met.select("source", "node", F.concat("p.path", F.array("node")).alias("path"), (F.col("p.sanitized") | F.col("clean").isNotNull()).alias("sanitized"), F.col("sink").isNotNull().alias("sink"))

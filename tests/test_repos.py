@@ -11,6 +11,22 @@ def rows(df, *cols):
     return {tuple(r[c] for c in cols) for r in df.collect()}
 
 
+def test_dataflow_paths_go_only_where_a_sink_is_near_enough(spark, monkeypatch):
+    made = {}
+
+    def counted(df, name="step", keep=impact.written):
+        out = keep(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(impact, "written", counted)
+    edges = [(0, 1), (1, 2), (2, 3), (3, 4), (1, 4)] + [(0, k) for k in range(100, 140)] + [(k, k + 100) for k in range(100, 140)] + [(2, k) for k in range(300, 340)]
+    ids = lambda *xs: spark.createDataFrame([(x,) for x in xs], "id long")
+    got = {(r["source"], r["sink"], *r["path"]) for r in impact.dataflow_paths(spark.createDataFrame(edges, "src long, dst long"), ids(0), ids(4, 3), ids(), 3).collect()}
+    assert got == {(0, 4, 0, 1, 4), (0, 3, 0, 1, 2, 3)}
+    assert made["met"] == 4  # nodes 1, 2 and the two sinks of 125 that are reached
+
+
 def test_dataflow_paths_are_first_shortest_paths(spark):
     rnd = random.Random(5)
     edges = {(rnd.randrange(14), rnd.randrange(14)) for _ in range(30)}
